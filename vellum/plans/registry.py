@@ -5,11 +5,486 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions import text as tx
+from vellum.operators import align, collocate, corpus, correct, metrics
+from vellum.plans.derive import EDITS, PAGES, TRIALS, TRIPLES, edits, pages, r6, table, trials, triples, years
+from vellum.streaming.resume import remaining
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, which any order of summation gives."""
+    return df.select(*[r6(c).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+#: Token and word-count fragments of the SQL.
+WORDS = lambda c: f"list_filter(string_split_regex({c}, '[ \\n]+'), lambda x: x <> '')"
+NORM = lambda c: f"translate(regexp_replace({c}, '-[ \\n]+', '', 'g'), '-.,?!:;', '')"
+NORM_LOW = lambda c: f"lower(translate(regexp_replace({c}, '-[ \\n]+', '', 'g'), '-.,?!:;\"', ''))"
+ONE_SPACE = lambda c: f"regexp_replace({c}, '[ \\n]+', ' ', 'g')"
+
+#: The edit distance of whole texts takes SQL a minute, so two queries have it; the tests
+#: hold the others against these rows.
+SCORES = f"""WITH {TRIPLES},
+n AS (SELECT doc_id, {ONE_SPACE('reference')} AS r, {ONE_SPACE('corrected')} AS c, {ONE_SPACE('original')} AS o, length(corrected) AS raw_length, length(original) AS input_length FROM triples),
+m AS (SELECT doc_id, raw_length, input_length, length(r) AS ref_length, length(c) AS weight, length(o) AS orig_weight, levenshtein(c, r) AS edits, levenshtein(o, r) AS orig_edits FROM n),
+s AS (SELECT *, edits::DOUBLE / nullif(ref_length, 0) AS score, orig_edits::DOUBLE / nullif(ref_length, 0) AS orig_score FROM m),
+scores AS (SELECT *, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN orig_score = 0 THEN 0.0 - score ELSE (orig_score - score) / nullif(orig_score, 0) END)) AS improvement FROM s)
+"""
+
+
+# Metrics
+
+
+@query(SCORES + "SELECT doc_id, edits, ref_length, round(score, 6) AS score, orig_edits, round(orig_score, 6) AS orig_score, round(improvement, 6) AS improvement FROM scores")
+def cer_doc(spark, d):
+    """MET1, MET7."""
+    return rounded(metrics.document_scores(triples(spark, d)).select("doc_id", "edits", "ref_length", "score", "orig_edits", "orig_score", "improvement"))
+
+
+_STATS = """SELECT 'predicted' AS metric, 'micro' AS stat, round(sum(edits)::DOUBLE / sum(ref_length), 6) AS value FROM scores
+UNION ALL SELECT 'predicted', 'mean', round(avg(score), 6) FROM scores
+UNION ALL SELECT 'predicted', 'median', round(median(score), 6) FROM scores
+UNION ALL SELECT 'predicted', 'weighted average', round(sum(score * weight) / sum(CASE WHEN score IS NOT NULL THEN weight END), 6) FROM scores
+UNION ALL SELECT 'original', 'micro', round(sum(orig_edits)::DOUBLE / sum(ref_length), 6) FROM scores
+UNION ALL SELECT 'original', 'mean', round(avg(orig_score), 6) FROM scores
+UNION ALL SELECT 'original', 'median', round(median(orig_score), 6) FROM scores
+UNION ALL SELECT 'original', 'weighted average', round(sum(orig_score * orig_weight) / sum(CASE WHEN orig_score IS NOT NULL THEN orig_weight END), 6) FROM scores
+UNION ALL SELECT 'improvement', 'mean', round(avg(improvement), 6) FROM scores
+UNION ALL SELECT 'improvement', 'median', round(median(improvement), 6) FROM scores
+UNION ALL SELECT 'improvement', 'weighted average', round(sum(improvement * weight) / sum(CASE WHEN improvement IS NOT NULL THEN weight END), 6) FROM scores"""
+
+
+@query(SCORES + _STATS)
+def cer_summary(spark, d):
+    """MET4-6, MET8, MET14, MET15."""
+    return rounded(metrics.evaluate(triples(spark, d), "cer").drop("score"))
+
+
+@query()
+def wer_summary(spark, d):
+    """MET2."""
+    return rounded(metrics.evaluate(triples(spark, d), "wer").drop("score"))
+
+
+@query()
+def outliers(spark, d):
+    """FLT4."""
+    return rounded(metrics.outliers(metrics.document_scores(triples(spark, d)), 0.02).select("doc_id", "orig_score", "part"))
+
+
+@query()
+def improved_counts(spark, d):
+    """FLT5."""
+    return metrics.improved_counts(metrics.document_scores(triples(spark, d)))
+
+
+@query()
+def eval_books(spark, d):
+    """MET9-12: book rows summed up with raw lengths as weights."""
+    s = metrics.document_scores(triples(spark, d))
+    percent = 100 * metrics.improvement(F.col("orig_score"), F.col("score"), guard=False)
+    return rounded(s.agg(metrics.weighted(F.col("score"), F.col("raw_length")).alias("corrected"), metrics.weighted(F.col("improvement"), F.col("input_length")).alias("objective"), F.avg(percent).alias("percent")))
+
+
+_BAG = lambda v: f"""{v}_t AS (SELECT doc_id, unnest({WORDS(v)}) AS token FROM triples), {v}_c AS (SELECT doc_id, token, count(*) AS n FROM {v}_t GROUP BY ALL)"""
+_BOW = lambda v: f"""{v}_b AS (SELECT coalesce(p.doc_id, r.doc_id) AS doc_id, coalesce(p.n, 0) AS p, coalesce(r.n, 0) AS r FROM {v}_c p FULL JOIN reference_c r ON p.doc_id = r.doc_id AND p.token = r.token),
+{v}_s AS (SELECT t.doc_id, coalesce(sum(least(p, r)), 0)::BIGINT AS tp, coalesce(sum(greatest(p - r, 0)), 0)::BIGINT AS fp, coalesce(sum(greatest(r - p, 0)), 0)::BIGINT AS fn FROM triples t LEFT JOIN {v}_b b ON t.doc_id = b.doc_id GROUP BY 1),
+{v}_f AS (SELECT *, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1 FROM {v}_s)"""
+
+
+@query(f"WITH {TRIPLES}, {_BAG('corrected')}, {_BAG('reference')}, {_BOW('corrected')} SELECT doc_id, tp, fp, fn, round(f1, 6) AS f1 FROM corrected_f")
+def bow_f1_doc(spark, d):
+    """MET16, SET6."""
+    return rounded(metrics.bag_counts(triples(spark, d), "corrected", "reference"))
+
+
+@query(f"WITH {TRIPLES}, {_BAG('corrected')}, {_BAG('original')}, {_BAG('reference')}, {_BOW('corrected')}, {_BOW('original')} SELECT 'original' AS variant, round(avg(f1), 6) AS f1 FROM original_f UNION ALL SELECT 'corrected', round(avg(f1), 6) FROM corrected_f")
+def bow_f1_macro(spark, d):
+    """MET17."""
+    return rounded(metrics.bag_macro(triples(spark, d)))
+
+
+@query(f"""WITH {TRIPLES}, s AS (SELECT unnest({WORDS('original')}) AS a FROM triples), e AS (SELECT unnest({WORDS('corrected')}) AS a FROM triples),
+b AS (SELECT sum(length(a))::BIGINT AS before FROM s), c AS (SELECT sum(length(a))::BIGINT AS after FROM e) SELECT before, after, round(100 * (after - before)::DOUBLE / before, 6) AS change_pct FROM b, c""")
+def nonspace_change_pct(spark, d):
+    """MET19, TXT11, TXT16."""
+    rows = triples(spark, d).select(tx.word_segments(F.col("original"), 50).alias("a"), tx.word_segments(F.col("corrected"), 50).alias("b"))
+    return rounded(metrics.volume_change(rows, "a", "b"))
+
+
+# Vocabularies
+
+
+@query(f"WITH {TRIPLES}, w AS (SELECT unnest({WORDS(NORM('reference'))}) AS word FROM triples) SELECT word, count(*) AS n FROM w GROUP BY 1")
+def word_freq(spark, d):
+    """AGG1, TXT2, TXT12."""
+    return corpus.word_freq(triples(spark, d), "reference")
+
+
+_VOCAB = f"""WITH {TRIPLES}, t AS (SELECT unnest({WORDS(NORM('original'))}) AS word, 'o' AS k FROM triples UNION ALL SELECT unnest({WORDS(NORM('corrected'))}), 'c' FROM triples UNION ALL SELECT unnest({WORDS(NORM('reference'))}), 'r' FROM triples),
+v AS (SELECT word, count(*) FILTER (k = 'o') AS original, count(*) FILTER (k = 'c') AS corrected, count(*) FILTER (k = 'r') AS reference FROM t GROUP BY 1) """
+
+
+@query(_VOCAB + "SELECT count(*) FILTER (original > 0) AS original, count(*) FILTER (corrected > 0) AS corrected, count(*) FILTER (reference > 0) AS reference FROM v")
+def vocab_size(spark, d):
+    """AGG2, SET2."""
+    v = corpus.vocabulary(triples(spark, d))
+    return v.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("original", "corrected", "reference")])
+
+
+@query(_VOCAB + """SELECT 'removed' AS change, count(*) AS words, round(100.0 * count(*) FILTER (original = 1) / count(*), 6) AS singleton_pct, round(100.0 * count(*) FILTER (reference = 0) / count(*), 6) AS unknown_pct FROM v WHERE original > 0 AND corrected = 0
+UNION ALL SELECT 'new', count(*), round(100.0 * count(*) FILTER (corrected = 1) / count(*), 6), round(100.0 * count(*) FILTER (reference = 0) / count(*), 6) FROM v WHERE corrected > 0 AND original = 0""")
+def vocab_changes(spark, d):
+    """AGG3, SET1."""
+    return rounded(corpus.vocabulary_changes(corpus.vocabulary(triples(spark, d))))
+
+
+@query(_VOCAB + "(SELECT word, corrected - original AS diff, reference FROM v ORDER BY 2 DESC, word LIMIT 10) UNION ALL (SELECT word, corrected - original, reference FROM v ORDER BY 2, word LIMIT 10)")
+def freq_diff_top(spark, d):
+    """AGG4, JOIN9, JOIN10, TOP2."""
+    rows = corpus.vocabulary(triples(spark, d)).select("word", (F.col("corrected") - F.col("original")).alias("diff"), "reference")
+    return corpus.top(rows, 10, "diff", "word").unionByName(corpus.top(rows, 10, "diff", "word", ascending=True))
+
+
+@query(_VOCAB + "SELECT word, original, reference FROM v WHERE original > 0 AND corrected = 0 ORDER BY original DESC, word LIMIT 20")
+def removed_top(spark, d):
+    """TOP1."""
+    rows = corpus.vocabulary(triples(spark, d)).where("original > 0 AND corrected = 0").select("word", "original", "reference")
+    return corpus.top(rows, 20, "original", "word")
+
+
+@query(f"WITH {TRIPLES}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(reference), '\\b\\w\\w+\\b')) AS word FROM triples) SELECT word, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM triples)) / (1 + count(*))) + 1, 6) AS idf FROM w GROUP BY 1")
+def idf(spark, d):
+    """AGG20."""
+    return rounded(corpus.idf(triples(spark, d), "reference"))
+
+
+# Pages and books
+
+
+@query(f"WITH {PAGES}, k AS (SELECT book_id FROM pages_ GROUP BY 1 HAVING count(*) = max(page)) SELECT book_id, string_agg(input, chr(10) || chr(10) ORDER BY page) FILTER (lower(trim(input)) <> 'blank') AS input, coalesce(string_agg(output, chr(10) || chr(10) ORDER BY page) FILTER (lower(trim(output)) <> 'blank'), '') AS output FROM pages_ SEMI JOIN k USING (book_id) GROUP BY 1")
+def books_from_pages(spark, d):
+    """FLT1, FLT2, AGG12, TXT15, TOP6."""
+    return corpus.join_pages(pages(spark, d))
+
+
+@query(f"WITH {PAGES} SELECT book_id, count(*) AS pages, max(page) AS last FROM pages_ GROUP BY 1 HAVING count(*) = max(page)")
+def pages_complete(spark, d):
+    """FLT2."""
+    return corpus.complete_books(pages(spark, d))
+
+
+@query(f"WITH {PAGES}, t AS (SELECT * FROM pages_ UNION ALL SELECT * FROM pages_ WHERE page % 5 = 0) SELECT book_id, page, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) > 1")
+def pages_duplicates(spark, d):
+    """FLT3, SET7."""
+    p = pages(spark, d)
+    return corpus.duplicate_pages(p.unionByName(p.where("page % 5 = 0")))
+
+
+@query(f"WITH {TRIPLES}, {PAGES}, k AS (SELECT book_id FROM pages_ GROUP BY 1 HAVING count(*) = max(page)), b AS (SELECT book_id, coalesce(string_agg(output, chr(10) || chr(10) ORDER BY page) FILTER (lower(trim(output)) <> 'blank'), '') AS reference FROM pages_ SEMI JOIN k USING (book_id) GROUP BY 1) SELECT book_id, original, corrected, b.reference FROM b JOIN triples ON book_id = doc_id::VARCHAR")
+def triple_join(spark, d):
+    """JOIN2, JOIN3, SET3."""
+    ocr = triples(spark, d).select(F.col("doc_id").cast("string").alias("book_id"), F.array("original").alias("original"), F.array("corrected").alias("corrected"), F.array("corrected").alias("corrected_pp"))
+    return corpus.join_books(corpus.join_pages(pages(spark, d)), ocr).select("book_id", "original", "corrected", "reference")
+
+
+@query("SELECT doc_id, source FROM documents SEMI JOIN labels USING (doc_id)")
+def semi_filter(spark, d):
+    """FLT12, JOIN3."""
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def anti_resume(spark, d):
+    """JOIN6, LM11."""
+    return remaining(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT page_id, replace(string_split(url, '/')[-1], '.txt', '') AS book_id FROM pages")
+def url_book_id(spark, d):
+    """TXT14."""
+    return table(spark, d, "pages").select("page_id", tx.url_id(F.col("url")).alias("book_id"))
+
+
+# Years
+
+
+@query("SELECT year(o_orderdate) AS year, count(*) AS books FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY 1")
+def year_hist(spark, d):
+    """AGG10, FLT6."""
+    return corpus.year_hist(years(spark, d), 1996, 2000)
+
+
+@query("SELECT min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last, round(avg(year(o_orderdate)), 6) AS mean, count(*) AS books FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000")
+def year_stats(spark, d):
+    """AGG9."""
+    return rounded(corpus.year_stats(years(spark, d), 1996, 2000))
+
+
+@query(f"WITH {TRIPLES}, y AS (SELECT o_orderkey AS doc_id, year(o_orderdate) AS year FROM orders), c AS (SELECT doc_id, len(regexp_extract_all(lower(original), '\\bthe\\b')) AS b, len(regexp_extract_all(lower(corrected), '\\bthe\\b')) AS a FROM triples) SELECT year, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after FROM c JOIN y USING (doc_id) GROUP BY 1 HAVING sum(a) + sum(b) > 0")
+def term_by_year(spark, d):
+    """AGG11, JOIN4, TXT13."""
+    return corpus.term_by_year(triples(spark, d), years(spark, d), "the")
+
+
+# Collocations
+
+
+_TOKENS = lambda v: f"""{v}_w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {WORDS(NORM_LOW(v))} AS t FROM triples)),
+{v}_u AS (SELECT w, count(*) AS n FROM {v}_w GROUP BY 1),
+{v}_p AS (SELECT a.w AS w1, b.w AS w2, count(*) AS n FROM {v}_w a JOIN {v}_w b ON a.doc_id = b.doc_id AND b.i IN (a.i - 2, a.i - 1, a.i + 1, a.i + 2) GROUP BY 1, 2),
+{v}_m AS (SELECT w1, w2, log2(p.n::DOUBLE * p.n / (x.n::DOUBLE * y.n / (SELECT sum(n) FROM {v}_u))) AS mi2, p.n AS f12, x.n AS f1, y.n AS f2 FROM {v}_p p JOIN {v}_u x ON x.w = w1 JOIN {v}_u y ON y.w = w2 WHERE w1 <= w2 AND p.n >= 4 AND x.n >= 4 AND y.n >= 4)"""
+
+
+@query(f"WITH {TRIPLES}, {_TOKENS('reference')} SELECT w1, w2, n FROM reference_p")
+def cooc_counts(spark, d):
+    """COL1, JOIN11, WIN1."""
+    return collocate.neighbour_counts(collocate.token_arrays(triples(spark, d), "reference"))
+
+
+@query(f"WITH {TRIPLES}, {_TOKENS('reference')} SELECT w1, w2, round(mi2, 6) AS mi2, f12, f1, f2 FROM reference_m")
+def mi2_all(spark, d):
+    """COL2, COL3, JOIN12, FLT7."""
+    return rounded(collocate.collocations(triples(spark, d), "reference"))
+
+
+def _significant(spark, d):
+    return [collocate.significant(collocate.collocations(triples(spark, d), c)) for c in ("reference", "original", "corrected")]
+
+
+_REGIONS = f"WITH {TRIPLES}, {_TOKENS('reference')}, {_TOKENS('original')}, {_TOKENS('corrected')}, " + ", ".join(f"{v}_s AS (SELECT w1, w2, mi2 FROM {v}_m WHERE mi2 >= 3 AND w1 <> w2)" for v in ("reference", "original", "corrected"))
+
+
+@query(_REGIONS + """, j AS (SELECT coalesce(g.w1, o.w1, c.w1) AS w1, coalesce(g.w2, o.w2, c.w2) AS w2, g.mi2 AS g, o.mi2 AS o, c.mi2 AS c FROM reference_s g FULL JOIN original_s o ON g.w1 = o.w1 AND g.w2 = o.w2 FULL JOIN corrected_s c ON coalesce(g.w1, o.w1) = c.w1 AND coalesce(g.w2, o.w2) = c.w2)
+SELECT w1, w2, (CASE WHEN g IS NULL THEN '' ELSE 'G' END) || (CASE WHEN o IS NULL THEN '' ELSE 'O' END) || (CASE WHEN c IS NULL THEN '' ELSE 'C' END) AS region, round(coalesce(g, o, c), 6) AS mi2 FROM j""")
+def colloc_regions(spark, d):
+    """COL5-7, SET4, SET5, FLT9, FLT10."""
+    return rounded(collocate.regions(*_significant(spark, d)))
+
+
+@query(_REGIONS + """, b AS (SELECT count(*) AS n FROM original_s JOIN reference_s USING (w1, w2)), p AS (SELECT (SELECT n FROM b)::DOUBLE / (SELECT count(*) FROM original_s) AS precision, (SELECT n FROM b)::DOUBLE / (SELECT count(*) FROM reference_s) AS recall)
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p""")
+def colloc_pr(spark, d):
+    """MET18."""
+    gold, original, _ = _significant(spark, d)
+    return rounded(metrics.set_scores(original, gold, ["w1", "w2"]))
+
+
+# Text and segments
+
+
+@query(f"WITH {TRIPLES} SELECT doc_id, replace(replace(replace(original, chr(10), ''), ' ', ''), '-', '') AS compact, length(original) - length(replace(replace(replace(original, chr(10), ''), ' ', ''), '-', '')) AS removed FROM triples")
+def compact_text(spark, d):
+    """TXT7, TXT9."""
+    f = tx.suppress_format(F.col("original"))
+    return triples(spark, d).select("doc_id", f["text"].alias("compact"), f["removed"].alias("removed"))
+
+
+@query(f"WITH {TRIPLES}, w AS (SELECT doc_id, {WORDS('reference')} AS w FROM triples), s AS (SELECT doc_id, w, unnest(generate_series(0, (len(w) - 1) // 300)) AS seg FROM w WHERE len(w) > 0) SELECT doc_id, seg, array_to_string(w[seg * 300 + 1 : seg * 300 + 300], ' ') AS segment FROM s")
+def segment_words(spark, d):
+    """TXT16."""
+    return triples(spark, d).select("doc_id", F.posexplode(tx.word_segments(F.col("reference"))).alias("seg", "segment")).withColumn("seg", F.col("seg").cast("long"))
+
+
+@query()
+def overlap_windows(spark, d):
+    """TXT17."""
+    return triples(spark, d).select("doc_id", F.posexplode(tx.overlap_windows(F.col("reference"), 100, 0.2)).alias("slice", "text"))
+
+
+def _segments(spark, d, n=40):
+    pieces = F.arrays_zip(tx.word_segments(F.col("original"), n).alias("a"), tx.word_segments(F.col("corrected"), n).alias("b"))
+    rows = triples(spark, d).select("doc_id", F.posexplode(pieces).alias("seg", "p"))
+    # one file may hold all texts; the kernels that follow cost far more than this shuffle
+    spread = rows.repartition(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "seg")
+    return spread.select("doc_id", "seg", F.coalesce("p.a", F.lit("")).alias("a"), F.coalesce("p.b", F.lit("")).alias("b"))
+
+
+@query(f"""WITH {TRIPLES}, w AS (SELECT doc_id, {WORDS('original')} AS o, {WORDS('corrected')} AS c FROM triples), s AS (SELECT doc_id, o, c, unnest(generate_series(0, (greatest(len(o), len(c)) - 1) // 40)) AS seg FROM w WHERE greatest(len(o), len(c)) > 0),
+t AS (SELECT doc_id, seg, length(replace(array_to_string(o[seg * 40 + 1 : seg * 40 + 40], ''), '-', '')) AS a, length(replace(array_to_string(c[seg * 40 + 1 : seg * 40 + 40], ''), '-', '')) AS b FROM s)
+SELECT doc_id, seg::INT AS seg, coalesce(sum(a) OVER q, 0)::INT AS a_before, coalesce(sum(b) OVER q, 0)::INT AS b_before FROM t WINDOW q AS (PARTITION BY doc_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def segment_offsets(spark, d):
+    """WIN2."""
+    return align.segment_offsets(_segments(spark, d)).select("doc_id", "seg", "a_before", "b_before")
+
+
+# Edit strings
+
+
+@query(f"WITH {EDITS} SELECT doc_id, ops FROM edits")
+def match_string(spark, d):
+    """ALN5."""
+    return edits(spark, d).select("doc_id", "ops")
+
+
+@query(f"WITH {EDITS}, o AS (SELECT unnest(string_split(ops, '')) AS op FROM edits), n AS (SELECT op, count(*) AS n FROM o WHERE op <> '' GROUP BY 1) SELECT op, n, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM n")
+def op_counts(spark, d):
+    """AGG5, WIN7."""
+    return rounded(corpus.op_counts(edits(spark, d)))
+
+
+_RUNS = f"""WITH {EDITS}, p AS (SELECT doc_id, original, corrected, unnest(string_split(ops, '|')) AS r, generate_subscripts(string_split(ops, '|'), 1) AS i, len(string_split(ops, '|')) AS last FROM edits),
+q AS (SELECT *, coalesce(sum(length(r) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM p),
+runs AS (SELECT doc_id, start, length(r)::INT AS length, replace(substr(original, start + 1, length(r)), ' ', '∅') || ' -> ' || replace(substr(corrected, start + 1, length(r)), ' ', '∅') AS change FROM q WHERE r <> '' AND i < last) """
+
+
+@query(_RUNS + "SELECT * FROM runs")
+def change_runs(spark, d):
+    """AGG6, WIN5, TXT26."""
+    return corpus.change_runs(edits(spark, d))
+
+
+@query(_RUNS + ", n AS (SELECT length, count(*) AS n FROM runs GROUP BY 1) SELECT length, n, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM n")
+def change_lengths(spark, d):
+    """AGG7."""
+    return rounded(corpus.change_lengths(corpus.change_runs(edits(spark, d))))
+
+
+@query(_RUNS + ", n AS (SELECT change, length < 5 AS s, count(*) AS n FROM runs GROUP BY 1, 2), t AS (SELECT *, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM n) SELECT change, n, pct FROM t WHERE s")
+def change_types(spark, d):
+    """AGG8."""
+    return rounded(corpus.change_types(corpus.change_runs(edits(spark, d))))
+
+
+@query(f"""WITH {EDITS}, o AS (SELECT doc_id, unnest(string_split(ops, '')) = '|' AS hit, generate_subscripts(string_split(ops, ''), 1) - 1 AS pos FROM edits WHERE ops <> ''),
+s AS (SELECT doc_id, pos, greatest(CASE WHEN pos >= 10 THEN sum(hit::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) ELSE 0 END, sum(hit::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) >= 8 AS good FROM o),
+g AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM s WHERE good), r AS (SELECT doc_id, min(pos) AS a, max(pos) AS b FROM g GROUP BY doc_id, i),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a - b, a) AS n FROM r) SELECT e.doc_id, coalesce(a, -1)::INT AS "start", coalesce(b, -1)::INT AS "end" FROM edits e LEFT JOIN k ON e.doc_id = k.doc_id AND n = 1""")
+def density_runs(spark, d):
+    """ALN18, ALN19, WIN4."""
+    return align.dense_runs(edits(spark, d))
+
+
+# Trials
+
+
+_GAIN = f"WITH {TRIALS}, t AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN original = 0 THEN -predicted ELSE (original - predicted) / original END)) AS gain, row_id // 200 AS chunk FROM trials), k AS (SELECT model, chunk::BIGINT AS chunk, count(*) AS n, round(sum(gain * weight) / sum(weight), 6) AS improvement FROM t GROUP BY ALL) "
+
+
+@query(_GAIN + "SELECT * FROM k")
+def trial_improvement(spark, d):
+    """AGG13, MET11, WIN6."""
+    return rounded(corpus.trial_chunks(trials(spark, d)))
+
+
+@query(_GAIN + ", p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY improvement DESC, chunk) AS place FROM k) SELECT model, chunk, improvement, place::INT AS place FROM p WHERE place <= 10")
+def trial_top10_per_model(spark, d):
+    """TOP4, TOP5, SET7."""
+    return corpus.top_per_group(trial_improvement(spark, d), "model", "improvement", "chunk").drop("n")
+
+
+@query("WITH t AS (SELECT value FROM events) SELECT count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM t")
+def param_median(spark, d):
+    """AGG14, AGG17."""
+    return rounded(corpus.length_stats(table(spark, d, "events"), "value"))
+
+
+@query("""WITH e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents), b AS (SELECT greatest(0, least(9, ceil((n_chars - lo) / ((hi - lo) / 10.0::DOUBLE)) - 1))::INT AS bin, lo, hi, doc_id FROM documents, e)
+SELECT bin, round(min(lo + (hi - lo) / 10.0::DOUBLE * (bin + 0.5)), 6) AS mid, round(avg(doc_id), 6) AS mean, count(*) AS n FROM b GROUP BY 1""")
+def bin_means(spark, d):
+    """AGG15."""
+    return rounded(corpus.bin_means(table(spark, d, "documents"), "n_chars", "doc_id"))
+
+
+@query("SELECT least(98, floor(n_chars / (1500.0::DOUBLE / 99)))::INT AS bin, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 1500 GROUP BY 1")
+def len_hist(spark, d):
+    """AGG16."""
+    return corpus.histogram(table(spark, d, "documents"), "n_chars")
+
+
+@query("SELECT event_id, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS value FROM events")
+def minmax_scale(spark, d):
+    """AGG18."""
+    return rounded(corpus.minmax_scale(table(spark, d, "events").select("event_id", "value"), "value"))
+
+
+# Kernels that SQL has no counterpart for
+
+
+@query()
+def align_spans(spark, d):
+    """ALN1: local alignment of short segments."""
+    a = align.aligner("local")(F.col("a"), F.col("b"))
+    return _segments(spark, d).select("doc_id", "seg", a["score"].alias("score"), F.size(a["spans"]).alias("spans"))
+
+
+@query()
+def segment_align(spark, d):
+    """ALN9."""
+    return align.align_segments(_segments(spark, d))
+
+
+def _aligned(spark, d):
+    a = align.aligner("global", gap_open=-1.0, gap_extend=-0.5, free_ends=True)(tx.compact(F.col("a")), tx.compact(F.col("b")))
+    return _segments(spark, d).select("doc_id", "seg", tx.compact(F.col("a")).alias("a"), tx.compact(F.col("b")).alias("b"), a["spans"].alias("spans"))
+
+
+@query()
+def edit_strings(spark, d):
+    """ALN2, ALN6."""
+    s = align.edit_strings(F.col("a"), F.col("b"), F.col("spans"))
+    return _aligned(spark, d).select("doc_id", "seg", s["a"].alias("a"), s["b"].alias("b"), s["ops"].alias("ops"))
+
+
+@query()
+def prune_prediction(spark, d):
+    """ALN14, FLT14."""
+    return _aligned(spark, d).select("doc_id", "seg", align.prune(F.col("b"), F.col("spans")).alias("pruned"), align.suspicious(F.col("spans"), F.col("a"), F.col("b"))["rule"].alias("rule"))
+
+
+@query()
+def merge_overlap(spark, d):
+    """ALN16, ALN17: overlapping windows merged again."""
+    parts = triples(spark, d).select("doc_id", tx.overlap_windows(F.col("reference"), 60, 0.25).alias("parts"))
+    return align.merge_documents(parts)
+
+
+@query()
+def diff_opcodes(spark, d):
+    """ALN11."""
+    return align.diff_lines(triples(spark, d), "original", "corrected")
+
+
+def stub_model(prompts: list[str]) -> list[str]:
+    """A deterministic stand-in for a model."""
+    return [p.rsplit(":", 1)[-1].replace("fh", "sh") for p in prompts]
+
+
+@query()
+def correct_stub(spark, d):
+    """LM4-7, WIN3."""
+    docs = triples(spark, d).select("doc_id", tx.word_segments(F.col("original"), 60).alias("blocks"))
+    return correct.correct_documents(docs, stub_model, degree=1)
+
+
+@query()
+def trial_search_stub(spark, d):
+    """LM9, LM10."""
+    space = correct.trial_table(spark, {"temperature": [0.0, 0.5], "top_k": [1, 2]})
+    answer = lambda t, p: (t or "").replace("f", "s", int(40 * p["temperature"] * p["top_k"]))
+    return rounded(correct.search(triples(spark, d), space, answer).drop("parameters"))
+
+
