@@ -41,7 +41,8 @@ def recipes(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxhash64
     if shared.isEmpty():
         return table
     ordinal = texts.join(shared, "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1)
-    parts = cutup.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", F.posexplode_outer("chunks").alias("pos", "chunk"))
+    numbered = cutup.withColumn("row", F.monotonically_increasing_id())
+    parts = numbered.select("row", "doc_id", "text_sha256", F.posexplode_outer("chunks").alias("pos", "chunk"))
     parts = parts.withColumn("h", chunk_hash(F.col("chunk"))).join(ordinal, ["h", "chunk"], "left")
     part = F.when(F.col("pos").isNotNull(), F.struct("pos", "h", F.coalesce("n", F.lit(0)).alias("n")))
     whole = parts.groupBy("row", "doc_id", "text_sha256").agg(F.array_sort(F.collect_list(part)).alias("parts"))
