@@ -134,11 +134,16 @@ def overlap_windows(text: Column, window: int, overlap: float) -> Column:
     shared = window * overlap
     begin = lambda i: F.floor(i * F.lit(window - shared)).cast("int")
     end = lambda i: F.floor((i + 1) * F.lit(float(window)) - i * F.lit(shared)).cast("int")
-    steps = F.sequence(F.lit(0), F.ceil(F.size(tokens) / F.lit(window - shared)).cast("int"))
-    rows = F.filter(steps, lambda i: (begin(i) < F.size(tokens)) & ((i == 0) | (end(i - 1) < F.size(tokens))))
-    cut = F.transform(rows, lambda i: F.array_join(F.slice(tokens, begin(i) + 1, end(i) - begin(i)), ""))
-    trimmed = F.transform(cut, lambda x, i: F.when(i == F.size(rows) - 1, F.regexp_replace(x, rf"{SPACE}$", "")).otherwise(x))
-    return F.when(F.size(tokens) > 0, trimmed).otherwise(F.array().cast("array<string>"))
+
+    def cut(found: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.size(found) / F.lit(window - shared)).cast("int"))
+        rows = F.filter(steps, lambda i: (begin(i) < F.size(found)) & ((i == 0) | (end(i - 1) < F.size(found))))
+        last = lambda i: end(i) >= F.size(found)
+        part = lambda i: F.array_join(F.slice(found, begin(i) + 1, end(i) - begin(i)), "")
+        return F.transform(rows, lambda i: F.when(last(i), F.regexp_replace(part(i), rf"{SPACE}$", "")).otherwise(part(i)))
+
+    # a one-element transform splits the text once, not once for each window
+    return F.when(F.size(tokens) > 0, F.get(F.transform(F.array(tokens), cut), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def random_window(text: Column, key: Column, window: int, seed: int = 0) -> Column:
