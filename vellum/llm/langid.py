@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import bounded_batches, held_out
 
 #: Most labelled rows that are fitted on, over all languages, and most characters of one.
-SAMPLE, SAMPLE_CHARS = 4000, 8000
-BITS = 14
+SAMPLE, SAMPLE_CHARS = 1600, 8000
+BITS = 12
 #: Characters whose n-grams are counted at once.
 BLOCK = 1 << 17
 _MIX = np.uint32(2654435761)
@@ -78,7 +78,7 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
     return best
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 300) -> dict:
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 150) -> dict:
     """Logistic regressions of all bits at once, classes weighted equally."""
     code = codewords(len(names))
     target = code[y]
