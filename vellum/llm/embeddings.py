@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import bounded_batches, cut, materialise
@@ -79,19 +79,27 @@ def _block_graph(k: int, floor: float, link: float):
 GRAPH = "a long, b long, sim double, kind int"
 
 
+def _divided(by: str) -> Column:
+    """``v`` over a number.  As an argument of the lambda function the number is computed
+    once a row; as an outer column the optimizer would inline it for each component."""
+    return F.zip_with("v", F.array_repeat(by, F.size("v")), lambda x, y: x / y + F.lit(0.0))
+
+
 def clean(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v``: vectors of finite numbers, not all zero, scaled to length one."""
+    """``vec_id, v, key``: vectors of finite numbers, not all zero, scaled to length one,
+    and a digest that is the same for equal ones (adding zero drops its sign)."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     big = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL").where(F.size("v") > 0).where(~bad)
-    rows = rows.withColumn("_m", big).where("_m > 0").withColumn("v", F.transform("v", lambda x: x / F.col("_m")))
-    return rows.withColumn("_n", norm).select("vec_id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+    rows = rows.withColumn("_m", big).where("_m > 0").withColumn("v", _divided("_m"))
+    rows = rows.withColumn("_n", norm).select("vec_id", _divided("_n").alias("v"))
+    return rows.withColumn("key", F.unhex(F.sha2(F.col("v").cast("string"), 256)))
 
 
 def blocks(nodes: DataFrame, n: int, trees: int, first: int, leaf: int) -> DataFrame:
-    """``tree, block, id, v``: signs under random hyperplanes; large blocks are split."""
+    """``tree, dim, code, id``: the signs of each vector under random hyperplanes."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / (leaf / 2))))))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,18 +109,18 @@ def blocks(nodes: DataFrame, n: int, trees: int, first: int, leaf: int) -> DataF
                 for tree in range(first, first + trees):
                     planes = np.random.default_rng([tree, dim]).normal(size=(dim, bits))
                     code = (v @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
-                    yield pd.DataFrame({"tree": np.int32(tree), "dim": np.int32(dim), "code": code, "id": part["id"].to_numpy(), "v": list(v)})
+                    yield pd.DataFrame({"tree": np.int32(tree), "dim": np.int32(dim), "code": code, "id": part["id"].to_numpy()})
 
-    dealt = nodes.select("id", "v", F.size("v").alias("dim")).mapInPandas(deal, "tree int, dim int, code long, id long, v array<double>")
-    return dealt
+    return nodes.select("id", "v", F.size("v").alias("dim")).mapInPandas(deal, "tree int, dim int, code long, id long")
 
 
 def graph(nodes: DataFrame, n: int, trees: int, first: int, k: int, floor: float, link: float, leaf: int) -> DataFrame:
-    dealt = blocks(nodes, n, trees, first, leaf)
+    """What the blocks of all trees show; a large block is split at random."""
+    dealt = materialise(blocks(nodes, n, trees, first, leaf), "blocks")
     key = ["tree", "dim", "code"]
-    sizes = blocks(nodes, n, trees, first, leaf).groupBy(key).agg(F.ceil(F.count("*") / leaf).alias("split"))
+    sizes = dealt.groupBy(key).agg(F.ceil(F.count("*") / leaf).alias("split"))
     split = dealt.join(sizes, key).withColumn("sub", F.pmod(F.xxhash64("id", "tree"), "split"))
-    return split.select(*key, "sub", "id", "v").groupBy(*key, "sub").applyInPandas(_block_graph(k, floor, link), GRAPH)
+    return split.select(*key, "sub", "id").join(nodes, "id").groupBy(*key, "sub").applyInPandas(_block_graph(k, floor, link), GRAPH)
 
 
 def lists(found: DataFrame, k: int) -> DataFrame:
@@ -172,7 +180,7 @@ def audit(labelled: DataFrame, link: float, queries: int = 400, seed: int = 5) -
     return row[0] or 0, row[1] or 0
 
 
-def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: float = 0.6, trees: int = 10, rounds: int = 2, leaf: int = 256, tile: int = 256, recall: float = 0.97, tries: int = 3) -> DataFrame:
+def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: float = 0.6, trees: int = 10, rounds: int = 2, leaf: int = 256, tile: int = 1024, recall: float = 0.97, tries: int = 3) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Null, empty, zero and non-finite vectors link with nothing and are kept; vectors of
@@ -182,7 +190,8 @@ def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: f
     """
     bounded_batches(vectors.sparkSession, 2000)
     rows = clean(vectors)
-    nodes = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.min("vec_id").alias("least")).select("id", "copies", "v"), "vectors")
+    grouped = rows.groupBy("key").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.any_value("v").alias("v"))
+    nodes = materialise(grouped, "vectors")
     n = nodes.count()
     plain = nodes.select("id", "v")
     found, ties = None, None
@@ -201,10 +210,10 @@ def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: f
             break
     members = nodes.join(ties.withColumnRenamed("node", "id"), "id")
     counts = exact_counts(members, link, tile)
-    known = nodes.join(counts, "id", "left").join(ties.withColumnRenamed("node", "id"), "id", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    known = nodes.select("key", "id", "copies").join(counts, "id", "left").join(ties.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
-    own = rows.join(known, "v").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    own = rows.select("vec_id", "key").join(known, "key").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(own, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept")
     )
