@@ -190,6 +190,46 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in (900, 901, 902, 903, 904))
 
 
+def test_embeddings_find_lone_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = unit(unit(rng.normal(size=(1, 24))) + 0.15 * unit(rng.normal(size=(90, 24))))
+    lone = unit(rng.normal(size=(70, 24)))
+    x = np.concatenate([group, lone, unit(lone + 0.42 * unit(rng.normal(size=lone.shape)))])
+    rows = [(i, [float(y) for y in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r for r in embeddings.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), trees=1, leaf=16).collect()}
+    s = x @ x.T >= 0.9
+    np.fill_diagonal(s, False)
+    few = [i for i in range(len(x)) if 1 <= s[i].sum() <= 3]
+    assert len(few) > 100 and np.mean([got[i].n_links / s[i].sum() for i in few]) >= 0.97
+    assert all(got[i].n_links <= s[i].sum() for i in got)
+
+
+def test_embeddings_cut_a_narrow_cone_where_its_vectors_differ(spark):
+    rng = np.random.default_rng(13)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    cone = unit(unit(rng.normal(size=(1, 24))) + 0.2 * unit(rng.normal(size=(200, 24))))
+    x = np.concatenate([cone, unit(cone + 0.004 * unit(rng.normal(size=cone.shape)))])
+    nodes = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    dealt = nodes.select(F.lit(0).alias("tree"), F.lit(24).alias("dim"), F.lit(0).cast("long").alias("code"), "id")
+    block = {r.id: r.code for r in embeddings.narrowed(dealt, nodes, 32).collect()}
+    sizes = np.unique(list(block.values()), return_counts=True)[1]
+    assert len(block) == 400 and sizes.max() <= 32 and sum(block[i] == block[i + 200] for i in range(200)) > 150
+
+
+def test_embeddings_audit_weighs_small_groups_and_exact_pass_finds_all(spark):
+    assert embeddings.trees_for(2_000_000, 256, 0.9, 10) > embeddings.trees_for(2_000, 256, 0.9, 10) == 10
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 60, 0), np.repeat(rng.normal(size=(20, 16)), 2, 0)])
+    x += 0.01 * rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = [0 if i < 60 else i for i in range(len(x))]
+    nodes = spark.createDataFrame([(i, [float(y) for y in r], c) for i, (r, c) in enumerate(zip(x, label, strict=True))], "id long, v array<double>, component long")
+    assert embeddings.audit(nodes, len(x), 0.9) == 0
+    got = {r.node: r.component for r in components(embeddings.exact_links(nodes.select("id", "v"), len(x), 0.9, slab=30)).collect()}
+    assert got == {i: 0 if i < 60 else i - i % 2 for i in range(len(x))}
+
+
 def test_language(spark):
     rng = random.Random(6)
     stems = {"aa": ["the", "and", "ing"], "bb": ["der", "ung", "sch"], "cc": ["que", "ent", "oux"], "dd": ["ción", "ado", "los"]}

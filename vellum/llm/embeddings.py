@@ -1,8 +1,10 @@
 """Embedding near-dedup by NN-descent.
 
 Equal vectors are collapsed first.  A neighbour graph starts from random-projection
-blocks; neighbours-of-neighbours joins refine it: around each node its neighbours and
-those it is a neighbour of are compared, and whatever enters a list is kept.  Only
+blocks, of so many trees that a lone pair of linked vectors shares a block whatever the
+size of the table; neighbours-of-neighbours joins refine it: around each node its
+neighbours and those it is a neighbour of are compared, and whatever enters a list is
+kept.  Only
 similarities above ``floor`` enter lists, which leaves unrelated vectors without any.
 
 A list of ``k`` is saturated when it is full of links.  Lists are then enlarged to their
@@ -11,8 +13,9 @@ whole component: links found in any block, also those beyond the lists, connect
 precision, tile by tile.  So counts of links are exact within what is connected, and a
 dense group costs comparisons in bounded tiles, never a row for each pair.
 
-Recall is audited on a bounded sample of queries against all vectors; if it falls short,
-further blocks are drawn and the graph is refined again.
+Recall is audited on a bounded sample of queries against all vectors, for each size of
+group by itself; if it falls short, further blocks are drawn and the graph is refined
+again, and if it still does, all vectors are compared, tile by tile.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounded_batches, cut, materialise
+from vellum.llm.common import bounded_batches, cut, materialise, slices
 from vellum.llm.components import components
 
 SIMILAR = 0.9
+#: Chance that a lone linked pair shares a block; trees dealt at once; vectors sent to all
+#: tasks at once in the exact pass.
+TOGETHER, DEALT, SLAB = 0.99, 10, 8192
 
 
 def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +104,21 @@ def clean(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.unhex(F.sha2(F.col("v").cast("string"), 256)))
 
 
+def code_bits(n: int, leaf: int) -> int:
+    """Hyperplanes that part n vectors into blocks of half a leaf."""
+    return max(0, int(np.ceil(np.log2(max(1, n / (leaf / 2))))))
+
+
+def trees_for(n: int, leaf: int, link: float, least: int) -> int:
+    """Trees after which two vectors at similarity ``link`` share a block with chance
+    ``TOGETHER``: narrower blocks take more."""
+    p = (1 - np.arccos(np.clip(link, -1, 1)) / np.pi) ** code_bits(n, leaf)
+    return max(least, int(np.ceil(np.log(1 - TOGETHER) / np.log1p(-p)))) if 0 < p < 1 else least
+
+
 def blocks(nodes: DataFrame, n: int, trees: int, first: int, leaf: int) -> DataFrame:
     """``tree, dim, code, id``: the signs of each vector under random hyperplanes."""
-    bits = max(0, int(np.ceil(np.log2(max(1, n / (leaf / 2))))))
+    bits = code_bits(n, leaf)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,9 +132,37 @@ def blocks(nodes: DataFrame, n: int, trees: int, first: int, leaf: int) -> DataF
     return nodes.select("id", "v", F.size("v").alias("dim")).mapInPandas(deal, "tree int, dim int, code long, id long")
 
 
+def narrowed(dealt: DataFrame, nodes: DataFrame, leaf: int, deepest: int = 8) -> DataFrame:
+    """``dealt`` with each block over ``leaf`` cut at the medians of random projections of
+    its own members, again until none is left."""
+    key = ["tree", "dim", "code"]
+    for depth in range(deepest):
+        bits = F.least(F.lit(8), F.ceil(F.log2(F.col("size") / (leaf / 2)))).cast("int")
+        over = cut(dealt.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > leaf).select(*key, bits.alias("bits")))
+        if over.isEmpty():
+            break
+
+        def project(batches: Iterator[pd.DataFrame], depth: int = depth) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for (tree, dim), part in batch.groupby(["tree", "dim"]):
+                    planes = np.random.default_rng([tree, dim, depth + 1]).normal(size=(dim, 8))
+                    p = np.stack(part["v"]) @ planes
+                    yield part[[*key, "id"]].assign(p=[x[:m] for x, m in zip(p, part["bits"], strict=True)])
+
+        full = dealt.join(over, key).join(nodes, "id").select(*key, "id", "bits", "v")
+        placed = materialise(full.mapInPandas(project, "tree int, dim int, code long, id long, p array<double>"), "projected")
+        middle = placed.select(*key, F.posexplode("p").alias("at", "x")).groupBy(*key, "at").agg(F.percentile_approx("x", 0.5, 1000).alias("x"))
+        middle = middle.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("middle"))
+        side = F.zip_with("p", "middle", lambda x, m: x > m)
+        parted = placed.join(middle, key).select("tree", "dim", F.xxhash64("code", F.lit(depth), side).alias("code"), "id")
+        dealt = materialise(dealt.join(over, key, "left_anti").select(*key, "id").union(parted), "blocks")
+    return dealt
+
+
 def graph(nodes: DataFrame, n: int, trees: int, first: int, k: int, floor: float, link: float, leaf: int) -> DataFrame:
-    """What the blocks of all trees show; a large block is split at random."""
-    dealt = materialise(blocks(nodes, n, trees, first, leaf), "blocks")
+    """What the blocks of all trees show.  A large block is narrowed; one that no
+    projection parts holds vectors within rounding of each other, and is split at random."""
+    dealt = narrowed(materialise(blocks(nodes, n, trees, first, leaf), "blocks"), nodes, leaf)
     key = ["tree", "dim", "code"]
     sizes = dealt.groupBy(key).agg(F.ceil(F.count("*") / leaf).alias("split"))
     split = dealt.join(sizes, key).withColumn("sub", F.pmod(F.xxhash64("id", "tree"), "split"))
@@ -130,12 +176,43 @@ def lists(found: DataFrame, k: int) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-def refine(near: DataFrame, nodes: DataFrame, k: int, floor: float, link: float) -> DataFrame:
-    """One neighbours-of-neighbours join: around each node, its list and itself."""
-    around = near.select(F.col("a").alias("hub"), F.col("b").alias("id")).union(near.select(F.col("b"), F.col("a")))
-    ranked = around.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("hub").orderBy(F.xxhash64("id", "hub")))).where(F.col("_r") <= 3 * k).select("hub", "id")
-    hubs = near.select(F.col("a").alias("hub"), F.col("a").alias("id")).distinct()
-    return ranked.union(hubs).join(nodes, "id").groupBy("hub").applyInPandas(_block_graph(k, floor, link), GRAPH)
+def refine(near: DataFrame, nodes: DataFrame, k: int, floor: float, link: float, turn: int = 0) -> DataFrame:
+    """One neighbours-of-neighbours join: around each node, its list, itself, and all in
+    whose lists it is; where these are many they are dealt into several blocks, other
+    ones each turn."""
+    around = near.select(F.col("a").alias("hub"), F.col("b").alias("id")).union(near.select(F.col("b"), F.col("a"))).distinct()
+    sizes = around.groupBy("hub").agg(F.ceil(F.count("*") / (3 * k)).alias("split"))
+    dealt = around.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id", "hub", F.lit(turn)), "split").alias("sub"), "id")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("split") - 1)).alias("sub"), F.col("hub").alias("id"))
+    return dealt.union(hubs).join(nodes, "id").groupBy("hub", "sub").applyInPandas(_block_graph(k, floor, link), GRAPH)
+
+
+def exact_links(nodes: DataFrame, n: int, link: float, slab: int = SLAB) -> DataFrame:
+    """``a, b``: spanning links of every pair of tiles, over all pairs of vectors.  One slab
+    of vectors at a time is sent to all tasks and compared with those not yet sent."""
+    spark, slabs = nodes.sparkSession, max(1, -(-n // slab))
+    dealt = nodes.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int").alias("slab"))
+    out = None
+    for turn in range(slabs):
+        shared = spark.sparkContext.broadcast(dealt.where(F.col("slab") == turn).toPandas())
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, part in batch.groupby(batch["v"].str.len()):
+                    asked = shared.value[shared.value["v"].str.len() == dim]
+                    ids, v = part["id"].to_numpy(), np.stack(part["v"])
+                    for lo, hi in slices(len(asked), 1024):
+                        other = asked["id"].to_numpy()[lo:hi]
+                        x, y = np.nonzero(v @ np.stack(asked["v"].iloc[lo:hi]).T >= link)
+                        both, place = np.unique(np.r_[ids, other], return_inverse=True)
+                        p, q = _forest(len(both), place[x], place[len(ids) + y])
+                        if len(p):
+                            yield pd.DataFrame({"a": both[p], "b": both[q]})
+
+        part = materialise(dealt.where(F.col("slab") >= turn).select("id", "v").mapInPandas(run, "a long, b long"), "exact")
+        out = part if out is None else out.union(part)
+        shared.unpersist()
+    return out
 
 
 def exact_counts(members: DataFrame, link: float, tile: int) -> DataFrame:
@@ -159,25 +236,39 @@ def exact_counts(members: DataFrame, link: float, tile: int) -> DataFrame:
     return sent.groupBy("component", "lo", "hi").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(labelled: DataFrame, link: float, queries: int = 400, seed: int = 5) -> tuple[int, int]:
-    """True links of a bounded seeded sample of queries against all vectors, and how many
-    of them lie within a component."""
-    sample = labelled.orderBy(F.xxhash64(F.lit(seed), "id")).limit(queries).toPandas()
-    shared = labelled.sparkSession.sparkContext.broadcast(sample)
+def audit(labelled: DataFrame, n: int, link: float, queries: int = 400, enough: int = 100, most: int = 3200, seed: int = 5) -> float:
+    """Recall on a seeded sample of queries compared with all vectors.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            true = found = 0
-            for dim, part in batch.groupby(batch["v"].str.len()):
-                asked = shared.value[shared.value["v"].str.len() == dim]
-                if len(asked):
-                    hit = (np.stack(part["v"]) @ np.stack(asked["v"]).T >= link) & (part["id"].to_numpy()[:, None] != asked["id"].to_numpy()[None])
-                    same = part["component"].to_numpy()[:, None] == asked["component"].to_numpy()[None]
-                    true, found = true + int(hit.sum()), found + int((hit & same).sum())
-            yield pd.DataFrame({"true": [true], "found": [found]})
-
-    row = labelled.mapInPandas(run, "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-    return row[0] or 0, row[1] or 0
+    A query's recall is the share of its true links that lie within its component.  It is
+    averaged over queries, whatever their number of links, and again over those of each
+    size of group (1, 2 to 3, 4 to 7 links and so on) that ten queries show; the least of
+    these counts.  The sample grows until ``enough`` queries have links, up to ``most``.
+    """
+    order = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
+    while True:
+        sample = labelled.select("id", "v", "component").where(order < queries / max(1, n)).toPandas()
+        shared = labelled.sparkSession.sparkContext.broadcast(sample)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, part in batch.groupby(batch["v"].str.len()):
+                    asked = shared.value[shared.value["v"].str.len() == dim]
+                    v, ids, own = np.stack(part["v"]), part["id"].to_numpy(), part["component"].to_numpy()
+                    for lo, hi in slices(len(asked), 512):
+                        ask = asked.iloc[lo:hi]
+                        hit = (np.stack(ask["v"]) @ v.T >= link) & (ask["id"].to_numpy()[:, None] != ids[None])
+                        same = hit & (ask["component"].to_numpy()[:, None] == own[None])
+                        yield pd.DataFrame({"id": ask["id"].to_numpy(), "true": hit.sum(axis=1), "found": same.sum(axis=1)})[hit.any(axis=1)]
+
+        rows = labelled.mapInPandas(run, "id long, true long, found long").groupBy("id").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).toPandas()
+        if len(rows) >= enough or queries >= min(most, n):
+            break
+        queries = min(most, 4 * queries)
+    if not len(rows):
+        return 1.0
+    share = (rows["found"] / rows["true"]).astype(float)
+    sizes = share.groupby(np.log2(rows["true"].astype(float)).astype(int)).agg(["mean", "size"])
+    return float(min([share.mean(), *sizes["mean"][sizes["size"] >= 10]]))
 
 
 def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: float = 0.6, trees: int = 10, rounds: int = 2, leaf: int = 256, tile: int = 1024, recall: float = 0.97, tries: int = 3) -> DataFrame:
@@ -196,17 +287,21 @@ def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: f
     plain = nodes.select("id", "v")
     found, ties = None, None
     labelled = None
-    for turn in range(tries):
-        fresh = materialise(graph(plain, n, trees, turn * trees, k, floor, link, leaf), "graph")
-        found = fresh if found is None else found.union(fresh)
-        for _ in range(rounds):
+    need, dealt = trees_for(n, leaf, link, trees), 0
+    for turn in range(tries + 1):
+        if turn == tries:
+            found = found.select("a", "b", "sim").union(exact_links(plain, n, link).select("a", "b", F.lit(link).alias("sim")))
+        for first in range(dealt, dealt + need if turn < tries else dealt, DEALT):
+            fresh = materialise(graph(plain, n, min(DEALT, dealt + need - first), first, k, floor, link, leaf), "graph")
+            found = fresh if found is None else found.union(fresh)
+        dealt += need
+        for again in range(rounds if turn < tries else 0):
             near = materialise(lists(found, k), "lists")
-            found = found.union(materialise(refine(near, plain, k, floor, link), "refined"))
+            found = found.union(materialise(refine(near, plain, k, floor, link, turn * rounds + again), "refined"))
         links = found.where(F.col("sim") >= link).select("a", "b")
         ties = cut(components(links))
         labelled = nodes.join(ties.withColumnRenamed("node", "id"), "id", "left").select("id", "copies", "v", F.coalesce("component", "id").alias("component"))
-        true, got = audit(labelled, link)
-        if got >= recall * true:
+        if turn < tries and audit(labelled, n, link) >= recall:
             break
     members = nodes.join(ties.withColumnRenamed("node", "id"), "id")
     counts = exact_counts(members, link, tile)
