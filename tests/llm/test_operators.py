@@ -171,6 +171,26 @@ def test_substring(spark):
         assert "".join(t[a:b] for a, b, _ in cuts) == (t or "")
 
 
+def test_substring_finds_short_passages_whatever_stands_around_them():
+    rng = random.Random(14)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    two = lambda n: f"{some(n // 2).capitalize()}. {some(n - n // 2).capitalize()}. "
+
+    def lost(a, b):
+        """Share of the passage's words that the second text loses."""
+        known = {h for *_, h in substring.spans(a)}
+        cuts = substring.sentences(b)
+        return sum(cuts[i][2] for i in {i for at, n, h in substring.spans(b) if h in known for i in range(at, at + n)})
+
+    for n in range(51, 61):
+        whole = two(n)
+        for head in ("Inon and. ", "A heading\n", some(20) + ". "):
+            assert lost(some(12) + ". " + whole + some(9), head + whole + some(30)) == n
+    for make in (some, two):
+        shares = [lost(some(15) + " " + p + " " + some(15), some(20) + " " + p + " " + some(11)) / n for n in range(51, 61) for p in (make(n).strip() for _ in range(20))]
+        assert np.mean([x > 0 for x in shares]) >= 0.97 and np.mean(shares) > 0.6
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 16))

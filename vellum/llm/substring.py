@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences.  From each sentence on, the shortest run of consecutive
-sentences with enough words is hashed (128 bits); one aggregation finds, over the whole
-corpus, the first place of every span that occurs more than once, and a join gives the
-other places.  Sentences that such a place covers are removed.
+Texts are cut into sentences, and these at words marked by their neighbours.  The shortest
+runs of consecutive pieces with enough words, from each piece on and up to each, are
+hashed (128 bits); one aggregation finds, over the whole corpus, the first place of every
+span that occurs more than once, and a join gives the other places.  Pieces that such a
+place covers are removed.
 
 The aggregation combines before its shuffle, so a passage that many documents share costs
 a row per task; the join's skewed partitions are split by adaptive execution.  Only
@@ -17,6 +18,7 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,56 +26,67 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import bounded_batches, materialise
 
-#: A span has this many words at least, and two sentences unless one has LONE words.
+#: A span has this many words at least, and two pieces unless one has LONE words.
 WORDS, LONE = 24, 40
-#: A sentence takes in the next until it has SHORT words; over LONG words it is cut.
-SHORT, LONG = 8, 40
+#: A sentence is cut after each word whose hash is the least among so many on either side.
+AROUND = 4
 END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
 TOKEN = re.compile(r"\S+\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
-    """``(start, end, words)`` of sentences, which cover the text.
+    """``(start, end, words)`` of pieces of sentences, which cover the text.
 
-    Overlong sentences are cut after words that their hash marks, so that a passage is
-    cut alike wherever it stands.
+    A cut depends on the punctuation at it or on the few words around it alone, so a
+    passage is cut alike wherever it stands, but for some words at its ends.
     """
     out: list[tuple[int, int, int]] = []
     start, ends = 0, [m.end() for m in END.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
-        n = len(text[start:end].split())
-        if n < SHORT and end < len(text):
-            continue
-        if n > LONG:
-            at, words = start, 0
-            for m in TOKEN.finditer(text, start, end):
-                words += 1
-                if words >= SHORT and crc32(m.group().strip().lower().encode("utf-8", "surrogatepass")) % 8 == 0:
-                    out.append((at, m.end(), words))
-                    at, words = m.end(), 0
-            if at < end:
-                out.append((at, end, words))
-        elif end > start:
-            out.append((start, end, n))
+        found = [m for m in TOKEN.finditer(text, start, end)]
+        words = [m.group().strip().lower().encode("utf-8", "surrogatepass") for m in found]
+        h = np.array([crc32(b"%b %b" % two) for two in zip([b"", *words], words)], np.int64)
+        low = np.ones(len(h), bool)
+        for d in range(1, min(AROUND + 1, len(h))):
+            low[d:] &= h[d:] < h[:-d]
+            low[:-d] &= h[:-d] <= h[d:]
+        at, before = start, 0
+        for i in np.nonzero(low[:-1])[0].tolist():
+            out.append((at, found[i].end(), i + 1 - before))
+            at, before = found[i].end(), i + 1
+        if at < end:
+            out.append((at, end, len(found) - before))
         start = end
     return out
 
 
 def spans(text: str) -> list[tuple[int, int, bytes]]:
-    """``(first sentence, sentences, hash)`` of the run that starts at each sentence."""
+    """``(first piece, pieces, hash)`` of the shortest run that starts at each piece and the
+    shortest that ends at each; in a repeated stretch these cover every piece."""
     cuts = sentences(text)
     norm = [" ".join(text[a:b].lower().split()).encode("utf-8", "surrogatepass") for a, b, _ in cuts]
-    out = []
+    total = [0]
+    for *_, n in cuts:
+        total.append(total[-1] + n)
+    enough = lambda i, j: total[j] - total[i] >= (WORDS if j - i > 1 else LONE)
+    runs, i, j = set(), 0, 0
     for i in range(len(cuts)):
-        words, j = 0, i
-        while j < len(cuts) and (words < WORDS or (j - i < 2 and words < LONE)):
-            words += cuts[j][2]
+        j = max(i + 1, j)
+        while j < len(cuts) and not enough(i, j):
             j += 1
-        if words >= WORDS and (j - i > 1 or words >= LONE):
-            out.append((i, j - i, xxhash.xxh3_128_digest(b"\x1f".join(norm[i:j]))))
-    return out
+        while j - 1 > i and enough(i, j - 1):
+            j -= 1
+        if enough(i, j):
+            runs.add((i, j))
+    i = 0
+    for j in range(1, len(cuts) + 1):
+        while i + 1 < j and enough(i + 1, j):
+            i += 1
+        if enough(i, j):
+            runs.add((i, j))
+    return [(i, j - i, xxhash.xxh3_128_digest(b"\x1f".join(norm[i:j]))) for i, j in sorted(runs)]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
