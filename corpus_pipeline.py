@@ -8,6 +8,7 @@ of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum.llm import exact, mixing, packing, simhash, toxicity
 from vellum.llm.common import materialise, table
@@ -18,16 +19,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def one_of_each(docs: DataFrame, groups, label: str) -> DataFrame:
+    """Of the rows that ``groups`` puts under one ``label``, the one with the least doc_id,
+    null ids last; rows that repeat an id are told apart by a row id of their own."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = groups(rows.withColumn("doc_id", F.col("_row")).drop("_row")).select(F.col("doc_id").alias("_row"), F.col(label).alias("_group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    best = rows.select("_row", "doc_id").join(found, "_row").groupBy("_group").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(best.select("_row"), "_row", "left_semi").select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the least doc_id stays."""
-    gone = exact.exact_groups(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of equal texts, one row with the least doc_id stays."""
+    return one_of_each(docs, exact.exact_groups, "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, the document with the least doc_id stays."""
-    gone = simhash.simhash_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of linked fingerprints, one row with the least doc_id stays."""
+    return one_of_each(docs, simhash.simhash_components, "component_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

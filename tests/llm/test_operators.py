@@ -322,3 +322,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         left = stage(spark, docs, "/root/testdata/sf0.001")
         assert left.columns == docs.columns and left.count() <= docs.count(), name
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pipeline_drops_rows_and_not_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = ("one text that stands twice here", "a text found nowhere else at all", "rows that have no id of their own")
+    docs = documents(spark, [(i, t, "en", "s") for i, t in [(5, a), (3, a), (5, b), (None, c), (None, c), (None, b), (7, a)]])
+    for stage in (pipeline.drop_copies, pipeline.drop_near_copies):
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns
+        assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("3", a), ("5", b), ("None", c)]
