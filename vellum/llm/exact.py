@@ -57,7 +57,9 @@ def exact_groups(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxh
     is never the least unless the group has no other.  Other columns are not read.
     """
     table = recipes(docs, chunk_hash)
-    groups = table.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # combined before the shuffle; written, so that both sides of the join are plain
+    # shuffles and adaptive execution splits a recipe with very many copies
+    groups = materialise(table.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return table.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
