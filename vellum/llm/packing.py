@@ -4,8 +4,9 @@ The first pass tokenises each partition's documents in their order, keeps their
 writes, beside each document, the tokens before it in its partition.  The totals of the
 partitions (one row each) are then summed up over the partitions, which gives every
 document its offset in the corpus.  The second pass cuts at the multiples of the window;
-a document that crosses one yields a boundary record on each side.  No document moves
-between the passes, and only the last sequence is padded.
+a document that crosses one yields a boundary record on each side.  The totals are sent
+to all tasks if their number allows, so no document moves between the passes, and only
+the last sequence is padded.
 
 Tokenising whole texts is bounded by new words: ids are kept by white-space-delimited
 piece, which is exact because no token of this vocabulary spans white space.
@@ -26,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounded_batches, materialise
+from vellum.llm.common import bounded_batches, cut, materialise
 
 WINDOW = 4096
+#: Partition totals, of twelve bytes, that are sent to all tasks; more are joined by a shuffle.
+MOST_PARTS = 1_000_000
 END_ID = 2
 #: What one of Python and the vocabulary takes for white space, but a space or line feed.
 ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -170,6 +173,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     table = tokens(docs, vocabulary, end_id)
     ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = table.groupBy("part").agg(F.max(F.col("begin") + F.col("n")).alias("total"))
-    ahead = totals.select("part", F.coalesce(F.sum("total").over(ordered), F.lit(0)).alias("ahead"))
+    ahead = cut(totals.select("part", F.coalesce(F.sum("total").over(ordered), F.lit(0)).alias("ahead")))
+    if ahead.count() <= MOST_PARTS:
+        ahead = F.broadcast(ahead)
     placed = table.join(ahead, "part").select("doc_id", (F.col("ahead") + F.col("begin")).alias("at"), "n", "ids", "wide")
     return placed.mapInArrow(_cutter(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
