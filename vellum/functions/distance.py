@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -52,6 +53,31 @@ def _words(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edits(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
+def measures(original: Column, corrected: Column, reference: Column, metric: str, fold: bool = False) -> Column:
+    """Of three texts, composed here and sent to Python once: ``struct(ref_length, weight,
+    orig_weight, edits, orig_edits)`` in code points (``cer``) or words (``wer``)."""
+
+    def ready(t: str | None):
+        if t is None:
+            return None
+        if fold or not t.isascii():
+            t = unicodedata.normalize("NFKC", t.casefold() if fold else t)
+        return t if metric == "cer" else t.split()
+
+    @F.pandas_udf("struct<ref_length:long,weight:long,orig_weight:long,edits:long,orig_edits:long>")
+    def run(o: pd.Series, c: pd.Series, r: pd.Series) -> pd.DataFrame:
+        rows = []
+        for texts in zip(o, c, r, strict=True):
+            a, b, ref = map(ready, texts)
+            size = [None if x is None else len(x) for x in (ref, b, a)]
+            new = None if b is None or ref is None else edits(b, ref)
+            old = None if a is None or ref is None else new if a == b else edits(a, ref)
+            rows.append((*size, new, old))
+        return pd.DataFrame(rows, columns=["ref_length", "weight", "orig_weight", "edits", "orig_edits"], dtype="Int64")
+
+    return run(original, corrected, reference)
+
+
 def char_edits(a: Column, b: Column) -> Column:
     """Edit distance in code points; null if either is null."""
     return _characters(a, b)

@@ -69,20 +69,65 @@ def normalize_lower(text: Column) -> Column:
     return _composer(False, lower=True)(text)
 
 
+def _pieces(text: str) -> list[str]:
+    """A text cut where its parts compose alone as they do together."""
+    out: list[str] = []
+    compose = lambda t: unicodedata.normalize("NFKC", t)
+    for c in text:
+        if out and not (c.isascii() and out[-1].isascii()) and compose(out[-1] + c) != compose(out[-1]) + compose(c):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("origin", T.ArrayType(T.IntegerType()))]))
+def _lower_mapped(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in text:
+        if t is None:
+            rows.append((None, None))
+            continue
+        done, origin, at = [], [], 0
+        for piece in _pieces(t):
+            done.append(unicodedata.normalize("NFKC", piece).lower())
+            origin += [at] * len(done[-1])
+            at += len(piece)
+        rows.append(("".join(done), origin))
+    return pd.DataFrame(rows, columns=["text", "origin"])
+
+
+def normalize_lower_mapped(text: Column) -> Column:
+    """TXT6 with ``origin``: for each character of the result, where in the text the piece
+    begins that it comes from."""
+    return _lower_mapped(text)
+
+
 def compact(text: Column) -> Column:
     """TXT7: without line feeds, spaces and hyphens."""
     return F.translate(text, "\n -", "")
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that it uses many times: as the argument of a lambda function the
+    value is computed once a row."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
 def format_map(text: Column) -> Column:
     """TXT8: positions of spaces, line feeds, hyphens and everything else."""
-    at = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    sign = lambda i: F.substring(text, i + 1, F.lit(1))
-    pick = lambda s: F.filter(at, lambda i: sign(i) == s)
-    return F.struct(
-        pick(" ").alias("spaces"), pick("\n").alias("new_lines"),
-        F.filter(at, lambda i: ~sign(i).isin(" ", "\n", "-")).alias("words"), pick("-").alias("dashes"),
-    )
+
+    def places(signs: Column) -> Column:
+        at = F.when(F.size(signs) > 0, F.sequence(F.lit(0), F.size(signs) - 1)).otherwise(F.array().cast("array<int>"))
+        pick = lambda s: F.filter(at, lambda i: F.get(signs, i) == s)
+        words = F.filter(at, lambda i: ~F.get(signs, i).isin(" ", "\n", "-"))
+        return F.struct(pick(" ").alias("spaces"), pick("\n").alias("new_lines"), words.alias("words"), pick("-").alias("dashes"))
+
+    return F.when(text.isNotNull(), once(characters(text), places))
 
 
 def suppress_format(text: Column) -> Column:
@@ -92,10 +137,9 @@ def suppress_format(text: Column) -> Column:
 
 def restore_format(text: Column, fmt: Column) -> Column:
     """TXT10: the inverse of :func:`suppress_format`; null if the text is too short."""
-    place = lambda at, s: F.transform(at, lambda i: F.struct(i.alias("i"), s(i).alias("s")))
-    lit = lambda s: lambda i: F.lit(s)
-    letters = F.transform(fmt["words"], lambda i, k: F.struct(i.alias("i"), F.substring(text, k + 1, F.lit(1)).alias("s")))
-    parts = F.array_sort(F.concat(place(fmt["spaces"], lit(" ")), place(fmt["new_lines"], lit("\n")), place(fmt["dashes"], lit("-")), letters))
+    place = lambda at, s: F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(s).alias("s")))
+    letters = once(characters(text), lambda signs: F.transform(fmt["words"], lambda i, k: F.struct(i.alias("i"), F.get(signs, k).alias("s"))))
+    parts = F.array_sort(F.concat(place(fmt["spaces"], " "), place(fmt["new_lines"], "\n"), place(fmt["dashes"], "-"), letters))
     return F.when(F.length(text) >= F.size(fmt["words"]), F.array_join(F.transform(parts, lambda p: p["s"]), ""))
 
 
@@ -161,27 +205,17 @@ def tail_from_space(text: Column, cut_off: int = 100) -> Column:
     return F.when(head.rlike(r"[ \n]"), F.substring(text, kept + 1, F.length(text)))
 
 
-@F.pandas_udf(T.StringType())
-def _chop(text: pd.Series, n: pd.Series) -> pd.Series:
-    def one(t, n):
-        if t is None:
-            return None
-        count, last, i = 0, "*", -1
-        while count < n:
-            if -i > len(t):
-                return None
-            if last in " \n" and t[i] not in " \n":
-                count += 1
-            last, i = t[i], i - 1
-        return t[:i]
-
-    return pd.Series([one(t, k) for t, k in zip(text, n, strict=True)], dtype=object)
+def chop_pattern(words: int) -> str:
+    """What TXT21 keeps, as the first group: behind it stand the two last characters of
+    the word reached (one, if the text begins with a word of one), then the words that
+    end the text, the last of them perhaps empty."""
+    return rf"(?s)^(?:(.*).)?[^ \n](?:[ \n]+[^ \n]+){{{words - 1}}}[ \n]+[^ \n]*$"
 
 
 def chop_end(text: Column, words: int = 5) -> Column:
     """TXT21: drops the last words; the cut also takes the last two characters of the
     word it reaches.  Null if the text is too short."""
-    return _chop(text, F.lit(words))
+    return F.when(text.rlike(chop_pattern(words)), F.regexp_extract(text, chop_pattern(words), 1))
 
 
 def prompt(prefix: str, *parts: Column) -> Column:

@@ -6,15 +6,15 @@ segment by segment, as rows of their own, or from state carried along one book.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions import affine
+from vellum.functions import affine, matching
 from vellum.functions import text as tx
 
 SPAN = "struct<a_start:int,a_end:int,b_start:int,b_end:int>"
@@ -71,6 +71,14 @@ def edit_strings(a: Column, b: Column, spans: Column, orientation: str = "origin
     return F.aggregate(spans, start, step, end)
 
 
+def edit_documents(aligned: DataFrame, orientation: str = "original", on_error: str = "skip") -> DataFrame:
+    """ALN8: ``aligned(doc_id, a, b, spans)`` to ``doc_id, a, b, ops``; a document whose
+    spans do not fit is left out, or kept with null texts by ``on_error="null"``."""
+    made = aligned.withColumn("_s", edit_strings(F.col("a"), F.col("b"), F.col("spans"), orientation))
+    kept = made.where("_s IS NOT NULL") if on_error == "skip" else made
+    return kept.select("doc_id", "_s.*")
+
+
 def suspicious(spans: Column, a: Column, b: Column) -> Column:
     """FLT14: a long unaligned tail, or too little of a text aligned: ``failed``, ``bad``
     or ``ok``; the older rule is ``strict``."""
@@ -94,6 +102,15 @@ def prune(prediction: Column, spans: Column) -> Column:
     return F.substring(prediction, e["start"] + 1, e["end"] - e["start"])
 
 
+def prune_raw(prediction: Column, mapped: Column, spans: Column) -> Column:
+    """ALN14 where the spans are of the prediction's lower-case composition
+    (``text.normalize_lower_mapped``): the raw prediction over the same extent."""
+    e, origin = extent(spans), mapped["origin"]
+    start = F.get(origin, e["start"])
+    end = F.coalesce(F.get(origin, e["end"]), F.length(prediction))
+    return F.substring(prediction, start + 1, end - start)
+
+
 def project_extent(fmt: Column, spans: Column, side: str = "b") -> Column:
     """ALN15, ALN20: the aligned extent of a compact text as positions in the raw text,
     by the map of ``text.suppress_format``."""
@@ -120,7 +137,12 @@ def align_segments(segments: DataFrame, **scores) -> DataFrame:
     return rows.select("doc_id", "seg", F.struct(*shift).alias("span"))
 
 
-def align_sequential(books: DataFrame, slack: int = 250, ahead: int = 3000, **scores) -> DataFrame:
+#: Compact characters that a segment's counterpart may be longer, and raw
+#: characters that are looked at beyond a segment's length.
+SLACK, AHEAD = 250, 3000
+
+
+def align_sequential(books: DataFrame, slack: int = SLACK, ahead: int = AHEAD, **scores) -> DataFrame:
     """ALN10: segments of one text against the other whole, consumed from left to right.
 
     ``books(doc_id, segments, text)`` to ``doc_id, spans, flagged``.  What a segment may
@@ -157,31 +179,61 @@ DROP = {ord(c): None for c in "\n -"}
 
 
 def diff_lines(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """ALN11: ``doc_id, line, ops``: line by line, the opcodes that turn one text into the
-    other, the shorter text padded with empty lines."""
+    """ALN11, SNK7: ``doc_id, line, ops``: line by line, the opcodes that turn one text into
+    the other, the shorter text padded with empty lines.  Equal lines need no search."""
 
-    @F.pandas_udf("array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>")
-    def ops(x: pd.Series, y: pd.Series) -> pd.Series:
-        one = lambda p, q: [dict(zip(("tag", "i1", "i2", "j1", "j2"), o, strict=True)) for o in difflib.SequenceMatcher(None, p, q).get_opcodes()]
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=object)
+    @F.pandas_udf(OPS)
+    def search(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else [dict(zip(("tag", "i1", "i2", "j1", "j2"), o, strict=True)) for o in matching.opcodes(p, q)] for p, q in zip(x, y, strict=True)], dtype=object)
 
     lines = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r?\n$", ""), r"\r?\n")
     zipped = pairs.select("doc_id", F.posexplode(F.arrays_zip(lines(a).alias("x"), lines(b).alias("y"))).alias("line", "p"))
-    return zipped.select("doc_id", "line", ops(F.coalesce("p.x", F.lit("")), F.coalesce("p.y", F.lit(""))).alias("ops"))
+    both = zipped.select("doc_id", "line", F.coalesce("p.x", F.lit("")).alias("x"), F.coalesce("p.y", F.lit("")).alias("y"))
+    differ = lambda c: F.when(F.col("x") != F.col("y"), F.col(c))
+    n = F.length("x")
+    same = F.array(F.struct(F.lit("equal").alias("tag"), F.lit(0).alias("i1"), n.alias("i2"), F.lit(0).alias("j1"), n.alias("j2")))
+    equal = F.when(n > 0, same).otherwise(F.array().cast(OPS))
+    searched = both.select("doc_id", "line", "x", "y", search(differ("x"), differ("y")).alias("found"))
+    return searched.select("doc_id", "line", F.when(F.col("x") == F.col("y"), equal).otherwise(F.col("found")).alias("ops"))
+
+
+OPS = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+
+
+def _cells(a: Column, b: Column, spans: Column, cell) -> Column:
+    """For each span, ``cell(i, j, equal)`` of its pairs of characters."""
+    both = F.struct(tx.characters(a).alias("a"), tx.characters(b).alias("b"))
+
+    def one(signs: Column):
+        def pairs(s: Column) -> Column:
+            n = s["a_end"] - s["a_start"]
+            at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda k: cell(s["a_start"] + k, s["b_start"] + k, F.get(signs["a"], s["a_start"] + k) == F.get(signs["b"], s["b_start"] + k)))
+
+        return F.transform(spans, pairs)
+
+    return tx.once(both, one)
 
 
 def match_mask(b: Column, spans: Column, a: Column) -> Column:
-    """ALN12: for each character of b, whether it is aligned to an equal one."""
-    hit = lambda i: F.exists(spans, lambda s: (s["b_start"] <= i) & (i < s["b_end"]) & (F.substring(b, i + 1, F.lit(1)) == F.substring(a, s["a_start"] + i - s["b_start"] + 1, F.lit(1))))
-    return F.when(F.length(b) > 0, F.transform(F.sequence(F.lit(0), F.length(b) - 1), hit)).otherwise(F.array().cast("array<boolean>"))
+    """ALN12, SNK7: for each character of b, whether it is aligned to an equal one; spans
+    are in order, as the kernel gives them."""
+    hits = _cells(a, b, spans, lambda i, j, equal: equal)
+    none = lambda n: F.array_repeat(F.lit(False), F.greatest(n, F.lit(0)))
+
+    def joined(found: Column) -> Column:
+        before = lambda k: F.when(k > 0, F.get(spans, k - 1)["b_end"]).otherwise(0)
+        parts = F.transform(spans, lambda s, k: F.concat(none(s["b_start"] - before(k)), F.get(found, k)))
+        tail = none(F.length(b) - F.coalesce(F.element_at(F.transform(spans, lambda s: s["b_end"]), -1), F.lit(0)))
+        return F.concat(F.flatten(parts), tail)
+
+    return F.when(F.size(spans) > 0, tx.once(hits, joined)).otherwise(none(F.length(b)))
 
 
 def alignment_cells(rows: DataFrame) -> DataFrame:
     """ALN13: the sparse matrix of ``doc_id, a, b, spans``: 1 equal, 0.5 aligned."""
-    pairs = rows.select("doc_id", "a", "b", F.explode("spans").alias("s")).where("s.a_end > s.a_start")
-    at = pairs.select("doc_id", "a", "b", "s", F.explode(F.sequence(F.lit(0), F.col("s.a_end") - F.col("s.a_start") - 1)).alias("k"))
-    at = at.select("doc_id", (F.col("s.a_start") + F.col("k")).alias("i"), (F.col("s.b_start") + F.col("k")).alias("j"), "a", "b")
-    return at.select("doc_id", "i", "j", F.when(F.substring("a", F.col("i") + 1, F.lit(1)) == F.substring("b", F.col("j") + 1, F.lit(1)), 1.0).otherwise(0.5).alias("v"))
+    value = lambda i, j, equal: F.struct(i.alias("i"), j.alias("j"), F.when(equal, 1.0).otherwise(0.5).alias("v"))
+    return rows.select("doc_id", F.inline(F.flatten(_cells(F.col("a"), F.col("b"), F.col("spans"), value))))
 
 
 def merge_overlap(a: str, b: str, **scores) -> str:
@@ -209,13 +261,29 @@ def fold_overlaps(parts: list[str], **scores) -> str:
 
 
 def merge_documents(docs: DataFrame, **scores) -> DataFrame:
-    """ALN16, ALN17 over ``doc_id, parts``."""
+    """ALN16, ALN17 over ``doc_id, parts``; null parts give null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text = [None if p is None else fold_overlaps([x or "" for x in p], **scores) for p in batch["parts"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": text})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "parts").mapInPandas(run, f"doc_id {kind}, text string")
 
-    @F.pandas_udf("string")
-    def fold(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: fold_overlaps([x or "" for x in p], **scores), na_action="ignore")
 
-    return docs.select("doc_id", fold("parts").alias("text"))
+def _dense_run(ops: str, width: int, least: float, take: str) -> tuple[int, int]:
+    hit = np.frombuffer(ops.encode("utf-32-le", "surrogatepass"), np.uint32) == ord("|")
+    n, before = len(hit), np.concatenate(([0], np.cumsum(hit)))
+    at = np.arange(n)
+    left = np.where(at >= width, before[at] - before[np.maximum(at - width, 0)], 0) / width
+    right = (before[np.minimum(at + width, n)] - before[at]) / width
+    good = (np.maximum if take == "max" else np.minimum)(left, right) >= least
+    turns = np.nonzero(np.diff(np.concatenate(([0], good, [0])).astype(np.int8)))[0].reshape(-1, 2)
+    if not len(turns):
+        return -1, -1
+    start, end = turns[int((turns[:, 1] - turns[:, 0]).argmax())].tolist()
+    return start, end - 1
 
 
 def dense_runs(edits: DataFrame, width: int = 10, least: float = 0.8, take: str = "max") -> DataFrame:
@@ -223,17 +291,12 @@ def dense_runs(edits: DataFrame, width: int = 10, least: float = 0.8, take: str
     ``width`` operations before or from it are matches: ``doc_id, start, end`` inclusive,
     -1 without any; ``take`` is ``max``, or ``min`` to ask for both sides.
 
-    Positions are rows within a document, so windows and islands stay in its partition.
-    A side that would reach beyond the beginning counts as 0.
+    Each text is smoothed within its row by running sums.  A side that would reach beyond
+    the beginning counts as 0.
     """
-    rows = edits.select("doc_id", F.posexplode(F.filter(F.split("ops", ""), lambda x: x != "")).alias("pos", "op"))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    hit = (F.col("op") == "|").cast("int")
-    left = F.when(F.col("pos") >= width, F.sum(hit).over(by.rowsBetween(-width, -1)) / width).otherwise(0.0)
-    right = F.sum(hit).over(by.rowsBetween(0, width - 1)) / width
-    good = (F.greatest if take == "max" else F.least)(left, right) >= least
-    marked = rows.select("doc_id", "pos", good.alias("good")).where("good")
-    island = marked.select("doc_id", "pos", (F.col("pos") - F.row_number().over(by)).alias("island"))
-    runs = island.groupBy("doc_id", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
-    best = runs.groupBy("doc_id").agg(F.min_by(F.struct("start", "end"), F.struct(F.col("start") - F.col("end"), F.col("start"))).alias("r"))
-    return edits.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("r.start", F.lit(-1)).alias("start"), F.coalesce("r.end", F.lit(-1)).alias("end"))
+
+    @F.pandas_udf("struct<start:int,end:int>")
+    def longest(ops: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_dense_run(o or "", width, least, take) for o in ops], columns=["start", "end"])
+
+    return edits.select("doc_id", longest("ops").alias("r")).select("doc_id", "r.start", "r.end")

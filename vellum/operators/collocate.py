@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
@@ -35,23 +35,84 @@ def neighbour_counts(tokens: DataFrame, window: int = 2, selected: Sequence[str]
     return both.where(F.col("w1").isin(list(selected))) if selected is not None else both
 
 
+def counts(docs: DataFrame, columns: Sequence[str], window: int = 2) -> DataFrame:
+    """``a, b, single, n_<column>...``: one scan and one aggregation of words (b null) and
+    canonical pairs, by text column."""
+    from_column = lambda c: F.array(*[F.lit(int(c == k)) for k in columns])
+
+    def entries(c: str) -> Column:
+        def both(t: Column) -> Column:
+            words = F.transform(t, lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
+            ahead = [F.when(F.size(t) > k, F.zip_with(
+                F.slice(t, 1, F.size(t) - k), F.slice(t, k + 1, F.size(t) - k), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+            )).otherwise(F.array().cast("array<struct<a:string,b:string>>")) for k in range(1, window + 1)]
+            return F.concat(words, *ahead)
+
+        tokens = tx.tokenize(tx.normalize_words(F.col(c), True, quotes=True))
+        found = F.coalesce(tx.once(tokens, both), F.array().cast("array<struct<a:string,b:string>>"))
+        return F.transform(found, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), from_column(c).alias("of")))
+
+    each = docs.select(F.explode(F.concat(*[entries(c) for c in columns])).alias("e"))
+    sums = [F.sum(F.get(F.col("e.of"), F.lit(i))).alias(f"n_{c}") for i, c in enumerate(columns)]
+    return each.groupBy("e.a", "e.b").agg(F.max(F.col("e.b").isNull()).alias("single"), *sums)
+
+
+def collocations_by(docs: DataFrame, columns: Sequence[str], window: int = 2, cutoff: int = 4) -> DataFrame:
+    """COL1-3, FLT7: ``w1, w2`` and for each text column ``mi2_, f12_, f1_, f2_``, null
+    where the pair does not pass the cutoff there.
+
+    Counts of words and N are over all tokens, before any cutoff.  The three uses of the
+    counts read one shuffle: what tells them apart is an aggregate, which no filter passes.
+    """
+    every = counts(docs, columns, window)
+    words = every.where("single")
+    totals = F.broadcast(words.agg(*[F.sum(f"n_{c}").alias(f"total_{c}") for c in columns]))  # one row
+    often = F.lit(False)
+    for c in columns:
+        often |= F.col(f"n_{c}") >= cutoff
+    named = lambda w, f: words.where(often).select(F.col("a").alias(w), *[F.col(f"n_{c}").alias(f"{f}_{c}") for c in columns])
+    # a word beside itself counts from both ends
+    twice = F.when(F.col("a") == F.col("b"), 2).otherwise(1)
+    pairs = every.where(~F.col("single")).select(F.col("a").alias("w1"), F.col("b").alias("w2"), *[(twice * F.col(f"n_{c}")).alias(f"n_{c}") for c in columns])
+    joined = pairs.where(often).join(named("w1", "x"), "w1").join(named("w2", "y"), "w2").crossJoin(totals)
+    out = []
+    for c in columns:
+        n, x, y = (F.col(f"{k}_{c}") for k in "nxy")
+        passed = (n >= cutoff) & (x >= cutoff) & (y >= cutoff)
+        mi2 = F.log2(n.cast("double") * n / (x.cast("double") * y / F.col(f"total_{c}")))
+        out += [F.when(passed, v).alias(f"{k}_{c}") for k, v in (("mi2", mi2), ("f12", n), ("f1", x), ("f2", y))]
+    return joined.select("w1", "w2", *out)
+
+
 def collocations(docs: DataFrame, column: str, window: int = 2, cutoff: int = 4, selected: Sequence[str] | None = None) -> DataFrame:
     """COL1-4: ``w1, w2, mi2, f12, f1, f2``, a row per unordered pair.
 
-    Counts of words and N are over all tokens, before any cutoff.  With ``selected``,
-    w1 is a selected word; a pair of two selected words is given once.
+    FLT8: with ``selected``, w1 is a selected word; a pair of two selected words is given
+    once, in canonical order.
     """
-    tokens = token_arrays(docs, column)
-    words = word_counts(tokens)
-    total = words.agg(F.sum("n").alias("total"))
-    frequent = words.where(F.col("n") >= cutoff)
-    pairs = neighbour_counts(tokens, window, selected).where(F.col("n") >= cutoff)
-    once = F.col("w1") <= F.col("w2")
-    pairs = pairs.where(once if selected is None else once | ~F.col("w2").isin(list(selected)))
-    named = lambda w, f: frequent.select(F.col("word").alias(w), F.col("n").alias(f))
-    joined = pairs.withColumnRenamed("n", "f12").join(named("w1", "f1"), "w1").join(named("w2", "f2"), "w2").crossJoin(F.broadcast(total))  # one row
-    mi2 = F.log2(F.col("f12").cast("double") * F.col("f12") / (F.col("f1").cast("double") * F.col("f2") / F.col("total")))
-    return joined.select("w1", "w2", mi2.alias("mi2"), "f12", "f1", "f2")
+    found = collocations_by(docs, [column], window, cutoff).where(F.col(f"mi2_{column}").isNotNull())
+    found = found.select("w1", "w2", *[F.col(f"{k}_{column}").alias(k) for k in ("mi2", "f12", "f1", "f2")])
+    if selected is None:
+        return found
+    one, two = F.col("w1").isin(list(selected)), F.col("w2").isin(list(selected))
+    turn = lambda a, b: F.when(one, F.col(a)).otherwise(F.col(b))
+    return found.where(one | two).select(turn("w1", "w2").alias("w1"), turn("w2", "w1").alias("w2"), "mi2", "f12", turn("f1", "f2").alias("f1"), turn("f2", "f1").alias("f2"))
+
+
+def significant_by(found: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
+    """COL5-7, FLT9, FLT10, SET4, SET5: pairs of two different words at or over the
+    threshold in some text column; ``region`` has the first letters of these columns, G for
+    the reference, and ``mi2`` is the first one's, the reference before the others."""
+    over = {c: F.col(f"mi2_{c}") >= threshold for c in columns}
+    letter = lambda c: "G" if c == "reference" else c[0].upper()
+    region = F.concat(*[F.when(over[c], letter(c)).otherwise("") for c in columns])
+    shown = F.coalesce(*[F.when(over[c], F.col(f"mi2_{c}")) for c in columns])
+    return found.where(F.col("w1") != F.col("w2")).select("w1", "w2", region.alias("region"), shown.alias("mi2")).where("region <> ''")
+
+
+def report(found: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """COL4: how many pairs there are and how many at or over the threshold."""
+    return found.agg(F.count("*").alias("pairs"), F.count_if(F.col("mi2") >= threshold).alias("significant"))
 
 
 def ranked(found: DataFrame, limit: int | None = None) -> DataFrame:

@@ -147,17 +147,20 @@ def op_counts(edits: DataFrame) -> DataFrame:
 
 def change_runs(edits: DataFrame) -> DataFrame:
     """AGG6, WIN5: maximal runs of operations other than a match that a match follows:
-    ``doc_id, start, length, change``, gaps shown."""
-    sign = lambda c, i, n: tx.show_gaps(F.substring(c, i, n))
-    # the text up to and with each run, so lengths give positions
-    runs = F.regexp_extract_all("ops", F.lit(r"\|*([^|]+)(?=\|)"), F.lit(0))
-    at = F.aggregate(runs, F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,length:int>>").alias("out")), lambda acc, r: F.struct(
-        (acc["end"] + F.length(r)).alias("end"),
-        F.concat(acc["out"], F.array(F.struct((acc["end"] + F.length(F.regexp_extract(r, r"^\|*", 0))).alias("start"), F.length(F.regexp_replace(r, r"^\|*", "")).alias("length")))).alias("out"),
-    ))["out"]
-    rows = edits.select("doc_id", "original", "corrected", F.inline(at))
-    change = F.concat(sign(F.col("original"), F.col("start") + 1, F.col("length")), F.lit(" -> "), sign(F.col("corrected"), F.col("start") + 1, F.col("length")))
-    return rows.select("doc_id", "start", "length", change.alias("change"))
+    ``doc_id, start, length, change``, gaps shown.  Texts are split once and indexed."""
+    signs = F.struct(*[tx.characters(F.col(c)).alias(c) for c in ("original", "corrected", "ops")])
+
+    def runs(s: Column) -> Column:
+        hit = lambda i: F.get(s["ops"], i) == "|"
+        at = F.when(F.size(s["ops"]) > 0, F.sequence(F.lit(0), F.size(s["ops"]) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: ~hit(i) & ((i == 0) | hit(F.greatest(i - 1, F.lit(0)))))
+        ends = F.filter(at, lambda i: (i > 0) & hit(i) & ~hit(F.greatest(i - 1, F.lit(0))))
+        closed = F.filter(F.arrays_zip(starts.alias("i"), ends.alias("j")), lambda r: r["j"].isNotNull())
+        part = lambda c, r: tx.show_gaps(F.array_join(F.slice(s[c], r["i"] + 1, r["j"] - r["i"]), ""))
+        change = lambda r: F.concat(part("original", r), F.lit(" -> "), part("corrected", r))
+        return F.transform(closed, lambda r: F.struct(r["i"].alias("start"), (r["j"] - r["i"]).alias("length"), change(r).alias("change")))
+
+    return edits.select("doc_id", F.inline(tx.once(signs, runs)))
 
 
 def change_lengths(runs: DataFrame) -> DataFrame:
@@ -174,21 +177,23 @@ def long_changes(runs: DataFrame) -> DataFrame:
 def change_types(runs: DataFrame, shorter_than: int = 5) -> DataFrame:
     """AGG8: short changes by kind, as a share of all changes."""
     n = runs.groupBy("change", (F.col("length") < shorter_than).alias("short")).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", ratio(100 * F.col("n"), F.sum("n").over(Window.partitionBy()))).where("short").drop("short")
+    total = F.broadcast(n.agg(F.sum("n").alias("total")))  # one row
+    return n.where("short").crossJoin(total).select("change", "n", ratio(100 * F.col("n"), F.col("total")).alias("pct"))
 
 
 # Trials
 
 
 def trial_chunks(trials: DataFrame, size: int = 200) -> DataFrame:
-    """AGG13, MET11: weighted clipped improvement of each full chunk of a model's trials.
+    """AGG13, MET11: weighted clipped improvement of each full chunk of a model's trials;
+    chunks short of ``size`` are dropped.
 
     ``trials(model, row_id, original, predicted, weight)``.
     """
     part = trials.withColumn("chunk", F.floor(F.col("row_id") / size))
     gain = improvement(F.col("original"), F.col("predicted"))
     rows = part.withColumn("gain", gain).groupBy("model", "chunk").agg(F.count("*").alias("n"), ratio(F.sum(F.col("gain") * F.col("weight")), F.sum("weight")).alias("improvement"))
-    return rows
+    return rows.where(F.col("n") == size)
 
 
 def top_per_group(rows: DataFrame, group: str, by: str, tie: str, k: int = 10) -> DataFrame:
@@ -226,13 +231,20 @@ def minmax_scale(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.crossJoin(ends).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in rows.columns])
 
 
-def uniform_rank(rows: DataFrame, x: str, out: str) -> DataFrame:
-    """AGG19: a value's share of smaller ones, ties averaged.
+def uniform_rank(rows: DataFrame, x: str, out: str, pieces: int = 200) -> DataFrame:
+    """AGG19: a value's share of smaller ones, ties averaged; null without a value or
+    where there is only one row.
 
-    Counts are added up over distinct values, so only these pass through one task.
+    Counts are added up over distinct values, within pieces that approximate quantiles
+    part, and over the pieces; the result does not depend on where they are parted.
     """
-    n = rows.groupBy(x).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy())
-    rank = n.select(x, ratio(below + (F.col("_n") - 1) / 2, total - 1).alias(out))
-    return rows.join(rank, x)
+    n = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_n"))
+    ends = n.agg(F.percentile_approx(x, [i / pieces for i in range(1, pieces)], 10_000).alias("_ends"))
+    dealt = n.crossJoin(F.broadcast(ends)).select(x, "_n", F.size(F.filter("_ends", lambda e: e < F.col(x))).alias("_piece"))  # one row
+    totals = dealt.groupBy("_piece").agg(F.sum("_n").alias("_t"))
+    before = lambda w: F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.broadcast(totals.select("_piece", before(Window.orderBy("_piece")).alias("_ahead"), F.sum("_t").over(Window.partitionBy()).alias("_total")))  # a row for each piece
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_piece").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_below", within).join(ahead, "_piece")
+    rank = placed.select(x, ratio(F.col("_ahead") + F.col("_below") + (F.col("_n") - 1) / 2, F.col("_total") - 1).alias(out))
+    return rows.join(rank, x, "left")

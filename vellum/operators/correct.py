@@ -7,6 +7,7 @@ answer before it.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import affine
+from vellum.functions.text import chop_pattern
 from vellum.operators.align import DROP, fold_overlaps
 from vellum.operators.metrics import document_scores, objective
 
@@ -48,18 +50,21 @@ def overlap_start(text: str, cut_off: int = 100) -> str:
     return text[max(at, 0) :]
 
 
-def drop_words(text: str, n: int = 5) -> str:
-    """Context without its last n words, which the next block repeats."""
-    found = re.match(rf"(?s)(.*?)(?:\S+\s*){{{n}}}$", text)
-    return found[1] if found else ""
+def chopped(text: str, n: int = 5) -> str:
+    """TXT21 for one text: context without its last n words, which the next block repeats;
+    empty where the text is too short."""
+    found = re.match(chop_pattern(n), text)
+    return (found[1] or "") if found else ""
 
 
-def correct_blocks(blocks: Sequence[str], model: Model, degree: int = 1, first: str = "", again: str = "", **scores) -> tuple[list[str], list[str]]:
+def correct_blocks(blocks: Sequence[str], model: Model, degree: int = 1, first: str = "", again: str = "", between: str = "\n\n", **scores) -> tuple[list[str], list[str]]:
     """LM4-6: corrected blocks and raw answers of one document.
 
     Degree 0 keeps answers as they are, 1 clips each to its block, 2 feeds the answer
     before into the next prompt and merges all, 3 also repeats the end of the first block
     before the second, and 4 feeds back but aligns to the block alone and does not merge.
+    Prompts are ``first`` and the block, then ``again``, the answer before, ``between``
+    and the block.
     """
     blocks = list(blocks)
     if degree == 3 and len(blocks) > 1:
@@ -70,18 +75,18 @@ def correct_blocks(blocks: Sequence[str], model: Model, degree: int = 1, first:
             raw += model([first + block])
             out.append(clip(block, raw[-1], **scores) if degree else raw[-1])
         else:
-            context = drop_words(out[-1]) if degree == 3 else out[-1]
-            raw += model([again + context + '\n\n"Text to correct:" ' + block])
+            context = chopped(out[-1]) if degree == 3 else out[-1]
+            raw += model([again + context + between + block])
             out.append(clip(block if degree > 3 else blocks[i - 1] + block, raw[-1], **scores))
     return ([fold_overlaps(out, **scores), ""] if degree in (2, 3) and out else out), raw
 
 
-def correct_documents(docs: DataFrame, model: Model, degree: int = 1, first: str = "", again: str = "", **scores) -> DataFrame:
+def correct_documents(docs: DataFrame, model: Model, degree: int = 1, first: str = "", again: str = "", between: str = "\n\n", **scores) -> DataFrame:
     """LM6, LM7, WIN3: ``docs(doc_id, blocks)`` to ``doc_id, corrected, answers``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [correct_blocks([b or "" for b in blocks], model, degree, first, again, **scores) for blocks in batch["blocks"]]
+            done = [correct_blocks([b or "" for b in blocks], model, degree, first, again, between, **scores) for blocks in batch["blocks"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "corrected": [d[0] for d in done], "answers": [d[1] for d in done]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -100,6 +105,27 @@ def trial_table(spark: SparkSession, space: dict[str, Sequence[float]]) -> DataF
     return spark.createDataFrame(rows, "trial int, parameters map<string,double>")
 
 
+#: What LM9's three spaces draw from, between two ends.  A fourth item names
+#: the parameter without which this one is 0.
+SPACES: dict[str, dict[str, tuple]] = {
+    "mirostat": {"temperature": ("float", 0.0, 2.0), "mirostat": ("int", 0, 2), "mirostat_tau": ("float", 0.0, 10.0, "mirostat")},
+    "mirostat_eta": {"temperature": ("float", 0.0, 2.0), "mirostat": ("int", 0, 2), "mirostat_tau": ("float", 0.0, 10.0, "mirostat"), "mirostat_eta": ("float", 0.01, 0.2, "mirostat")},
+    "nucleus": {"temperature": ("float", 0.0, 2.0), "top_k": ("int", 10, 100), "top_p": ("float", 0.5, 0.95)},
+}
+
+
+def random_trials(spark: SparkSession, space: dict[str, tuple], n: int = 100, seed: int = 0) -> DataFrame:
+    """LM9: n seeded draws from a space: ``trial, parameters``; the same on each run."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        drawn: dict[str, float] = {}
+        for name, (kind, low, high, *needs) in space.items():
+            value = rng.uniform(low, high) if kind == "float" else float(rng.randint(low, high))
+            drawn[name] = value if all(drawn[x] for x in needs) else 0.0
+        rows.append((i, drawn))
+    return spark.createDataFrame(rows, "trial int, parameters map<string,double>")
+
+
 def search(docs: DataFrame, trials: DataFrame, answer: Callable[[str, dict], str]) -> DataFrame:
     """LM9: the objective of each trial over all documents, best first.
 
@@ -118,4 +144,4 @@ def search(docs: DataFrame, trials: DataFrame, answer: Callable[[str, dict], str
     return trials.join(total, "trial").orderBy(F.desc("objective"), "trial")
 
 
-__all__ = ["Model", "clip", "correct_blocks", "correct_documents", "drop_words", "generate", "objective", "overlap_start", "run_and_score", "search", "trial_table"]
+__all__ = ["Model", "clip", "correct_blocks", "chopped", "correct_documents", "generate", "objective", "overlap_start", "random_trials", "run_and_score", "search", "trial_table"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.functions.distance import char_edits, word_edits
+from vellum.functions.distance import measures
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -14,10 +14,6 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def words_in(text: Column) -> Column:
-    return F.size(tx.tokenize(text))
-
-
 def improvement(original: Column, predicted: Column, clip: bool = True, guard: bool = True) -> Column:
     """MET7: relative fall of an error score, clipped to [-1, 1].
 
@@ -38,12 +34,9 @@ def document_scores(triples: DataFrame, metric: str = "cer", lowercase: bool = F
     """
     if metric not in ("cer", "wer"):
         raise ValueError(f"unknown metric: {metric}")
-    norm = triples.select("doc_id", *[tx.normalize(F.col(c), lowercase, modernize).alias(c) for c in ("original", "corrected", "reference")], F.length("corrected").alias("raw_length"), F.length("original").alias("input_length"))
-    edit, length = (char_edits, F.length) if metric == "cer" else (word_edits, words_in)
-    measured = norm.select(
-        "doc_id", "raw_length", "input_length", length(F.col("reference")).alias("ref_length"), length(F.col("corrected")).alias("weight"), length(F.col("original")).alias("orig_weight"),
-        edit(F.col("corrected"), F.col("reference")).alias("edits"), edit(F.col("original"), F.col("reference")).alias("orig_edits"),
-    )
+    ready = lambda c: tx.squeeze(F.translate(c, "wW", "vV") if modernize else F.col(c))
+    m = measures(ready("original"), ready("corrected"), ready("reference"), metric, lowercase)
+    measured = triples.select("doc_id", F.length("corrected").alias("raw_length"), F.length("original").alias("input_length"), m.alias("m")).select("doc_id", "raw_length", "input_length", "m.*")
     scored = measured.withColumns({"score": ratio(F.col("edits"), F.col("ref_length")), "orig_score": ratio(F.col("orig_edits"), F.col("ref_length"))})
     return scored.withColumn("improvement", improvement(F.col("orig_score"), F.col("score")))
 
@@ -98,6 +91,25 @@ def improved_counts(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count_if(F.col("score") < F.col("orig_score")).alias("improved"), F.count("*").alias("total"))
 
 
+def scores_in_order(books: DataFrame, scores: DataFrame, key: str = "book_id", order: str = "row_id") -> DataFrame:
+    """JOIN8: the scores of the listed books, in the order of the list."""
+    return books.select(key, order).join(scores, key).orderBy(order)
+
+
+def merge_scores(cer: DataFrame, f1: DataFrame, key: str = "book_id") -> DataFrame:
+    """JOIN13: F1 scores beside the CER rows of the books that have both."""
+    return cer.join(f1, key)
+
+
+def by_position(original: DataFrame, runs: dict[str, DataFrame], value: str, order: str = "row_id") -> DataFrame:
+    """JOIN14: each run's value beside the original row of the same position; positions
+    that a run lacks are left out, as an alignment by index would."""
+    out = original
+    for name, run in runs.items():
+        out = out.join(run.select(order, F.col(value).alias(name)), order)
+    return out
+
+
 def bag_counts(pairs: DataFrame, predicted: str, reference: str) -> DataFrame:
     """MET16: multiset overlap of tokens by document: tp, fp, fn, f1.
 

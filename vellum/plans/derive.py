@@ -76,14 +76,14 @@ def years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as records of six models' trials."""
+    """Events as records of six models' trials, 200 in a chunk; some chunks are short."""
     e = table(spark, sf_dir, "events")
     value = F.coalesce("value", F.lit(0.0))
-    return e.select((F.col("user_id") % 6).alias("model"), F.col("event_id").alias("row_id"), (F.col("event_id") % 7 / 10).cast("double").alias("original"), (F.abs(value) % 1).alias("predicted"), (F.col("event_id") % 50 + 1).cast("double").alias("weight"))
+    return e.where("event_id % 900 <> 3").select((F.floor(F.col("event_id") / 200) % 6).alias("model"), F.col("event_id").alias("row_id"), (F.col("event_id") % 7 / 10).cast("double").alias("original"), (F.abs(value) % 1).alias("predicted"), (F.col("event_id") % 50 + 1).cast("double").alias("weight"))
 
 
 TRIALS = """
-trials AS (SELECT user_id % 6 AS model, event_id AS row_id, (event_id % 7) / 10.0::DOUBLE AS original, abs(coalesce(value, 0.0::DOUBLE)) % 1 AS predicted, (event_id % 50 + 1)::DOUBLE AS weight FROM events)"""
+trials AS (SELECT (event_id // 200) % 6 AS model, event_id AS row_id, (event_id % 7) / 10.0::DOUBLE AS original, abs(coalesce(value, 0.0::DOUBLE)) % 1 AS predicted, (event_id % 50 + 1)::DOUBLE AS weight FROM events WHERE event_id % 900 <> 3)"""
 
 
 def r6(c: str | Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import align, collocate, corpus, correct, metrics
 from vellum.plans.derive import EDITS, PAGES, TRIALS, TRIPLES, edits, pages, r6, table, trials, triples, years
+from vellum.sources import io
 from vellum.streaming.resume import remaining
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +136,30 @@ def nonspace_change_pct(spark, d):
     return rounded(metrics.volume_change(rows, "a", "b"))
 
 
+@query(f"WITH {TRIPLES}, {_BAG('corrected')}, {_BAG('reference')}, {_BOW('corrected')} SELECT doc_id, round(f1, 6) AS f1 FROM corrected_f SEMI JOIN labels USING (doc_id)")
+def scores_in_order(spark, d):
+    """JOIN8: scores of the labelled documents."""
+    books = table(spark, d, "labels").select("doc_id").distinct().withColumn("row_id", F.col("doc_id"))
+    return rounded(metrics.scores_in_order(books, metrics.bag_counts(triples(spark, d), "corrected", "reference").select("doc_id", "f1"), "doc_id").drop("row_id"))
+
+
+@query(f"WITH {TRIPLES}, {_BAG('corrected')}, {_BAG('original')}, {_BAG('reference')}, {_BOW('corrected')}, {_BOW('original')} SELECT doc_id, round(o.f1, 6) AS original_f1, round(c.f1, 6) AS corrected_f1 FROM original_f o JOIN corrected_f c USING (doc_id)")
+def scores_merged(spark, d):
+    """JOIN13."""
+    one = lambda c: metrics.bag_counts(triples(spark, d), c, "reference").select("doc_id", F.col("f1").alias(f"{c}_f1"))
+    return rounded(metrics.merge_scores(one("original"), one("corrected"), "doc_id"))
+
+
+@query(f"WITH {TRIALS}, p AS (SELECT row_number() OVER (PARTITION BY model ORDER BY row_id) - 1 AS row_id, model, original, predicted FROM trials) SELECT a.row_id, a.original, b.predicted AS low, c.predicted AS high FROM p a JOIN p b ON a.row_id = b.row_id JOIN p c ON a.row_id = c.row_id WHERE a.model = 0 AND b.model = 1 AND c.model = 2")
+def improvements_by_position(spark, d):
+    """JOIN14: two models' scores beside the original rows of the same position."""
+    t = trials(spark, d)
+    place = F.row_number().over(Window.partitionBy("model").orderBy("row_id")) - 1
+    placed = t.withColumn("row_id", place.cast("long"))
+    own = lambda m: placed.where(F.col("model") == m)
+    return metrics.by_position(own(0).select("row_id", "original"), {"low": own(1), "high": own(2)}, "predicted")
+
+
 # Vocabularies
 
 
@@ -182,6 +207,12 @@ def idf(spark, d):
     return rounded(corpus.idf(triples(spark, d), "reference"))
 
 
+@query(f"WITH {TRIPLES}, a AS (SELECT unnest({WORDS(NORM('lower(reference)'))}) AS word FROM triples), k AS (SELECT word, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, word LIMIT 300), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(reference), '\\b\\w\\w+\\b')) AS word FROM triples), i AS (SELECT word, count(*) AS df, ln((1.0 + (SELECT count(*) FROM triples)) / (1 + count(*))) + 1 AS idf FROM w GROUP BY 1) SELECT word, n, df, round(idf, 6) AS idf FROM k JOIN i USING (word) WHERE idf BETWEEN 2 AND 5")
+def idf_band(spark, d):
+    """FLT13."""
+    return rounded(corpus.idf_band(triples(spark, d), "reference"))
+
+
 # Pages and books
 
 
@@ -244,6 +275,12 @@ def year_stats(spark, d):
     return rounded(corpus.year_stats(years(spark, d), 1996, 2000))
 
 
+@query("WITH y AS (SELECT year(o_orderdate) AS year FROM orders), e AS (SELECT min(year) AS lo, max(year) AS hi FROM y) SELECT least(year - lo, greatest(hi - lo - 1, 0))::INT AS bin, count(*) AS books FROM y, e GROUP BY 1")
+def year_bins(spark, d):
+    """AGG10."""
+    return corpus.year_bins(years(spark, d))
+
+
 @query(f"WITH {TRIPLES}, y AS (SELECT o_orderkey AS doc_id, year(o_orderdate) AS year FROM orders), c AS (SELECT doc_id, len(regexp_extract_all(lower(original), '\\bthe\\b')) AS b, len(regexp_extract_all(lower(corrected), '\\bthe\\b')) AS a FROM triples) SELECT year, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after FROM c JOIN y USING (doc_id) GROUP BY 1 HAVING sum(a) + sum(b) > 0")
 def term_by_year(spark, d):
     """AGG11, JOIN4, TXT13."""
@@ -271,10 +308,6 @@ def mi2_all(spark, d):
     return rounded(collocate.collocations(triples(spark, d), "reference"))
 
 
-def _significant(spark, d):
-    return [collocate.significant(collocate.collocations(triples(spark, d), c)) for c in ("reference", "original", "corrected")]
-
-
 _REGIONS = f"WITH {TRIPLES}, {_TOKENS('reference')}, {_TOKENS('original')}, {_TOKENS('corrected')}, " + ", ".join(f"{v}_s AS (SELECT w1, w2, mi2 FROM {v}_m WHERE mi2 >= 3 AND w1 <> w2)" for v in ("reference", "original", "corrected"))
 
 
@@ -282,15 +315,38 @@ _REGIONS = f"WITH {TRIPLES}, {_TOKENS('reference')}, {_TOKENS('original')}, {_TO
 SELECT w1, w2, (CASE WHEN g IS NULL THEN '' ELSE 'G' END) || (CASE WHEN o IS NULL THEN '' ELSE 'O' END) || (CASE WHEN c IS NULL THEN '' ELSE 'C' END) AS region, round(coalesce(g, o, c), 6) AS mi2 FROM j""")
 def colloc_regions(spark, d):
     """COL5-7, SET4, SET5, FLT9, FLT10."""
-    return rounded(collocate.regions(*_significant(spark, d)))
+    columns = ["reference", "original", "corrected"]
+    return rounded(collocate.significant_by(collocate.collocations_by(triples(spark, d), columns), columns))
 
 
 @query(_REGIONS + """, b AS (SELECT count(*) AS n FROM original_s JOIN reference_s USING (w1, w2)), p AS (SELECT (SELECT n FROM b)::DOUBLE / (SELECT count(*) FROM original_s) AS precision, (SELECT n FROM b)::DOUBLE / (SELECT count(*) FROM reference_s) AS recall)
 SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p""")
 def colloc_pr(spark, d):
     """MET18."""
-    gold, original, _ = _significant(spark, d)
-    return rounded(metrics.set_scores(original, gold, ["w1", "w2"]))
+    both = ["reference", "original"]
+    found = collocate.significant_by(collocate.collocations_by(triples(spark, d), both), both)
+    return rounded(metrics.set_scores(found.where("region LIKE '%O%'"), found.where("region LIKE 'G%'"), ["w1", "w2"]))
+
+
+@query(f"WITH {TRIPLES}, {_TOKENS('reference')} SELECT count(*) AS pairs, count(*) FILTER (mi2 >= 3) AS significant FROM reference_m")
+def colloc_report(spark, d):
+    """COL4."""
+    return collocate.report(collocate.collocations(triples(spark, d), "reference"))
+
+
+@query(f"WITH {TRIPLES}, {_TOKENS('reference')} SELECT w1, w2, round(mi2, 6) AS mi2, f12, f1, f2 FROM reference_m ORDER BY round(mi2, 6) DESC, w1, w2 LIMIT 100")
+def colloc_top(spark, d):
+    """COL4, TOP3."""
+    return collocate.ranked(rounded(collocate.collocations(triples(spark, d), "reference")), 100)
+
+
+_PICKED = ("the", "of", "under")
+
+
+@query(f"WITH {TRIPLES}, {_TOKENS('reference')}, k AS (SELECT * FROM reference_m WHERE w1 IN {_PICKED} OR w2 IN {_PICKED}) SELECT CASE WHEN w1 IN {_PICKED} THEN w1 ELSE w2 END AS w1, CASE WHEN w1 IN {_PICKED} THEN w2 ELSE w1 END AS w2, round(mi2, 6) AS mi2, f12, CASE WHEN w1 IN {_PICKED} THEN f1 ELSE f2 END AS f1, CASE WHEN w1 IN {_PICKED} THEN f2 ELSE f1 END AS f2 FROM k")
+def colloc_selected(spark, d):
+    """FLT8."""
+    return rounded(collocate.collocations(triples(spark, d), "reference", selected=_PICKED))
 
 
 # Text and segments
@@ -315,7 +371,11 @@ def overlap_windows(spark, d):
     return triples(spark, d).select("doc_id", F.posexplode(tx.overlap_windows(F.col("reference"), 100, 0.2)).alias("slice", "text"))
 
 
-def _segments(spark, d, n=40):
+#: Words of a segment, the operators' own size.
+SEGMENT = 300
+
+
+def _segments(spark, d, n=SEGMENT):
     pieces = F.arrays_zip(tx.word_segments(F.col("original"), n).alias("a"), tx.word_segments(F.col("corrected"), n).alias("b"))
     rows = triples(spark, d).select("doc_id", F.posexplode(pieces).alias("seg", "p"))
     # one file may hold all texts; the kernels that follow cost far more than this shuffle
@@ -323,8 +383,8 @@ def _segments(spark, d, n=40):
     return spread.select("doc_id", "seg", F.coalesce("p.a", F.lit("")).alias("a"), F.coalesce("p.b", F.lit("")).alias("b"))
 
 
-@query(f"""WITH {TRIPLES}, w AS (SELECT doc_id, {WORDS('original')} AS o, {WORDS('corrected')} AS c FROM triples), s AS (SELECT doc_id, o, c, unnest(generate_series(0, (greatest(len(o), len(c)) - 1) // 40)) AS seg FROM w WHERE greatest(len(o), len(c)) > 0),
-t AS (SELECT doc_id, seg, length(replace(array_to_string(o[seg * 40 + 1 : seg * 40 + 40], ''), '-', '')) AS a, length(replace(array_to_string(c[seg * 40 + 1 : seg * 40 + 40], ''), '-', '')) AS b FROM s)
+@query(f"""WITH {TRIPLES}, w AS (SELECT doc_id, {WORDS('original')} AS o, {WORDS('corrected')} AS c FROM triples), s AS (SELECT doc_id, o, c, unnest(generate_series(0, (greatest(len(o), len(c)) - 1) // {SEGMENT})) AS seg FROM w WHERE greatest(len(o), len(c)) > 0),
+t AS (SELECT doc_id, seg, length(replace(array_to_string(o[seg * {SEGMENT} + 1 : seg * {SEGMENT} + {SEGMENT}], ''), '-', '')) AS a, length(replace(array_to_string(c[seg * {SEGMENT} + 1 : seg * {SEGMENT} + {SEGMENT}], ''), '-', '')) AS b FROM s)
 SELECT doc_id, seg::INT AS seg, coalesce(sum(a) OVER q, 0)::INT AS a_before, coalesce(sum(b) OVER q, 0)::INT AS b_before FROM t WINDOW q AS (PARTITION BY doc_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def segment_offsets(spark, d):
     """WIN2."""
@@ -363,6 +423,12 @@ def change_lengths(spark, d):
     return rounded(corpus.change_lengths(corpus.change_runs(edits(spark, d))))
 
 
+@query(_RUNS + "SELECT count(*) AS changes, count(*) FILTER (length > 5) AS over_5, count(*) FILTER (length > 10) AS over_10 FROM runs")
+def long_changes(spark, d):
+    """AGG7."""
+    return corpus.long_changes(corpus.change_runs(edits(spark, d)))
+
+
 @query(_RUNS + ", n AS (SELECT change, length < 5 AS s, count(*) AS n FROM runs GROUP BY 1, 2), t AS (SELECT *, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM n) SELECT change, n, pct FROM t WHERE s")
 def change_types(spark, d):
     """AGG8."""
@@ -381,7 +447,7 @@ def density_runs(spark, d):
 # Trials
 
 
-_GAIN = f"WITH {TRIALS}, t AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN original = 0 THEN -predicted ELSE (original - predicted) / original END)) AS gain, row_id // 200 AS chunk FROM trials), k AS (SELECT model, chunk::BIGINT AS chunk, count(*) AS n, round(sum(gain * weight) / sum(weight), 6) AS improvement FROM t GROUP BY ALL) "
+_GAIN = f"WITH {TRIALS}, t AS (SELECT *, greatest(-1.0, least(1.0, CASE WHEN original = 0 THEN -predicted ELSE (original - predicted) / original END)) AS gain, row_id // 200 AS chunk FROM trials), k AS (SELECT model, chunk::BIGINT AS chunk, count(*) AS n, round(sum(gain * weight) / sum(weight), 6) AS improvement FROM t GROUP BY ALL HAVING count(*) = 200) "
 
 
 @query(_GAIN + "SELECT * FROM k")
@@ -421,6 +487,100 @@ def minmax_scale(spark, d):
     return rounded(corpus.minmax_scale(table(spark, d, "events").select("event_id", "value"), "value"))
 
 
+@query("WITH v AS (SELECT event_id, value FROM events), r AS (SELECT event_id, value, rank() OVER (ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY value) AS ties, count(*) OVER () AS n FROM v WHERE value IS NOT NULL) SELECT event_id, round((below + (ties - 1) / 2.0::DOUBLE) / (n - 1), 6) AS rank FROM v LEFT JOIN r USING (event_id)")
+def uniform_rank(spark, d):
+    """AGG19."""
+    return rounded(corpus.uniform_rank(table(spark, d, "events").select("event_id", "value"), "value", "rank").select("event_id", "rank"))
+
+
+# Files, written and read again
+
+
+def _in_order(df: DataFrame, key: str) -> DataFrame:
+    """A table whose files, in order of their paths, hold the rows in order of a key."""
+    return df.repartitionByRange(4, key).sortWithinPartitions(key)
+
+
+@query(f"WITH {TRIPLES} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, original AS input, reference AS output FROM triples QUALIFY row_id < 500")
+def file_pairs(spark, d):
+    """SRC2, SRC3, SNK1, JOIN1, TOP7."""
+    path = io.scratch_dir(spark, "pairs")
+    io.write_jsonl(_in_order(triples(spark, d), "doc_id").select(F.col("original").alias("input"), F.col("reference").alias("output")), path)
+    return io.read_pairs(spark, path, 500)
+
+
+@query(f"WITH {TRIPLES} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, CASE WHEN doc_id % 2 = 0 THEN corrected ELSE original END AS text FROM triples")
+def file_text_key(spark, d):
+    """SRC1."""
+    path, even = io.scratch_dir(spark, "texts"), F.col("doc_id") % 2 == 0
+    rows = _in_order(triples(spark, d), "doc_id").select(F.when(even, F.struct(F.col("corrected").alias("output"))).alias("originals"), F.when(~even, F.col("original")).alias("output"))
+    io.write_jsonl(rows, path)
+    return io.read_text_key(spark, path)
+
+
+@query(f"WITH {TRIPLES} SELECT corrected FROM triples")
+def file_field(spark, d):
+    """SRC5, SRC13."""
+    path = io.scratch_dir(spark, "field")
+    io.write_jsonl(triples(spark, d), path)
+    return io.read_field(spark, path, "corrected")
+
+
+@query(f"WITH {PAGES} SELECT * FROM pages_")
+def file_pages(spark, d):
+    """SRC7."""
+    path = io.scratch_dir(spark, "pages")
+    io.write_jsonl(pages(spark, d).select(F.concat_ws("_", "book_id", "page").alias("doc_id"), "input", "output"), path)
+    return io.read_pages(spark, path)
+
+
+@query("SELECT c_custkey::VARCHAR AS book_id, c_acctbal::DOUBLE AS corrected, c_nationkey / 7.0::DOUBLE AS original, NULL::DOUBLE AS improvement FROM customer")
+def file_scores(spark, d):
+    """SRC9, SNK3."""
+    path = io.scratch_dir(spark, "scores")
+    null = F.lit(None).cast("double")
+    io.write_tsv(table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_acctbal").cast("double").alias("corrected"), (F.col("c_nationkey") / 7).alias("original"), null.alias("improvement")), path)
+    return io.read_scores(spark, path)
+
+
+@query("SELECT replace(n_name, ' ', '_') AS w1, r_name AS w2, n_nationkey / 3.0::DOUBLE AS mi2, n_nationkey::BIGINT AS f12, n_regionkey::BIGINT AS f1, 7::BIGINT AS f2 FROM nation JOIN region ON n_regionkey = r_regionkey")
+def file_collocations(spark, d):
+    """SRC10, SNK4."""
+    path = io.scratch_dir(spark, "collocations")
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    io.write_spaced(both.select(F.replace("n_name", F.lit(" "), F.lit("_")), "r_name", F.col("n_nationkey") / 3, "n_nationkey", "n_regionkey", F.lit(7)), path)
+    return io.read_collocations(spark, path)
+
+
+@query("SELECT o_custkey::VARCHAR AS ecco_id, arg_max(year(o_orderdate), o_orderkey)::INT AS start_year FROM orders GROUP BY 1")
+def file_years(spark, d):
+    """SRC11."""
+    path = io.scratch_dir(spark, "years")
+    io.write_jsonl(_in_order(table(spark, d, "orders"), "o_orderkey").select(F.col("o_custkey").cast("string").alias("ecco_id"), F.year("o_orderdate").alias("start_year")), path)
+    return io.read_years(spark, path)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderkey LIMIT 1")
+def file_lookup(spark, d):
+    """SRC12."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return io.lookup(orders, "o_custkey", orders.agg(F.min("o_custkey")).first()[0], "o_orderkey")
+
+
+@query(f"WITH {EDITS} SELECT doc_id::VARCHAR AS url, original, corrected, ops AS alignments FROM edits")
+def file_edit_strings(spark, d):
+    """SRC13, SNK8."""
+    path = io.scratch_dir(spark, "edits")
+    io.write_jsonl(edits(spark, d).select(F.col("doc_id").cast("string").alias("url"), "original", "corrected", F.col("ops").alias("alignments")), path)
+    return io.read_edit_strings(spark, path)
+
+
+@query("""SELECT '{"first":' || min(year(o_orderdate)) || ',"last":' || max(year(o_orderdate)) || ',"books":' || count(*) || '}' AS value FROM orders""")
+def report_json(spark, d):
+    """SNK5."""
+    return io.json_lines(corpus.year_stats(years(spark, d), 0, 9999).select("first", "last", "books"))
+
+
 # Kernels that SQL has no counterpart for
 
 

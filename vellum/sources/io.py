@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+import zipfile
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,29 +28,38 @@ SCORES = "book_id string, corrected double, original double, improvement double"
 SPAN_PAIR = "array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>"
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; one
+    of our own only in local mode with none set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="vellum-")
+    return f"{root.rstrip('/')}/vellum-{label}-{uuid.uuid4().hex}"
+
+
 def read_text_key(spark: SparkSession, path: str, key: str = "output") -> DataFrame:
     """SRC1: one text of each JSON line, from ``originals`` where a line has that object.
 
     Returns ``row_id, text``; the row id follows the line order (see :func:`with_row_id`).
     """
-    raw = spark.read.schema(f"originals struct<`{key}`:string>, `{key}` string").json(path)
-    inner = F.when(F.col("originals").isNotNull(), F.col("originals")[key]).otherwise(F.col(key))
-    return with_row_id(raw.select(inner.alias("text")))
+    raw = with_row_id(spark.read.schema(f"originals struct<`{key}`:string>, `{key}` string").json(path))
+    return raw.select("row_id", F.when(F.col("originals").isNotNull(), F.col("originals")[key]).otherwise(F.col(key)).alias("text"))
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """JOIN1's key: line numbers from 0, in file order.
+def with_row_id(read: DataFrame) -> DataFrame:
+    """JOIN1's key for a table just read from files: line numbers from 0, files in order of
+    their paths.
 
-    Two light passes: rows are counted by partition, and each takes its place after the
-    rows of the partitions before it, so no row moves.
+    Two light passes: rows are counted by file split, and each takes its place after the
+    rows of the splits before it, so no row moves.
     """
-    part = F.spark_partition_id()
-    marked = df.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_mono"))
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = F.broadcast(counts.select("_part", before.alias("_before")))  # a row for each partition
-    place = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_before")
-    return marked.join(ahead, "_part").select(place.alias("row_id"), *df.columns)
+    marked = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mono"))
+    counts = marked.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.broadcast(counts.select("_file", "_start", before.alias("_before"), "_first"))  # a row for each split
+    return marked.join(ahead, ["_file", "_start"]).select((F.col("_mono") - F.col("_first") + F.col("_before")).alias("row_id"), *read.columns)
 
 
 def read_pairs(spark: SparkSession, path: str, max_examples: int | None = None) -> DataFrame:
@@ -82,6 +99,25 @@ def parse_spans(text: Column) -> Column:
     return F.transform(pairs, lambda x: F.struct(number(x, 1).alias("start"), number(x, 2).alias("end")))
 
 
+def read_zipped(spark: SparkSession, path: str) -> DataFrame:
+    """SRC8: ``name, line, spans`` of the lines of all members of zip archives.
+
+    An archive is a row, and its members are read one after another, line by line.
+    """
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(n for n in archive.namelist() if not n.endswith("/")):
+                        with archive.open(name) as member:
+                            while part := [x.decode("utf-8", "replace").rstrip("\r\n") for x in islice(member, 1000)]:
+                                yield pd.DataFrame({"name": name, "text": part})
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "name string, text string")
+    return text.where("trim(text) <> ''").select("name", "text", parse_spans(F.col("text")).alias("spans"))
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """SRC9: book scores with a header line."""
     return spark.read.csv(path, sep="\t", header=True, schema=SCORES)
@@ -128,6 +164,6 @@ def write_spaced(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])).write.mode("overwrite").text(path)
 
 
-def report(**values: Column) -> list[Column]:
-    """SNK5: named columns of a one-row report."""
-    return [v.alias(k) for k, v in values.items()]
+def json_lines(df: DataFrame) -> DataFrame:
+    """SNK5: a report as one JSON text a row, for the caller to print."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
