@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import bounded_batches, held_out
 
-#: Most labelled rows that are fitted on, over all languages, and most characters of one.
-SAMPLE, SAMPLE_CHARS = 1600, 8000
-BITS = 12
+#: Most labelled rows that are fitted on, over all languages, so most languages too.
+SAMPLE = 4000
+BITS = 14
 #: Characters whose n-grams are counted at once.
 BLOCK = 1 << 17
 _MIX = np.uint32(2654435761)
@@ -78,18 +78,29 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
     return best
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 150) -> dict:
-    """Logistic regressions of all bits at once, classes weighted equally."""
+def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, names: list[str], epochs: int = 12, size: int = 128, seed: int = 11) -> dict:
+    """Logistic regressions of all bits at once, classes weighted equally, by stochastic
+    gradients with steps adapted to each weight.  ``x`` holds each row's buckets and their
+    values; only a batch of rows is ever spread out."""
     code = codewords(len(names))
-    target = code[y]
     weight = (1 / np.bincount(y, minlength=len(names)))[y]
-    weight = (weight / weight.sum())[:, None]
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    vw, vb = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(rounds):
-        g = (-weight * target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))).astype(np.float32)
-        vw, vb = 0.9 * vw - 20 * (x.T @ g + 1e-6 * w), 0.9 * vb - 20 * g.sum(axis=0)
-        w, b = w + vw, b + vb
+    weight *= len(y) / weight.sum()
+    w, b = np.zeros((1 << BITS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    seen_w, seen_b = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
+    rng = np.random.default_rng(seed)
+    for epoch in range(epochs):
+        rate = 0.5 * (1 - epoch / epochs) + 0.05
+        for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // size)):
+            part = np.zeros((len(rows), 1 << BITS), np.float32)
+            for k, i in enumerate(rows):
+                part[k, x[i][0]] = x[i][1]
+            target = code[y[rows]]
+            g = (-weight[rows, None] * target / (1 + np.exp(np.clip(target * (part @ w + b), -30, 30))) / len(rows)).astype(np.float32)
+            gw, gb = part.T @ g + 1e-6 * w, g.sum(axis=0)
+            seen_w += gw * gw
+            seen_b += gb * gb
+            w -= rate * gw / np.sqrt(seen_w)
+            b -= rate * gb / np.sqrt(seen_b)
     return {"names": names, "code": code, "w": w, "b": b}
 
 
@@ -104,20 +115,49 @@ def decode(model: dict, margins: np.ndarray, apart: float = 0.5) -> tuple[np.nda
     return loss.argmin(axis=1), p.max(axis=1), two[:, 1] - two[:, 0] < apart * 0.2
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [features(t.as_py()) for t in batch["text"]]
+        at = [np.nonzero(v)[0] for v in x]
+        yield pa.record_batch({
+            "ord": batch["ord"], "doc_id": batch["doc_id"], "lang": batch["lang"],
+            "at": pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), "value": pa.array([v[a].astype("<f4").tobytes() for v, a in zip(x, at, strict=True)], pa.binary()),
+        })
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> dict:
     """Fit on labelled rows outside the test fold: all of a rare language, a seeded share
-    of others.  Without labelled rows the model has no language."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    of others, each by its whole text.  Features are made in the tasks, so the driver
+    gets a bounded number of bytes for each row, however long its text.  Of more than
+    ``sample`` languages the most frequent are learned, ties by name.  Without labelled
+    rows the model has no language.
+    """
+    bounded_batches(docs.sparkSession, 500)
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    labelled = docs.where(lang.isNotNull() & text.rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     names = sorted(counts)
     if not names:
         return {"names": []}
     each = max(1, sample // len(names))
     share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(min(1.0, each / counts[n])))])
-    order = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text")), F.lit(1 << 20)) / float(1 << 20)
-    rows = labelled.where(order < share[F.col("lang")]).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * sample).collect()
+    order = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length(text)), F.lit(1 << 20)) / float(1 << 20)
+    drawn = labelled.where(order < share[lang]).select(order.alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
+    made = drawn.mapInArrow(_sparse, "ord double, doc_id long, lang string, at binary, value binary")
+    rows = made.orderBy("ord", "doc_id", "lang", "at", "value").limit(2 * sample).collect()
     number = {n: i for i, n in enumerate(names)}
-    return fit(np.array([features(r["text"]) for r in rows]), np.array([number[r["lang"]] for r in rows]), names)
+    x = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4")) for r in rows]
+    return fit(x, np.array([number[r["lang"]] for r in rows]), names)
+
+
+def spoken(model: dict, texts: list[str]) -> list[str]:
+    """The language of each text, ``und`` without a letter or a model."""
+    out = np.full(len(texts), "und", object)
+    at = [i for i, t in enumerate(texts) if model["names"] and any(map(str.isalpha, t))]
+    for part in (at[k : k + 64] for k in range(0, len(at), 64)):
+        x = np.array([features(texts[i]) for i in part])
+        out[part] = np.array(model["names"], object)[decode(model, x @ model["w"] + model["b"])[0]]
+    return out.tolist()
 
 
 def _scorer(shared):

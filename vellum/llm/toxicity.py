@@ -3,39 +3,45 @@
 A word's vector is the mean of the hashed embeddings of the word and its first letters,
 so unseen forms of a known stem are near it.  Filters of several widths run over the word
 vectors, the greatest value of each filter over the whole text is kept, and a logistic
-unit scores these.  Training is plain numpy on a bounded, class-balanced sample.
-
-The raw score's decision threshold is calibrated by language on rows kept from the
-fitting; a text's language for this is predicted from the text (see ``langid``), so the
-score is a function of the text alone.  Scores are moved in the logit so that each
-language's threshold lies at ``LIMIT``.
+unit scores these.  Training is plain numpy on a bounded, class-balanced sample of whole
+texts.
+
+Every text is then scored once.  The decision thresholds are calibrated by language on
+the scores of all labelled rows outside the test fold that were not fitted on; a text's
+language for this is predicted from the text (see ``langid``), so the score is a function
+of the text alone.  A language's threshold rests on its own rows and, with the weight of
+``BORROWED`` toxic rows, on those of the others.  Scores are moved in the logit so that
+each language's threshold lies at ``LIMIT``.  Texts are never shuffled: labels are sampled
+before their texts are read, and later meet scores only.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import langid
-from vellum.llm.common import bounded_batches, held_out
+from vellum.llm.common import bounded_batches, held_out, materialise
 
 LIMIT = 0.3
-#: Most labelled rows of a class that are fitted on, and most characters of such a row;
-#: longer rows are left to scoring.
-SAMPLE, SAMPLE_CHARS = 700, 12_000
+#: Most labelled documents of a class that the net is fitted on.
+SAMPLE = 1500
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5)
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words whose filter responses a Python worker keeps; about 300 bytes each.
 KEPT = 200_000
 #: Words scored at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 14
+#: Toxic rows' worth of other languages in a language's threshold; width of a logit's bin.
+BORROWED, STEP = 20, 0.05
 
 
 def buckets(word: str) -> list[int]:
@@ -49,7 +55,7 @@ def split(text: str | None) -> list[str]:
 
 
 class Net:
-    """Parameters, forward pass and gradients."""
+    """Parameters and forward pass.  ``kernels[k]`` is the filters of width ``WIDTHS[k]``."""
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -63,34 +69,47 @@ class Net:
     def params(self) -> list[np.ndarray]:
         return [self.embed, *self.kernels, self.bias, self.out, self.shift]
 
-    def taps(self, forms: np.ndarray) -> np.ndarray:
-        """Responses of every filter column to words, given as rows of buckets."""
-        vectors = self.embed[forms].mean(axis=1)
-        return np.concatenate([vectors @ k for kernel in self.kernels for k in kernel], axis=1)
-
-    def responses(self, taps: np.ndarray) -> list[np.ndarray]:
-        """Filter outputs at each position of a padded word sequence."""
-        out, at = [], 0
-        for w in WIDTHS:
-            n = len(taps) - w + 1
-            out.append(sum(taps[i : i + n, at + i * FILTERS : at + (i + 1) * FILTERS] for i in range(w)))
-            at += w * FILTERS
-        return out
-
-    def pooled(self, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Greatest response of each filter over a text, and where it is."""
-        each = self.responses(taps)
-        return np.concatenate([r.max(axis=0) for r in each]), np.concatenate([r.argmax(axis=0) for r in each])
+    def vectors(self, forms: np.ndarray) -> np.ndarray:
+        return self.embed[forms].mean(axis=1)
+
+    def taps(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each place in a filter, the response of all filters that wide to words."""
+        return [np.concatenate([vectors @ k[t] for k in self.kernels if len(k) > t], axis=1) for t in range(max(WIDTHS))]
 
     def logit(self, top: np.ndarray) -> np.ndarray:
         return np.maximum(top + self.bias, 0) @ self.out + self.shift[0]
 
 
-def padded(ids: list[int]) -> np.ndarray:
+def padded(ids: Sequence[int]) -> np.ndarray:
     """Word numbers with room for the widest filter; 0 is the word with no vector."""
     return np.array([0, *ids, *[0] * (max(WIDTHS) - 1)])
 
 
+def responses(taps: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """Outputs of all filters at each position of padded word numbers.  Narrower filters
+    come first, so a later place adds to the last columns."""
+    n = len(ids) - max(WIDTHS) + 1
+    out = taps[0][ids[:n]]
+    for t in range(1, max(WIDTHS)):
+        out[:, -taps[t].shape[1] :] += taps[t][ids[t : t + n]]
+    return out
+
+
+def pooled(taps: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest response of each filter over a text, and where it is; block by block."""
+    top = where = None
+    for start in range(0, len(ids) - max(WIDTHS) + 1, BLOCK):
+        part = responses(taps, ids[start : start + BLOCK + max(WIDTHS) - 1])
+        at = part.argmax(axis=0)
+        best = part[at, np.arange(part.shape[1])]
+        if top is None:
+            top, where = best, at
+        else:
+            where = np.where(best > top, at + start, where)
+            top = np.maximum(top, best)
+    return top, where
+
+
 def evidence(seqs: list[np.ndarray], forms: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """How strongly a bucket's presence in a text speaks for class 1: the signed root of
     the likelihood ratio, which stays small for whatever is rare."""
@@ -107,7 +126,7 @@ def evidence(seqs: list[np.ndarray], forms: np.ndarray, toxic: np.ndarray) -> np
     return (np.sign(seen[1] / n[1] - seen[0] / n[0]) * np.sqrt(2 * np.maximum(g, 0))).astype(np.float32)
 
 
-def fit(texts: list[str], toxic: np.ndarray, kept: np.ndarray, epochs: int = 6, seed: int = 3) -> Net:
+def fit(texts: list[str], toxic: np.ndarray, kept: np.ndarray, epochs: int = 10, seed: int = 3) -> Net:
     """Adam on the logistic loss; gradients reach the words that gave each maximum.
 
     The first dimension of the embeddings starts from :func:`evidence`, and one filter of
@@ -131,56 +150,50 @@ def fit(texts: list[str], toxic: np.ndarray, kept: np.ndarray, epochs: int = 6,
     least, best = np.inf, None
 
     def loss() -> float:
-        total = 0.0
-        for i in np.nonzero(kept)[0]:
-            z = float(net.logit(net.pooled(net.taps(forms[seqs[i]]))[0]))
-            total += weight[i] * np.logaddexp(0, -z if toxic[i] else z)
-        return total
+        taps = net.taps(net.vectors(forms))
+        z = np.array([net.logit(pooled(taps, seqs[i])[0]) for i in np.nonzero(kept)[0]])
+        return float(weight[kept] @ np.logaddexp(0, np.where(toxic[kept] == 1, -z, z))) if len(z) else 0.0
 
-    step, size = 0, 32
+    step, size, place = 0, 32, np.arange(len(WIDTHS) * FILTERS)
     for epoch in range(epochs + 1):
-        if (now := loss()) < least or best is None:
+        if (now := loss()) < least or best is None or not kept.any():
             least, best = now, [p.copy() for p in net.params()]
         if epoch == epochs:
             break
         rate = 0.005 * (1 - epoch / epochs) + 0.0005
         for rows in np.array_split(rng.permutation(fitted), max(1, len(fitted) // size)):
-            grads = [np.zeros_like(p) for p in net.params()[1:]]
+            seen, words = np.unique(np.concatenate([seqs[i] for i in rows]), return_inverse=True)
+            begin = np.concatenate(([0], np.cumsum([len(seqs[i]) for i in rows])))
+            vectors = net.vectors(forms[seen])
+            taps = net.taps(vectors)
+            found = [pooled(taps, words[a:b]) for a, b in zip(begin, begin[1:], strict=False)]
+            top, where = np.array([f[0] for f in found]), np.array([f[1] for f in found]) + begin[:-1, None]
+            hidden = np.maximum(top + net.bias, 0)
+            z = hidden @ net.out + net.shift[0]
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.where(toxic[rows] == 1, 0.97, 0.03)) * weight[rows] / len(rows)
+            back = g[:, None] * net.out * (hidden > 0)
+            grads = [np.zeros_like(k) for k in net.kernels]
             used, moved = [], []
-            seen, inverse = np.unique(np.concatenate([seqs[i] for i in rows]), return_inverse=True)
-            vectors = net.embed[forms[seen]].mean(axis=1)
-            taps = np.concatenate([vectors @ k for kernel in net.kernels for k in kernel], axis=1)
-            at = 0
-            for i in rows:
-                ids = inverse[at : at + len(seqs[i])]
-                at += len(seqs[i])
-                top, where = net.pooled(taps[ids])
-                live = top + net.bias > 0
-                hidden = np.where(live, top + net.bias, 0)
-                z = float(hidden @ net.out + net.shift[0])
-                goal = 0.97 if toxic[i] else 0.03
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - goal) * weight[i] / len(rows)
-                grads[-1] += g
-                grads[-2] += g * hidden
-                back = g * net.out * live
-                grads[-3] += back
-                for f in np.nonzero(back)[0]:
-                    k, c = divmod(int(f), FILTERS)
-                    for tap in range(WIDTHS[k]):
-                        word = ids[where[f] + tap]
-                        grads[k][tap, :, c] += back[f] * vectors[word]
-                        used.append(seen[word])
-                        moved.append(back[f] * net.kernels[k][tap, :, c])
+            text, at = np.nonzero(back)
+            for k, w in enumerate(WIDTHS):
+                own = place[at] // FILTERS == k
+                b, c = back[text[own], at[own]].astype(np.float32)[:, None], at[own] % FILTERS
+                for tap in range(w):
+                    word = words[where[text[own], at[own]] + tap]
+                    np.add.at(grads[k][tap].T, c, b * vectors[word])
+                    used.append(seen[word])
+                    moved.append(b * net.kernels[k][tap].T[c])
+            grads += [back.sum(axis=0), g @ hidden, np.array([g.sum()])]
             step += 1
-            for p, g, (m, v) in zip(net.params()[1:], grads, state[1:], strict=True):
-                _adam(p, g + 1e-5 * p, m, v, step, rate)
-            if used:
-                rows_of = forms[used]
+            for p, d, (m, v) in zip(net.params()[1:], grads, state[1:], strict=True):
+                _adam(p, (d + 1e-5 * p).astype(np.float32), m, v, step, rate)
+            rows_of, moved = forms[np.concatenate(used)], np.concatenate(moved)
+            if len(moved):
                 at_once, back_to = np.unique(rows_of, return_inverse=True)
-                g = np.zeros((len(at_once), DIM), np.float32)
-                np.add.at(g, back_to.reshape(rows_of.shape), np.repeat(np.array(moved)[:, None, :] / rows_of.shape[1], rows_of.shape[1], axis=1))
+                d = np.zeros((len(at_once), DIM), np.float32)
+                np.add.at(d, back_to.reshape(rows_of.shape), np.repeat(moved[:, None, :] / rows_of.shape[1], rows_of.shape[1], axis=1))
                 p, m, v = net.embed[at_once], state[0][0][at_once], state[0][1][at_once]
-                _adam(p, g, m, v, step, rate)
+                _adam(p, d, m, v, step, rate)
                 net.embed[at_once], state[0][0][at_once], state[0][1][at_once] = p, m, v
                 net.embed[0] = 0
     for p, q in zip(net.params(), best, strict=True):
@@ -194,131 +207,162 @@ def _adam(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, step: int,
     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
 
-class Scorer:
-    """Scores whole texts block by block; keeps the filter responses of known words."""
+class Scorer(dict):
+    """Scores whole texts; keeps the numbers and filter responses of known words."""
 
     def __init__(self, net: Net):
-        self.net, self.number = net, {}
-        self.table = np.zeros((1 << 12, sum(WIDTHS) * FILTERS), np.float32)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > KEPT:
-            self.number, self.table = {}, self.table[: 1 << 12]
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if new:
-            first = len(self.number) + 1
-            self.number.update({w: first + i for i, w in enumerate(new)})
-            while first + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first : first + len(new)] = self.net.taps(np.array([buckets(w) for w in new]))
-        return np.array([0, *map(self.number.__getitem__, words), *[0] * (max(WIDTHS) - 1)])
+        self.net, self.new = net, []
+        self.taps = [np.zeros((1 << 12, t.shape[1]), np.float32) for t in net.taps(np.zeros((1, DIM), np.float32))]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        self.new.append(word)
+        return n
 
     def logit(self, text: str | None) -> float:
         words = split(text)
-        top = None
-        for start in range(0, max(1, len(words)), BLOCK):
-            ids = self.ids(words[start : start + BLOCK + max(WIDTHS) - 1])
-            part = self.net.pooled(self.table[ids])[0]
-            top = part if top is None else np.maximum(top, part)
-        return float(self.net.logit(top))
-
-
-def threshold(logits: np.ndarray, toxic: np.ndarray, prior: float) -> float:
-    """The logit with the best F1 at the given share of toxic rows; between the rows on
-    either side of it."""
-    order = np.argsort(logits)
-    z, y = logits[order], toxic[order]
-    w = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
-    hit = np.cumsum((w * (y == 1))[::-1])[::-1]
-    said = np.cumsum(w[::-1])[::-1]
-    best = int(np.argmax(2 * hit / (said + prior)))
-    return float(z[best] - min(2.0, (z[best] - z[best - 1]) / 2 if best else 1.0))
+        if len(self) > KEPT:
+            self.clear()
+        ids = np.zeros(len(words) + max(WIDTHS), np.int64)
+        ids[1 : len(words) + 1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            while len(self) >= len(self.taps[0]):
+                self.taps = [np.concatenate([t, np.zeros_like(t)]) for t in self.taps]
+            fresh = self.net.taps(self.net.vectors(np.array([buckets(w) for w in self.new])))
+            for t, f in zip(self.taps, fresh, strict=True):
+                t[len(self) + 1 - len(self.new) : len(self) + 1] = f
+            self.new = []
+        return float(self.net.logit(pooled(self.taps, ids)[0]))
+
+
+def marks(labels: DataFrame) -> DataFrame:
+    """``doc_id, label`` outside the test fold; labels other than 0 and 1 are left out,
+    and of several for a document the greatest counts."""
+    good = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return good.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict:
-    """Net, language model and thresholds from labelled rows outside the test fold.
+    """Net, language model and the ids fitted on, from labelled rows outside the test fold.
 
-    Labels other than 0 and 1 are left out.  Without both classes every text scores 0.
+    Of each class the first ``sample`` ids in a seeded order are drawn, before any text is
+    read; of rows that repeat an id the one with the least text is read, whole.  A quarter
+    of them is kept from the fitting.  Without both classes there is no net.
     """
-    marks = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text", "lang").where(F.length("text").between(1, SAMPLE_CHARS) & ~held_out(F.col("doc_id"))).join(marks, "doc_id")
-    counts = {r["label"]: r["n"] for r in marks.where(~held_out(F.col("doc_id"))).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    known = marks(labels)
+    drawn = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
     speech = langid.train(docs)
-    if not counts.get(0) or not counts.get(1):
-        return {"net": None, "speech": speech, "limits": {}, "limit": 0.0}
-    share = F.when(F.col("label") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
-    order = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    got = rows.where(order < share).select("text", "label", "lang", "doc_id").limit(4 * sample).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    texts, y = [r["text"] for r in got], np.array([r["label"] for r in got])
-    fold = np.array([crc32(f"fold {r['doc_id']}".encode()) % 4 == 0 for r in got])
-    if len(set(y[~fold])) < 2 or len(set(y[fold])) < 2:
+    picked = F.broadcast(drawn[0].union(drawn[1]))  # at most twice the sample
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0).join(picked, "doc_id")
+    got = sorted(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect())
+    y = np.array([r["label"] for r in got], int)
+    fold = np.array([crc32(f"fold {r['doc_id']}".encode()) % 4 == 0 for r in got], bool)
+    if len(set(y[~fold].tolist())) < 2 or len(set(y[fold].tolist())) < 2:
         fold = np.zeros(len(y), bool)
-    net = fit(texts, y, fold)
-    check = fold if fold.any() else ~fold
-    scorer, prior = Scorer(net), counts[1] / (counts[0] + counts[1])
-    z = np.array([scorer.logit(t) if c else 0.0 for t, c in zip(texts, check, strict=True)])
-    limit = threshold(z[check], y[check], prior)
-    limits = {}
-    for lang in speech["names"]:
-        own = check & np.array([r["lang"] == lang for r in got])
-        if (y[own] == 1).sum() >= 20 and (y[own] == 0).sum() >= 20:
-            limits[lang] = threshold(z[own], y[own], prior)
-    return {"net": net, "speech": speech, "limits": limits, "limit": limit}
-
-
-class Judge:
-    """Calibrated scores of texts, for one task."""
-
-    def __init__(self, model: dict):
-        self.model = model
-        self.scorer = Scorer(model["net"]) if model["net"] else None
-
-    def limit(self, text: str) -> float:
-        speech, limits = self.model["speech"], self.model["limits"]
-        if not limits or not text:
-            return self.model["limit"]
-        x = langid.features(text)
-        which = langid.decode(speech, (x @ speech["w"] + speech["b"])[None])[0][0]
-        return limits.get(speech["names"][which], self.model["limit"])
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        if not self.scorer:
-            return np.zeros(len(texts))
-        all_texts = (t.as_py() or "" for t in texts)
-        z = np.array([self.scorer.logit(t) - self.limit(t) for t in all_texts]) + np.log(LIMIT / (1 - LIMIT))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
+    if len(set(y.tolist())) < 2:
+        return {"net": None, "speech": speech, "fitted": []}
+    return {"net": fit([r["text"] for r in got], y, fold), "speech": speech, "fitted": [r["doc_id"] for r, k in zip(got, fold, strict=True) if not k]}
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, score, predicted; from the text alone.
 
-    Null text scores as the empty text.  Null ids are held in; rows that repeat get equal
-    rows; other columns are not read.
-    """
+def raw_scores(docs: DataFrame, model: dict, *keep: Column) -> DataFrame:
+    """``keep`` columns, uncalibrated logit ``z`` and predicted language ``spoken`` of each
+    row's whole text, null text as empty; written once."""
     spark = docs.sparkSession
     bounded_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
+        model = shared.value
+        scorer = Scorer(model["net"])
         for batch in batches:
-            p = judge.scores(batch["text"])
-            yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(p), "predicted": pa.array((p >= LIMIT).astype(np.int32))})
+            texts = [t.as_py() for t in batch["_text"]]
+            spoken = langid.spoken(model["speech"], texts)
+            z = np.array([scorer.logit(t) for t in texts], float)
+            yield pa.record_batch({n: batch[n] for n in names} | {"z": pa.array(z), "spoken": pa.array(spoken, pa.string())})
+
+    schema = rows.drop("_text").schema.add("z", "double").add("spoken", "string")
+    return materialise(rows.mapInArrow(run, schema), "toxicity")
+
+
+def threshold(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float) -> float:
+    """The logit with the best F1 at the given share of toxic rows, out of the weights of
+    both classes at ascending logits ``z``; between the logits on either side of it."""
+    w = share * toxic / toxic.sum()
+    hit = np.cumsum(w[::-1])[::-1]
+    said = hit + np.cumsum(((1 - share) * clean / max(clean.sum(), 1e-12))[::-1])[::-1]
+    best = int(np.argmax(2 * hit / (said + share)))
+    return float(z[best] - min(2.0, (z[best] - z[best - 1]) / 2 if best else 1.0))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
+def calibrate(raw: DataFrame, labels: DataFrame, model: dict) -> tuple[dict[str, float], float]:
+    """Threshold by language, and that of all, out of ``raw(doc_id, z, spoken)``.
 
-def accepted(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, columns as given."""
-    spark = docs.sparkSession
-    bounded_batches(spark, 500)
-    shared = spark.sparkContext.broadcast(model)
+    Only counts by language, label and bin of the logit reach the driver.  Fitted ids
+    count for the share of toxic rows alone, unless no others have both classes.
+    """
+    spark = raw.sparkSession
+    binned = raw.where("doc_id IS NOT NULL").groupBy("doc_id", "spoken", F.round(F.col("z") / STEP).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    fitted = F.broadcast(spark.createDataFrame([(int(i),) for i in model["fitted"]], "doc_id long").withColumn("fitted", F.lit(True)))  # at most twice the sample
+    counted = binned.join(marks(labels), "doc_id").join(fitted, "doc_id", "left")
+    rows = counted.groupBy("spoken", "label", F.coalesce("fitted", F.lit(False)).alias("fitted"), "bin").agg(F.sum("n").alias("n")).collect()
+    if {r["label"] for r in rows if not r["fitted"]} != {0, 1}:
+        rows = [{**r.asDict(), "fitted": False} for r in rows]
+    at = sorted({r["bin"] for r in rows})
+    place = {b: i for i, b in enumerate(at)}
+    names = sorted({r["spoken"] for r in rows})
+    hist = {s: np.zeros((2, len(at))) for s in names}
+    total = {s: np.zeros(2) for s in names}
+    for r in rows:
+        total[r["spoken"]][r["label"]] += r["n"]
+        if not r["fitted"]:
+            hist[r["spoken"]][r["label"], place[r["bin"]]] += r["n"]
+    every, z = sum(hist.values(), np.zeros((2, len(at)))), STEP * np.array(at, float)
+    if not every.sum(axis=1).all():
+        return {}, 0.0
+    overall = sum(total.values())
+    limits = {}
+    for s in names:
+        rest, n = every - hist[s], overall - total[s]
+        lend = min(1.0, BORROWED / max(rest[1].sum(), 1e-12))
+        both, share = hist[s] + lend * rest, total[s] + lend * n
+        if both.sum(axis=1).all():
+            limits[s] = threshold(z, both[1], both[0], share[1] / share.sum())
+    return limits, threshold(z, every[1], every[0], overall[1] / overall.sum())
+
+
+def probability(raw: DataFrame, labels: DataFrame, model: dict) -> Column:
+    """The calibrated score of a row of ``raw``."""
+    limits, default = calibrate(raw, labels, model)
+    limit = F.lit(default)
+    if limits:
+        by = F.create_map(*[x for s, v in limits.items() for x in (F.lit(s), F.lit(v))])
+        limit = F.coalesce(by[F.col("spoken")], limit)
+    return 1 / (1 + F.exp(-(F.col("z") - limit + math.log(LIMIT / (1 - LIMIT)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(judge.scores(batch["text"]) < LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted, from the text alone; the labels train.
+
+    Null text scores as the empty text.  Null ids are held in; rows that repeat get equal
+    rows; other columns are not read.  Without labels of both classes all score 0.
+    """
+    model = train(docs, labels, **options)
+    ids = F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")
+    if not model["net"]:
+        return docs.select(*ids, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    raw = raw_scores(docs, model, *ids)
+    p = probability(raw, labels, model)
+    return raw.select("doc_id", "held_out", p.alias("score"), (p >= LIMIT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, columns as given; all of them
+    without labels of both classes."""
+    model = train(docs, labels, **options)
+    if not model["net"]:
+        return docs
+    raw = raw_scores(docs, model, F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    return raw.where(probability(raw.select("doc_id", "z", "spoken"), labels, model) < LIMIT).select("doc.*")
