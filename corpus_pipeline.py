@@ -15,8 +15,12 @@ from vellum.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of these."""
-    return toxicity.accepted(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    """Rows that the classifier rejects go; it learns from the labels of these documents.
+
+    Null and empty texts are scored as the empty text; rows that repeat are judged alike;
+    null ids are never learned from.
+    """
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(docs: DataFrame, groups, label: str) -> DataFrame:
