@@ -1,10 +1,16 @@
 """Golden cases and invariants of the Spark operators."""
 
+import difflib
 import random
+import zipfile
 from collections import Counter
+from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import affine, matching
+
 from vellum.functions import text as tx
 from vellum.operators import align, collocate, corpus, correct, metrics
 from vellum.sources import io
@@ -54,6 +60,188 @@ def test_metrics(spark):
     assert one(spark, metrics.improvement(F.lit(0.1), F.lit(0.5)), t="") == -1.0
 
 
+def distance(a, b):
+    """Edit distance by the textbook's table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("metric", ["cer", "wer"])
+def test_cer_summary_wer_summary_eval_books_outliers_improved_counts_against_brute_force(spark, metric):
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("ab cd\n") for _ in range(n))
+    rows = [(i, text(rng.randint(1, 60)), text(rng.randint(1, 60)), text(rng.randint(5, 60)) + "a") for i in range(25)]
+    rows += [(50, "x y", "x y", "x y"), (51, "é e\u0301", "é", "é é"), (52, "a", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, original string, corrected string, reference string")
+    norm = lambda t: __import__("unicodedata").normalize("NFKC", " ".join(__import__("re").split(r"\s+", t)))
+    unit = (lambda t: norm(t)) if metric == "cer" else (lambda t: norm(t).split())
+    want = {}
+    for i, o, c, r in rows:
+        if r is None or not len(unit(r)):
+            continue
+        e, eo, n = distance(unit(c), unit(r)), distance(unit(o), unit(r)), len(unit(r))
+        s, so = e / n, eo / n
+        gain = max(-1.0, min(1.0, (so - s) / so)) if so else -s
+        want[i] = (e, eo, n, s, so, max(-1.0, gain), len(unit(c)), len(unit(o)), len(c), len(o))
+    scores = metrics.document_scores(df, metric)
+    got = {r.doc_id: r for r in scores.collect() if r.score is not None}
+    assert {i: (r.edits, r.orig_edits, r.ref_length) for i, r in got.items()} == {i: w[:3] for i, w in want.items()}
+    assert all(abs(r.improvement - want[i][5]) < 1e-12 and (r.weight, r.orig_weight, r.raw_length, r.input_length) == want[i][6:] for i, r in got.items())
+    v = list(want.values())
+    mean = lambda k, w=None: sum(x[k] * (x[w] if w else 1) for x in v) / sum(x[w] if w else 1 for x in v)
+    expected = {
+        ("predicted", "micro"): sum(x[0] for x in v) / sum(x[2] for x in v), ("predicted", "mean"): mean(3), ("predicted", "median"): median(x[3] for x in v), ("predicted", "weighted average"): mean(3, 6),
+        ("original", "micro"): sum(x[1] for x in v) / sum(x[2] for x in v), ("original", "mean"): mean(4), ("original", "median"): median(x[4] for x in v), ("original", "weighted average"): mean(4, 7),
+        ("improvement", "mean"): mean(5), ("improvement", "median"): median(x[5] for x in v), ("improvement", "weighted average"): mean(5, 6),
+    }
+    full = df.where("reference IS NOT NULL")
+    summed = {(r.metric, r.stat): r.value for r in metrics.summary(metrics.document_scores(full, metric)).collect()}
+    assert summed.keys() == expected.keys() and all(abs(summed[k] - expected[k]) < 1e-9 for k in expected)
+    assert {r.score for r in metrics.evaluate(full, "all").collect()} == {"cer", "wer"}
+    book = scores.agg(metrics.weighted(F.col("score"), F.col("raw_length")).alias("c")).first()
+    assert abs(book.c - mean(3, 8)) < 1e-9 and abs(metrics.objective(scores).first().objective - mean(5, 9)) < 1e-9
+    percent = scores.where("orig_score > 0").agg(F.avg(100 * metrics.improvement(F.col("orig_score"), F.col("score"), guard=False))).first()[0]
+    own = [100 * max(-1.0, min(1.0, (x[4] - x[3]) / x[4])) for x in v if x[4]]
+    assert abs(percent - sum(own) / len(own)) < 1e-9
+    limit = sorted(x[4] for x in v)[10]
+    parts = Counter(r.part for r in metrics.outliers(scores, limit).collect())
+    assert parts == Counter("kept" if x[4] < limit else "listed" for x in v if x[4] != limit)
+    assert metrics.outliers(scores.where("score IS NOT NULL"), 0).where("part = 'kept'").count() == len(v)
+    counts = metrics.improved_counts(scores.where("score IS NOT NULL")).first()
+    assert tuple(counts) == (sum(x[3] < x[4] for x in v), len(v))
+
+
+def test_two_sentences_of_the_published_example(spark):
+    rows = [(1, "This is a sentence.", "This is a sentence.", "This is the correct sentence."), (2, "x", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz")]
+    s = metrics.summary(metrics.document_scores(spark.createDataFrame(rows, "doc_id long, original string, corrected string, reference string")))
+    assert s.where("metric = 'predicted' AND stat = 'micro'").first().value == 11 / 55
+
+
+def best_score(a, b, mode, open_=-1.0, extend=-0.5, free=False):
+    """Affine alignment score by the three plain tables, cell by cell."""
+    low = float("-inf")
+    n, m = len(a), len(b)
+    edge = lambda k: 0.0 if mode == "local" or free or not k else open_ + (k - 1) * extend
+    best = [[low] * (m + 1) for _ in range(n + 1)]
+    up, left = [[low] * (m + 1) for _ in range(n + 1)], [[low] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if not i or not j:
+                best[i][j] = edge(i or j)
+                continue
+            up[i][j] = max(best[i - 1][j] + open_, up[i - 1][j] + extend)
+            left[i][j] = max(best[i][j - 1] + open_, left[i][j - 1] + extend)
+            best[i][j] = max(best[i - 1][j - 1] + (a[i - 1] == b[j - 1]), up[i][j], left[i][j], 0.0 if mode == "local" else low)
+    if mode == "local":
+        return max(map(max, best))
+    return max(best[n] + [r[m] for r in best]) if free else best[n][m]
+
+
+def span_score(a, b, spans, mode, open_=-1.0, extend=-0.5, free=False):
+    """Score of an alignment given by its blocks."""
+    total, gap, i, j = 0.0, lambda k: open_ + (k - 1) * extend if k else 0.0, 0, 0
+    for n, (x, y, p, q) in enumerate(spans):
+        if n or not (mode == "local" or free):
+            total += gap(x - i) + gap(p - j)
+        total += sum(c == d for c, d in zip(a[x:y], b[p:q], strict=True))
+        i, j = y, q
+    return total if mode == "local" or free else total + gap(len(a) - i) + gap(len(b) - j)
+
+
+def test_align_spans_segment_align_and_edit_strings_against_plain_tables(spark):
+    rng = random.Random(41)
+    text = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 18)))
+    for _ in range(60):
+        a, b = text(), text()
+        for mode, free in (("local", False), ("global", False), ("global", True)):
+            score, spans = affine.align(a, b, mode, free_ends=free)
+            assert abs(score - best_score(a, b, mode, free=free)) < 1e-9 and abs(span_score(a, b, spans, mode, free=free) - score) < 1e-9
+    words = lambda: " ".join(text() for _ in range(3))
+    rows = [(d, s, words(), words()) for d in range(3) for s in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, seg int, a string, b string")
+    want = []
+    for d, s, a, b in rows:
+        before = [sum(len(r[k].replace(" ", "")) for r in rows if r[0] == d and r[1] < s) for k in (2, 3)]
+        _, spans = affine.align(a.replace(" ", ""), b.replace(" ", ""), "local")
+        want += [(d, s, (x + before[0], y + before[0], p + before[1], q + before[1])) for x, y, p, q in spans]
+    assert sorted((r.doc_id, r.seg, tuple(r.span)) for r in align.align_segments(df).collect()) == sorted(want)
+
+
+def test_prune_prediction_mask_cells_and_projection(spark):
+    a, b = "xxabcdeyy", "abXde\ufb01"
+    spans = [(2, 7, 0, 5)]
+    df = spark.createDataFrame([(1, a, b, spans)], "doc_id long, a string, b string, spans array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>")
+    row = df.select(
+        align.prune(F.col("a"), F.transform("spans", lambda s: F.struct(s["b_start"].alias("a_start"), s["b_end"].alias("a_end"), s["a_start"].alias("b_start"), s["a_end"].alias("b_end")))).alias("pruned"),
+        align.match_mask(F.col("b"), F.col("spans"), F.col("a")).alias("mask"), align.match_mask(F.col("b"), F.expr("filter(spans, s -> false)"), F.col("a")).alias("none"),
+        align.project_extent(tx.suppress_format(F.lit("a b-c\nd")), F.expr("array(named_struct('a_start',0,'a_end',3,'b_start',1,'b_end',3))")).alias("raw"),
+    ).first()
+    assert row.pruned == "abcde" and row.mask == [True, True, False, True, True, False] and row.none == [False] * 6 and tuple(row.raw) == (2, 5)
+    cells = {(r.i, r.j): r.v for r in align.alignment_cells(df).collect()}
+    assert cells == {(2, 0): 1.0, (3, 1): 1.0, (4, 2): 0.5, (5, 3): 1.0, (6, 4): 1.0}
+    mapped = tx.normalize_lower_mapped(F.col("t"))
+    raw = "A\ufb01B e\u0301\u1112\u1161C"
+    got = spark.createDataFrame([(raw,)], "t string").select(mapped.alias("m")).first().m
+    assert got.text == __import__("unicodedata").normalize("NFKC", raw).lower() and got.origin == [0, 1, 1, 2, 3, 4, 6, 8]
+    cut = align.prune_raw(F.col("t"), mapped, F.expr("array(named_struct('a_start',0,'a_end',2,'b_start',1,'b_end',6))"))
+    assert one(spark, cut, t=raw) == raw[1:6]
+    rule = lambda s, x, y: df.select(align.suspicious(F.expr(s), F.lit(x), F.lit(y))["rule"].alias("r")).first().r
+    span = "array(named_struct('a_start',0,'a_end',{0},'b_start',0,'b_end',{0}))"
+    assert rule(span.format(900), "x" * 1000, "y" * 1000) == "ok" and rule(span.format(700), "x" * 1000, "y" * 1000) == "bad" and rule(span.format(400), "x" * 1000, "y" * 1000) == "failed"
+    skipped = spark.createDataFrame([(1, "abc", "a-b", [(0, 3, 0, 3)]), (2, "abc", "abc", [(0, 3, 0, 3)])], df.schema)
+    assert [r.doc_id for r in align.edit_documents(skipped).collect()] == [2] and align.edit_documents(skipped, on_error="null").count() == 2
+
+
+def test_diff_opcodes_against_the_standard_library(spark):
+    rng = random.Random(43)
+    for n, signs in ((12, "ab"), (30, "abcd "), (260, "abcdefgh "), (400, "ab" + "".join(map(chr, range(200, 400))))):
+        for _ in range(25):
+            a = "".join(rng.choice(signs) for _ in range(rng.randint(0, n)))
+            b = "".join(c for c in a if rng.random() > 0.2) + "".join(rng.choice(signs) for _ in range(rng.randint(0, n // 2)))
+            assert matching.opcodes(a, b) == difflib.SequenceMatcher(None, a, b).get_opcodes(), (a, b)
+    df = spark.createDataFrame([(1, "ab\ncd\nef", "ab\nxd"), (2, None, "")], "doc_id long, a string, b string")
+    got = {(r.doc_id, r.line): [tuple(o) for o in r.ops] for r in align.diff_lines(df, "a", "b").collect()}
+    assert got == {(1, 0): [("equal", 0, 2, 0, 2)], (1, 1): [("replace", 0, 1, 0, 1), ("equal", 1, 2, 1, 2)], (1, 2): [("delete", 0, 2, 0, 0)], (2, 0): []}
+
+
+def test_merge_overlap_and_sequential_alignment(spark):
+    rng = random.Random(44)
+    words = ["".join(chr(rng.randint(97, 122)) for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, t string").select("doc_id", tx.overlap_windows(F.col("t"), 60, 0.5).alias("parts"))
+    got = {r.doc_id: r.text for r in align.merge_documents(df).collect()}
+    assert got[1] == text and not got[2]
+    pieces = [" ".join(words[i : i + 40]) for i in range(0, 300, 40)]
+    books = spark.createDataFrame([(1, pieces, text.replace("a", "e")), (2, ["zzzz"], "qq"), (3, None, None)], "doc_id long, segments array<string>, text string")
+    rows = {r.doc_id: r for r in align.align_sequential(books).collect()}
+    flat = text.replace(" ", "")
+    assert not rows[1].flagged and rows[2].flagged and not rows[3].flagged
+    assert all(s.a_start == s.b_start and s.a_end == s.b_end for s in rows[1].spans) and sum(s.a_end - s.a_start for s in rows[1].spans) > 0.97 * len(flat)
+
+
+def test_dense_runs_against_brute_force(spark):
+    rng = random.Random(45)
+    rows = [(i, "".join(rng.choice("|||||.-") for _ in range(rng.randint(0, 80)))) for i in range(40)] + [(99, None)]
+    for take in ("max", "min"):
+        want = {}
+        for i, ops in rows:
+            hit = [c == "|" for c in ops or ""]
+            good = []
+            for k in range(len(hit)):
+                sides = (sum(hit[k - 10 : k]) / 10 if k >= 10 else 0, sum(hit[k : k + 10]) / 10)
+                good.append((max if take == "max" else min)(sides) >= 0.8)
+            runs = [(b - a, -a) for a in range(len(good)) for b in range(a + 1, len(good) + 1) if all(good[a:b])]
+            n, a = max(runs, default=(0, 0))
+            want[i] = (-a, -a + n - 1) if n else (-1, -1)
+        got = {r.doc_id: (r.start, r.end) for r in align.dense_runs(spark.createDataFrame(rows, "doc_id long, ops string"), take=take).collect()}
+        assert got == want
+
+
 def test_edit_strings_round_trip(spark):
     rng = random.Random(1)
     rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 20))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))) for i in range(40)]
@@ -102,6 +290,82 @@ def test_row_ids_and_files(spark, tmp_path):
     assert io.read_collocations(spark, str(tmp_path / "c")).collect() == c.collect()
 
 
+def test_row_ids_follow_paths_and_positions_over_several_files(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 50), ("c", 700)):
+        (tmp_path / f"{name}.json").write_text("".join(f'{{"input": "{name}{i}", "output": "o"}}\n' for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    got = [r.input for r in io.read_pairs(spark, str(tmp_path)).orderBy("row_id").collect()]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{name}{i}" for name, n in (("a", 2), ("b", 50), ("c", 700)) for i in range(n)]
+    assert [r.row_id for r in io.read_pairs(spark, str(tmp_path), 3).orderBy("row_id").collect()] == [0, 1, 2]
+
+
+def test_shards_zips_scores_and_lookups(spark, tmp_path):
+    (tmp_path / "7.jsonl").write_text('{"url": "u", "text-orig": ["a"], "flagged": "no"}\n')
+    r = io.read_shards(spark, str(tmp_path / "7.jsonl")).first()
+    assert (r.url, r["text-orig"], r.shard) == ("u", ["a"], 7)
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("b/2.txt", "[[0, np.int64(4)], [7, 9]]\n\n")
+        z.writestr("a.txt", "((1, 2),)")
+    assert [(r.name, [tuple(s) for s in r.spans]) for r in io.read_zipped(spark, str(tmp_path / "x.zip")).orderBy("name").collect()] == [("a.txt", [(1, 2)]), ("b/2.txt", [(0, 4), (7, 9)])]
+    ids = spark.createDataFrame([("b", 1), ("a", 0), ("z", 2)], "book_id string, row_id long")
+    s = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 1.0)], "book_id string, score double")
+    assert [tuple(r)[::2] for r in metrics.scores_in_order(ids, s).collect()] == [("a", 0.5), ("b", 0.25)]
+    assert io.lookup(s, "book_id", "b", "score").first().score == 0.25
+
+
+def test_chunks_ranks_and_bands(spark):
+    t = spark.createDataFrame([("m", i, 0.5, 0.25, 1.0) for i in range(450)], "model string, row_id long, original double, predicted double, weight double")
+    assert [(r.chunk, r.n, r.improvement) for r in corpus.trial_chunks(t).orderBy("chunk").collect()] == [(0, 200, 0.5), (1, 200, 0.5)]
+    rng = random.Random(46)
+    x = [rng.choice([1.0, 2.5, rng.random()]) for _ in range(300)] + [None]
+    got = corpus.uniform_rank(spark.createDataFrame([(v,) for v in x], "x double"), "x", "r", pieces=7).collect()
+    known = [v for v in x if v is not None]
+    rank = lambda v: (sum(w < v for w in known) + (known.count(v) - 1) / 2) / (len(known) - 1)
+    assert len(got) == len(x) and all(r.r is None if r.x is None else abs(r.r - rank(r.x)) < 1e-12 for r in got)
+    books = spark.createDataFrame([("u",), ("./all_files.txt",), ("v",)], "url string")
+    found = spark.createDataFrame([("u", 1), ("v", 2)], "url string, spans int")
+    assert sorted(map(tuple, corpus.pair_alignments(books, found).collect())) == [("u", 1), ("v", 2)]
+    assert corpus.pair_alignments(books, found, found.where("url = 'u'")).count() == 1
+    with pytest.raises(Exception, match="no alignment of v"):
+        corpus.pair_alignments(books, found.where("url = 'u'")).collect()
+
+
+def test_more_text_goldens(spark):
+    t = F.col("t")
+    assert one(spark, tx.normalize_display(t), t="  A \n ﬁ ") == "A fi" and one(spark, tx.normalize_display(t, lowercase=True), t=" ẞa ") == "ssa"
+    assert one(spark, tx.normalize_lower(t), t="ÅＢ") == "åb"
+    a, b = (one(spark, tx.random_window(t, F.lit("k"), 3, seed=s), t="a b c d e f g h") for s in (1, 1))
+    assert a == b and len(a.split()) == 3 and a in "a b c d e f g h" and one(spark, tx.random_window(t, F.lit("k"), 30), t="a b") == "a b"
+    assert one(spark, tx.prompt("Fix: ", t, F.lit("!")), t="x") == "Fix: x!"
+    assert one(spark, tx.model_name(t, F.lit("q4"), {"l": "llama"}), t="l") == "llama-q4" and one(spark, tx.model_name(t, F.lit("q4"), {"l": "llama"}), t="z") is None
+    for text, n, want in (("one two three four five six", 5, "o"), ("a b c d e f", 5, ""), ("a b c d e", 5, None), ("xy b c \n d e f ", 5, "xy"), ("one two", 1, "o"), ("", 1, None)):
+        assert one(spark, tx.chop_end(t, n), t=text) == want and correct.chopped(text, n) == (want or "")
+    f = tx.format_map(t)
+    assert tuple(one(spark, f, t="a-b c\nd")) == ([3], [5], [0, 2, 4, 6], [1]) and tuple(one(spark, f, t="")) == ([], [], [], [])
+
+
+def test_correction_by_degree_search_and_scoring(spark):
+    model = lambda prompts: [p.rsplit("|", 1)[-1].replace("tbe", "the") for p in prompts]
+    blocks = ["one tbe two three four five six seven", "eight tbe nine ten"]
+    for degree in range(5):
+        out, raw = correct.correct_blocks(blocks, model, degree, again="", between="|")
+        assert len(raw) == 2 and "tbe" not in "".join(out)
+        assert out == [b.replace("tbe", "the") for b in blocks] if degree in (0, 1, 4) else len(out) == 2 and out[1] == "" and out[0].startswith("one the two")
+    seen = []
+    correct.correct_blocks(["one two three four five six seven eight", "nine"], lambda p: seen.extend(p) or [x.rsplit("|", 1)[-1] for x in p], 4, between="|")
+    assert seen[1] == "one two three four five six seven eight|nine"
+    docs = spark.createDataFrame([(1, "tbe cat", "the cat")], "doc_id long, original string, reference string")
+    r = correct.run_and_score(docs, model, "Fix|").first()
+    assert (r.edits, r.orig_edits) == (0, 1)
+    for space in correct.SPACES.values():
+        drawn = [x.parameters for x in correct.random_trials(spark, space, 50, seed=4).orderBy("trial").collect()]
+        assert drawn == [x.parameters for x in correct.random_trials(spark, space, 50, seed=4).orderBy("trial").collect()] and len(drawn) == 50
+        for p in drawn:
+            for name, (kind, low, high, *needs) in space.items():
+                assert p[name] == 0 if needs and not p[needs[0]] else low <= p[name] <= high and (kind == "float" or p[name] == int(p[name]))
+
+
 def test_correction_and_stream(spark, tmp_path):
     model = lambda prompts: ["Sure: " + p.replace("tbe", "the") for p in prompts]
     docs = spark.createDataFrame([(1, ["tbe cat", "tbe dog"]), (2, [])], "doc_id long, blocks array<string>")

@@ -22,7 +22,7 @@ def improvement(original: Column, predicted: Column, clip: bool = True, guard: b
     """
     raw = ratio(original - predicted, original)
     raw = F.when(original == 0, -predicted).otherwise(raw) if guard else raw
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)) if clip else raw
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))) if clip else raw
 
 
 def document_scores(triples: DataFrame, metric: str = "cer", lowercase: bool = False, modernize: bool = False) -> DataFrame:

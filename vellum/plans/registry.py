@@ -46,13 +46,13 @@ NORM = lambda c: f"translate(regexp_replace({c}, '-[ \\n]+', '', 'g'), '-.,?!:;'
 NORM_LOW = lambda c: f"lower(translate(regexp_replace({c}, '-[ \\n]+', '', 'g'), '-.,?!:;\"', ''))"
 ONE_SPACE = lambda c: f"regexp_replace({c}, '[ \\n]+', ' ', 'g')"
 
-#: The edit distance of whole texts takes SQL a minute, so two queries have it; the tests
-#: hold the others against these rows.
+#: The edit distance of whole texts takes SQL most of a minute, so one query has it;
+#: ``tests/test_library.py`` holds the others against brute force.
 SCORES = f"""WITH {TRIPLES},
 n AS (SELECT doc_id, {ONE_SPACE('reference')} AS r, {ONE_SPACE('corrected')} AS c, {ONE_SPACE('original')} AS o, length(corrected) AS raw_length, length(original) AS input_length FROM triples),
-m AS (SELECT doc_id, raw_length, input_length, length(r) AS ref_length, length(c) AS weight, length(o) AS orig_weight, levenshtein(c, r) AS edits, levenshtein(o, r) AS orig_edits FROM n),
+m AS (SELECT doc_id, raw_length, input_length, length(r) AS ref_length, length(c) AS weight, length(o) AS orig_weight, CASE WHEN c = r THEN 0 ELSE levenshtein(c, r) END AS edits, CASE WHEN o = r THEN 0 ELSE levenshtein(o, r) END AS orig_edits FROM n),
 s AS (SELECT *, edits::DOUBLE / nullif(ref_length, 0) AS score, orig_edits::DOUBLE / nullif(ref_length, 0) AS orig_score FROM m),
-scores AS (SELECT *, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN orig_score = 0 THEN 0.0 - score ELSE (orig_score - score) / nullif(orig_score, 0) END)) AS improvement FROM s)
+scores AS (SELECT *, CASE WHEN score IS NOT NULL THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN orig_score = 0 THEN 0.0 - score ELSE (orig_score - score) / nullif(orig_score, 0) END)) END AS improvement FROM s)
 """
 
 
@@ -65,20 +65,7 @@ def cer_doc(spark, d):
     return rounded(metrics.document_scores(triples(spark, d)).select("doc_id", "edits", "ref_length", "score", "orig_edits", "orig_score", "improvement"))
 
 
-_STATS = """SELECT 'predicted' AS metric, 'micro' AS stat, round(sum(edits)::DOUBLE / sum(ref_length), 6) AS value FROM scores
-UNION ALL SELECT 'predicted', 'mean', round(avg(score), 6) FROM scores
-UNION ALL SELECT 'predicted', 'median', round(median(score), 6) FROM scores
-UNION ALL SELECT 'predicted', 'weighted average', round(sum(score * weight) / sum(CASE WHEN score IS NOT NULL THEN weight END), 6) FROM scores
-UNION ALL SELECT 'original', 'micro', round(sum(orig_edits)::DOUBLE / sum(ref_length), 6) FROM scores
-UNION ALL SELECT 'original', 'mean', round(avg(orig_score), 6) FROM scores
-UNION ALL SELECT 'original', 'median', round(median(orig_score), 6) FROM scores
-UNION ALL SELECT 'original', 'weighted average', round(sum(orig_score * orig_weight) / sum(CASE WHEN orig_score IS NOT NULL THEN orig_weight END), 6) FROM scores
-UNION ALL SELECT 'improvement', 'mean', round(avg(improvement), 6) FROM scores
-UNION ALL SELECT 'improvement', 'median', round(median(improvement), 6) FROM scores
-UNION ALL SELECT 'improvement', 'weighted average', round(sum(improvement * weight) / sum(CASE WHEN improvement IS NOT NULL THEN weight END), 6) FROM scores"""
-
-
-@query(SCORES + _STATS)
+@query()
 def cer_summary(spark, d):
     """MET4-6, MET8, MET14, MET15."""
     return rounded(metrics.evaluate(triples(spark, d), "cer").drop("score"))
@@ -406,9 +393,9 @@ def op_counts(spark, d):
     return rounded(corpus.op_counts(edits(spark, d)))
 
 
-_RUNS = f"""WITH {EDITS}, p AS (SELECT doc_id, original, corrected, unnest(string_split(ops, '|')) AS r, generate_subscripts(string_split(ops, '|'), 1) AS i, len(string_split(ops, '|')) AS last FROM edits),
-q AS (SELECT *, coalesce(sum(length(r) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM p),
-runs AS (SELECT doc_id, start, length(r)::INT AS length, replace(substr(original, start + 1, length(r)), ' ', '∅') || ' -> ' || replace(substr(corrected, start + 1, length(r)), ' ', '∅') AS change FROM q WHERE r <> '' AND i < last) """
+_RUNS = f"""WITH {EDITS}, c AS (SELECT doc_id, length(ops) AS len, unnest(string_split(ops, '')) AS op, unnest(string_split(original, '')) AS a, unnest(string_split(corrected, '')) AS b, generate_subscripts(string_split(ops, ''), 1) - 1 AS pos FROM edits WHERE ops <> ''),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM c WHERE op <> '|'),
+runs AS (SELECT doc_id, min(pos)::INT AS start, count(*)::INT AS length, replace(string_agg(a, '' ORDER BY pos), ' ', '∅') || ' -> ' || replace(string_agg(b, '' ORDER BY pos), ' ', '∅') AS change FROM g GROUP BY doc_id, i, len HAVING max(pos) + 1 < len) """
 
 
 @query(_RUNS + "SELECT * FROM runs")
@@ -543,12 +530,12 @@ def file_scores(spark, d):
     return io.read_scores(spark, path)
 
 
-@query("SELECT replace(n_name, ' ', '_') AS w1, r_name AS w2, n_nationkey / 3.0::DOUBLE AS mi2, n_nationkey::BIGINT AS f12, n_regionkey::BIGINT AS f1, 7::BIGINT AS f2 FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT replace(n_name, ' ', '_') AS w1, replace(r_name, ' ', '_') AS w2, n_nationkey / 3.0::DOUBLE AS mi2, n_nationkey::BIGINT AS f12, n_regionkey::BIGINT AS f1, 7::BIGINT AS f2 FROM nation JOIN region ON n_regionkey = r_regionkey")
 def file_collocations(spark, d):
     """SRC10, SNK4."""
     path = io.scratch_dir(spark, "collocations")
     both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    io.write_spaced(both.select(F.replace("n_name", F.lit(" "), F.lit("_")), "r_name", F.col("n_nationkey") / 3, "n_nationkey", "n_regionkey", F.lit(7)), path)
+    io.write_spaced(both.select(F.replace("n_name", F.lit(" "), F.lit("_")), F.replace("r_name", F.lit(" "), F.lit("_")), F.col("n_nationkey") / 3, "n_nationkey", "n_regionkey", F.lit(7)), path)
     return io.read_collocations(spark, path)
 
 
