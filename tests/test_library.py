@@ -331,6 +331,23 @@ def test_chunks_ranks_and_bands(spark):
         corpus.pair_alignments(books, found.where("url = 'u'")).collect()
 
 
+def test_overlap_windows_against_slices(spark):
+    rng = random.Random(47)
+    texts = ["".join(rng.choice(["ab", "c", "def"]) + rng.choice([" ", "  ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    for window, overlap in ((4, 0.5), (7, 0.3), (5, 0.0)):
+        got = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.overlap_windows(F.col("t"), window, overlap).alias("w")).collect()]
+        for text, have in zip(texts, got, strict=True):
+            tokens, want, i = __import__("re").findall(r"\S+\s*", text), [], 0
+            while tokens:
+                start, end = int(i * (window - window * overlap)), int((i + 1) * float(window) - i * (window * overlap))
+                part = "".join(tokens[start:end])
+                want.append(part.rstrip() if end >= len(tokens) else part)
+                if end >= len(tokens):
+                    break
+                i += 1
+            assert have == want
+
+
 def test_more_text_goldens(spark):
     t = F.col("t")
     assert one(spark, tx.normalize_display(t), t="  A \n ﬁ ") == "A fi" and one(spark, tx.normalize_display(t, lowercase=True), t=" ẞa ") == "ssa"

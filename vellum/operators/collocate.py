@@ -115,6 +115,11 @@ def report(found: DataFrame, threshold: float = 3.0) -> DataFrame:
     return found.agg(F.count("*").alias("pairs"), F.count_if(F.col("mi2") >= threshold).alias("significant"))
 
 
+def venn(regions: DataFrame) -> DataFrame:
+    """SNK6: the frame behind a Venn diagram: pairs by the sets they are in."""
+    return regions.groupBy("region").agg(F.count("*").alias("pairs"))
+
+
 def ranked(found: DataFrame, limit: int | None = None) -> DataFrame:
     """COL4, TOP3: by falling MI, ties by the pair."""
     rows = found.orderBy(F.desc("mi2"), "w1", "w2")

@@ -231,6 +231,12 @@ def minmax_scale(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.crossJoin(ends).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in rows.columns])
 
 
+def parallel_coordinates(trials: DataFrame, parameters: list[str], value: str) -> DataFrame:
+    """SNK6: the frame behind parallel coordinates: each trial's parameters and value, each
+    scaled to [0, 1]."""
+    return minmax_scale(trials.select("trial", *parameters, value), *parameters, value)
+
+
 def uniform_rank(rows: DataFrame, x: str, out: str, pieces: int = 200) -> DataFrame:
     """AGG19: a value's share of smaller ones, ties averaged; null without a value or
     where there is only one row.

@@ -306,6 +306,14 @@ def colloc_regions(spark, d):
     return rounded(collocate.significant_by(collocate.collocations_by(triples(spark, d), columns), columns))
 
 
+@query(_REGIONS + """, j AS (SELECT coalesce(g.w1, o.w1, c.w1) AS w1, g.mi2 AS g, o.mi2 AS o, c.mi2 AS c FROM reference_s g FULL JOIN original_s o ON g.w1 = o.w1 AND g.w2 = o.w2 FULL JOIN corrected_s c ON coalesce(g.w1, o.w1) = c.w1 AND coalesce(g.w2, o.w2) = c.w2)
+SELECT (CASE WHEN g IS NULL THEN '' ELSE 'G' END) || (CASE WHEN o IS NULL THEN '' ELSE 'O' END) || (CASE WHEN c IS NULL THEN '' ELSE 'C' END) AS region, count(*) AS pairs FROM j GROUP BY 1""")
+def colloc_venn(spark, d):
+    """SNK6, COL7."""
+    columns = ["reference", "original", "corrected"]
+    return collocate.venn(collocate.significant_by(collocate.collocations_by(triples(spark, d), columns), columns))
+
+
 @query(_REGIONS + """, b AS (SELECT count(*) AS n FROM original_s JOIN reference_s USING (w1, w2)), p AS (SELECT (SELECT n FROM b)::DOUBLE / (SELECT count(*) FROM original_s) AS precision, (SELECT n FROM b)::DOUBLE / (SELECT count(*) FROM reference_s) AS recall)
 SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p""")
 def colloc_pr(spark, d):
@@ -568,6 +576,13 @@ def report_json(spark, d):
     return io.json_lines(corpus.year_stats(years(spark, d), 0, 9999).select("first", "last", "books"))
 
 
+@query("WITH t AS (SELECT event_id AS trial, value, (event_id % 11)::DOUBLE AS k FROM events) SELECT trial, round(k / 10, 6) AS k, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS value FROM t")
+def parallel_coordinates(spark, d):
+    """SNK6, AGG18."""
+    t = table(spark, d, "events").select(F.col("event_id").alias("trial"), "value", (F.col("event_id") % 11).cast("double").alias("k"))
+    return rounded(corpus.parallel_coordinates(t, ["k"], "value"))
+
+
 # Kernels that SQL has no counterpart for
 
 
