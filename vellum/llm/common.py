@@ -43,7 +43,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/vellum-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,18 +55,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a scratch table that no later plan reads."""
-    for file in df.inputFiles()[:1]:
+#: Paths of the scratch tables of this driver that still stand.
+_made: list[str] = []
+
+
+def drop_paths(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables; one that cannot be deleted stays for whoever clears the
+    folder."""
+    for path in paths:
+        with contextlib.suppress(ValueError):
+            _made.remove(path)
         with contextlib.suppress(Exception):
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for table in tables:
+        drop_paths(table.sparkSession, table.scratch_path)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what was written within it, but for the tables put in the list it gives."""
+    keep, before = [], list(_made)
+    yield keep
+    kept = {t.scratch_path for t in keep}
+    drop_paths(spark, *[p for p in _made if p not in before and p not in kept])
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Before Python runs in tasks: ship the code, and keep Arrow batches small, for rows
-    may hold very long texts."""
+    may hold very long texts.
+
+    The session's batch size is lowered and stays so: Spark reads it when the returned
+    DataFrame runs, which is after the operator has returned.
+    """
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:

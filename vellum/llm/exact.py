@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from vellum.llm.common import cut, materialise, one_space
 
 #: A chunk ends after a space whose word ends in two of these letters (about one word in
-#: twenty), once it has LEAST characters, and after MOST in any case.
-ENDS = r"[a-hß-ê][n-z] "
+#: twenty), or after a full stop of a script without them, once it has LEAST characters,
+#: and after MOST in any case.
+ENDS = r"[a-hß-ê][n-z] |[а-и][н-я] |[α-θ][ν-ω] |[。！？।؟۔።]"
 LEAST, MOST = 700, 4096
 CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?<={ENDS})|.{{1,{MOST}}}"
 

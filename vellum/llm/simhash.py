@@ -9,8 +9,8 @@ tiles by hash, so that a tile has a bounded number of rows, and each pair of til
 the links of a spanning forest, never all pairs of a dense group.
 
 Comparisons grow with the square of the distinct fingerprints, with a factor of about 1.6
-per cent for four parts; ``parts`` = 8 makes that 0.04 per cent for 3.5 times the copies
-of each tile.  Results do not depend on it.
+per cent for four parts; eight make that 0.04 per cent for 3.5 times the copies of each
+tile, and are taken for more than ``FOUR_PARTS`` fingerprints.  Results do not depend on it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from vellum.llm.components import components
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingle hashes counted at once; bounds memory for very long texts.
 BLOCK = 1 << 15
+#: Most distinct fingerprints that are dealt by four parts.
+FOUR_PARTS = 1 << 24
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -125,7 +127,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, parts: int = 4, tile: i
     return pairs.select("fa", "na", "fb", "nb", F.expr("d = 0 AND sub_a = sub_b").alias("same")).mapInArrow(_linker(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 2, parts: int = 4, tile: int = 1024) -> DataFrame:
+def simhash_components(docs: DataFrame, radius: int = 2, parts: int | None = None, tile: int = 1024) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Null and wordless texts have fingerprint zero and link like any other.  Rows that
@@ -134,6 +136,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, parts: int = 4, tile: i
     """
     prints = materialise(fingerprints(docs), "simhash")
     nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    parts = parts or (4 if nodes.count() <= FOUR_PARTS else 8)
     again = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     one = prints.join(again.select("doc_id", "lo"), "doc_id").join(nodes, "fp").select(F.col("node").alias("a"), F.col("lo").alias("fp"))
     same = one.join(nodes, "fp").select("a", F.col("node").alias("b"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounded_batches, materialise
+from vellum.llm.common import bounded_batches, drop_tables, materialise
 
 #: A span has this many words and two pieces at least.
 WORDS = 24
@@ -166,5 +166,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "n"))).alias("gone"), F.max(F.when(F.col("pos") < 0, F.col("n"))).cast("long").alias("n_sentences")
     )
     known = materialise(known.select(F.col("doc_id").alias("d"), F.col("k").alias("t"), "gone", "n_sentences"), "repeats")
+    drop_tables(found, often, places, first)
     both = rows.join(known, rows["doc_id"].eqNullSafe(known["d"]) & (rows["k"] == known["t"]), "left")
     return both.select("doc_id", "text", "gone", "n_sentences").mapInArrow(_cut, "doc_id long, text string, n_sentences long, n_removed long, words_removed long")
