@@ -21,6 +21,8 @@ from vellum.functions.text import chop_pattern
 from vellum.operators.align import DROP, fold_overlaps
 from vellum.operators.metrics import document_scores, objective
 
+#: Trials of a search, which are sent to all tasks.
+MOST_TRIALS = 10_000
 Model = Callable[[list[str]], list[str]]
 
 
@@ -129,8 +131,11 @@ def random_trials(spark: SparkSession, space: dict[str, tuple], n: int = 100, se
 def search(docs: DataFrame, trials: DataFrame, answer: Callable[[str, dict], str]) -> DataFrame:
     """LM9: the objective of each trial over all documents, best first.
 
-    Trials are a short table, fixed by the caller, so it is documents that are dealt out.
+    Trials are a short table, fixed by the caller, so it is documents that are dealt out;
+    a table of more than ``MOST_TRIALS`` is refused.
     """
+    if len(trials.head(MOST_TRIALS + 1)) > MOST_TRIALS:
+        raise ValueError(f"more than {MOST_TRIALS} trials")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
