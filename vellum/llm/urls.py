@@ -1,10 +1,15 @@
 """URL filtering by association rules.
 
 Explicit rules come first.  For the URLs they leave open, Spark's FP-growth mines
-combinations of URL tokens that go with a label; rules with enough support and confidence
-are kept, unless one with fewer tokens says the same with no less confidence.  Rules are
-matched by an inverted index: each is filed under its rarest token, each distinct set of
-tokens looks up its own tokens, and the surest rule whose tokens it has decides.
+combinations of URL tokens that go with a label; rules are kept that have enough support,
+confidence, and lift over the label's share of all labelled URLs, unless one with fewer
+tokens says the same with no less confidence.  Rules are matched by an inverted index:
+each is filed under its rarest token, each distinct set of tokens looks up its own
+tokens, and the surest rule whose tokens it has decides.
+
+Tokens that occur in the very same labelled URLs are mined as one, so that a long URL
+which repeats does not make a pattern of each subset of its tokens.  Whichever of them
+stand in a URL, the rule fits it, as it would by the patterns that were not written out.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import materialise, swept
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Splits a URL at its first ``://``: host, path, query.
@@ -46,67 +51,93 @@ def tokens(host: Column, path: Column, query: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(kind("h:", F.split(host, r"\.")), kind("p:", steps), kind("q:", keys))))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.7) -> DataFrame:
-    """``labelled(tokens, verdict)`` to ``tokens, verdict, confidence, support, rarest``."""
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("y:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
+def classes(labelled: DataFrame, support: float) -> DataFrame:
+    """``token, kind`` of frequent tokens: ``kind`` is the first of the tokens that occur in
+    the same rows of ``labelled(tokens, verdict)``, told by their number and by sums over
+    them."""
+    row = F.xxhash64("tokens", "verdict")
+    sets = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")).select("tokens", "n", row.alias("r"), F.xxhash64(F.lit(7), "tokens", "verdict").alias("q"))
+    seen = sets.select(F.explode("tokens").alias("token"), "n", "r", "q").groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("r").alias("r"), F.bit_xor("q").alias("q"))
+    total = F.broadcast(labelled.agg(F.count("*").alias("total")))  # one row
+    common = seen.crossJoin(total).where(F.col("n") >= F.col("total") * support)
+    first = common.groupBy("n", "r", "q").agg(F.min("token").alias("kind"))
+    return materialise(common.join(first, ["n", "r", "q"]).select("token", "kind"), "token-kinds")
+
+
+def kinds(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """``tokens`` with the sorted distinct ``kinds`` of their frequent tokens."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(known, "token")
+    return each.groupBy("tokens").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def mine(labelled: DataFrame, known: DataFrame, support: float = 0.002, confidence: float = 0.7, lift: float = 1.1) -> DataFrame:
+    """``labelled(tokens, verdict)`` to ``kinds, verdict, confidence, support, rarest``."""
+    counted = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    of = materialise(kinds(counted.select("tokens").distinct(), known), "kinds")
+    y = F.concat(F.lit("y:"), "verdict")
+    items = F.when(F.col("kinds").isNull(), F.array(y)).otherwise(F.concat("kinds", F.array(y)))
+    baskets = materialise(labelled.join(of, "tokens", "left").select(items.alias("items")), "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     is_label = lambda x: x.startswith("y:")
     rules = (
-        model.associationRules.where(is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label))
-        .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 3, 1 << 20).alias("verdict"), "confidence", "support")
+        model.associationRules.where(is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label) & (F.col("lift") >= lift))
+        .select(F.array_sort("antecedent").alias("kinds"), F.substring(F.col("consequent")[0], 3, 1 << 20).alias("verdict"), "confidence", "support")
     )
     rules = materialise(rules, "rules")
-    good = rules.where(F.col("confidence") >= confidence)
-    drop_one = F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x)))
-    shorter = rules.select(F.col("tokens").alias("fewer"), "verdict", F.col("confidence").alias("as_sure"))
+    drop_one = F.explode(F.transform("kinds", lambda x: F.array_remove("kinds", x)))
+    shorter = rules.select(F.col("kinds").alias("fewer"), "verdict", F.col("confidence").alias("as_sure"))
     implied = (
-        good.select("tokens", "verdict", "confidence", drop_one.alias("fewer"))
+        rules.select("kinds", "verdict", "confidence", drop_one.alias("fewer"))
         .join(shorter, ["fewer", "verdict"])
         .where("as_sure >= confidence")
-        .select("tokens", "verdict")
+        .select("kinds", "verdict")
         .distinct()
     )
-    kept = good.join(implied, ["tokens", "verdict"], "left_anti")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    kept = rules.join(implied, ["kinds", "verdict"], "left_anti")
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("kind"), "freq")
     filed = (
-        kept.select("*", F.explode("tokens").alias("token"))
-        .join(single, "token")
-        .groupBy("tokens", "verdict", "confidence", "support")
-        .agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
+        kept.select("*", F.explode("kinds").alias("kind"))
+        .join(single, "kind")
+        .groupBy("kinds", "verdict", "confidence", "support")
+        .agg(F.min_by("kind", F.struct("freq", "kind")).alias("rarest"))
     )
     return materialise(filed, "rule-index")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct ``tokens`` to ``tokens, verdict``: the surest rule, then the one with more
+    """``tokens, kinds`` to ``tokens, mined``: the surest rule, then the one with more
     support, then more tokens; sets that no rule fits are not returned."""
-    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("need"), "verdict", "confidence", "support")
+    index = rules.select(F.col("rarest").alias("kind"), F.col("kinds").alias("need"), "verdict", "confidence", "support")
     best = F.struct("confidence", "support", F.size("need").alias("n"), "verdict")
     return (
-        sets.select("tokens", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .where(F.size(F.array_except("need", "tokens")) == 0)
+        sets.select("tokens", "kinds", F.explode("kinds").alias("kind"))
+        .join(index, "kind")
+        .where(F.size(F.array_except("need", "kinds")) == 0)
         .groupBy("tokens")
         .agg(F.max(best)["verdict"].alias("mined"))
     )
 
 
-def judge(pages: DataFrame, rules=RULES, support: float = 0.002, confidence: float = 0.7, default: str = "allow", labels: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, support: float = 0.002, confidence: float = 0.7, lift: float = 1.1, default: str = "allow", labels: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     The labels that are mined are ``labels(url, verdict)`` or, by default, the verdicts of
     the explicit rules on all pages; URLs that neither a rule nor a mined rule fits get
     ``default``.  Null and scheme-less URLs have an empty host and path.  Rows that repeat
-    are judged alike.
+    are judged alike; an empty table, or one without labels, mines no rule.
     """
     host, path, query = parse(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), explicit(host, path, rules).alias("hit"), tokens(host, path, query).alias("tokens"))
     if labels is None:
-        known = rows.where("hit IS NOT NULL").select("tokens", F.col("hit.verdict").alias("verdict"))
+        seen = rows.where("hit IS NOT NULL").select("tokens", F.col("hit.verdict").alias("verdict"))
     else:
-        known = labels.where("verdict IS NOT NULL").select(tokens(*parse(F.col("url"))).alias("tokens"), "verdict")
-    open_sets = rows.where("hit IS NULL").select("tokens").distinct()
-    mined = match(open_sets, mine(known, support, confidence))
+        seen = labels.where("verdict IS NOT NULL").select(tokens(*parse(F.col("url"))).alias("tokens"), "verdict")
+    with swept(pages.sparkSession) as keep:
+        known = classes(seen, support)
+        open_sets = kinds(rows.where("hit IS NULL").select("tokens").distinct(), known)
+        # written, so that the join's sides are plain shuffles, whose skew is split
+        mined = materialise(match(open_sets, mine(seen, known, support, confidence, lift)), "mined")
+        keep.append(mined)
     return rows.join(mined, "tokens", "left").select(
-        "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "mined", F.lit(default)).alias("verdict")
+        "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.when(F.col("hit").isNotNull(), F.col("hit.verdict")).otherwise(F.coalesce("mined", F.lit(default))).alias("verdict")
     )
