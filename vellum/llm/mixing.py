@@ -7,19 +7,20 @@ per weight, finds that level at once.  Each document is then taken as often as i
 has whole epochs, and once more if it comes early enough in a seeded order of its source
 that these extra words fill the fractional epoch.
 
-The only data-sized work is one pass that counts words and one aggregation of sizes by
-(source, order prefix), combined before the shuffle.  The row order is examined in one
-prefix bucket per source, so a source with a third of all rows costs no more than others.
-The table of sources is joined as Spark sees fit: broadcast if it is written small, else
-by a shuffle whose skewed partitions adaptive execution splits.
+Words are counted in one pass.  The place where a source's fraction ends is found by sums
+over ever longer prefixes of the order, each combined before its shuffle and only within
+the prefix that holds the place, so a source, or an id that repeats, with a third of all
+rows costs no task more than others.  The table of sources is joined as Spark sees fit:
+broadcast if it is written small, else by a shuffle whose skewed partitions adaptive
+execution splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, seeded_order, word_count
+from vellum.llm.common import cut, materialise, seeded_order, word_count
 
 
 def _key():
@@ -44,75 +45,69 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: float, sha
     return tried.select("key", "source_size", F.least("_cap", F.coalesce(found * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
+#: Lengths of order prefixes that are summed up: three digits of the id's hash, id and
+#: size, three digits of the row's hash, all.
+PREFIXES = (3, 45, 49, 62)
+
+
+def _order(seed: int):
+    """Order of a row: hash of its id, size, and last a hash of its place in the table, so
+    that rows which repeat an id are taken one by one."""
+    tail = F.lpad(F.hex(F.xxhash64("_place")), 16, "0")
+    return F.concat_ws("-", seeded_order(seed, F.col("doc_id")), F.lpad(F.col("size").cast("string"), 12, "0"), tail)
+
+
 def mixture(
     docs: DataFrame,
+    *keep: str | Column,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     max_epochs: float = 3.0,
     share: float = 1.0,
     seed: int = 7,
-    prefix: int = 3,
-) -> tuple[DataFrame, DataFrame]:
-    """Per-row sizes, and per source ``key, source_size, target, whole, cutoff``.
-
-    A row is taken ``whole`` times, and once more if its seeded order is at most
-    ``cutoff``.  Null text is empty and is never short of its share; null sources form a
-    source of their own, the last; rows that repeat an id and size are taken alike.  An
-    empty table gives empty tables.
+) -> DataFrame:
+    """The ``keep`` columns with size, source_size, target and repeats of each row.
+
+    A row is taken as often as its source has whole epochs, and once more if the middle of
+    its words comes before the end of the source's fraction.  Null text is empty; null
+    sources form a source of their own, the last; rows that repeat an id are taken one by
+    one, and which of wholly equal rows is taken more often does not show.  No row is
+    taken more than ``max_epochs`` times.  An empty table gives an empty table.
     """
-    sized = materialise(
-        docs.select("doc_id", "source", _key().alias("key"), word_count(F.col("text")).alias("size")).withColumn(
-            "ord", F.concat_ws("-", seeded_order(seed, F.col("doc_id")), F.lpad(F.col("size").cast("string"), 12, "0"))
-        ),
-        "mix",
-    )
-    bucket = F.substring("ord", 1, prefix)
-    sums = sized.groupBy("key", "source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    plan = targets(sums.groupBy("key", "source").agg(F.sum("n").alias("source_size")), weights, max_epochs, share)
+    numbered = docs.select(*keep, "doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_place"))
+    kept = numbered.columns[:-4]
+    sized = materialise(numbered.select(*kept, "source", "size", _key().alias("key"), _order(seed).alias("ord")), "mix")
+    plan = targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, max_epochs, share)
     plan = materialise(
         plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
             "goal", F.col("target") - F.col("whole") * F.col("source_size")
         ),
         "mix-plan",
     )
-    w = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        sums.where("n > 0")
-        .withColumn("upto", F.sum("n").over(w))
-        .join(plan.select("key", "goal"), "key")
-        .where("upto - n <= goal AND goal < upto")
-        .select("key", "bucket", (F.col("upto") - F.col("n")).alias("below"), "goal")
-    )
-    inside = sized.withColumn("bucket", bucket).join(edge, ["key", "bucket"])
-    w = Window.partitionBy("key", "bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        inside.withColumn("mid", F.col("below") + F.sum("size").over(w) - F.col("size") / 2)
-        .groupBy("key", "bucket")
-        .agg(F.max(F.when(F.col("mid") <= F.col("goal"), F.col("ord"))).alias("last"))
-        .select("key", F.coalesce("last", "bucket").alias("cutoff"))
-    )
-    return sized, materialise(plan.drop("goal").join(last, "key", "left"), "mix-cut")
-
-
-def _repeats(ord_):
-    return (F.col("whole") + (F.coalesce(ord_ <= F.col("cutoff"), F.lit(False))).cast("long")).alias("repeats")
+    edge = plan.where("goal > 0").select("key", "goal", F.lit(0).cast("long").alias("below"), F.lit("").alias("prefix"))
+    before = 0
+    for n in PREFIXES:
+        inside = sized.select("key", "ord", "size").join(edge, "key").where(F.substring("ord", 1, before) == F.col("prefix"))
+        sums = inside.groupBy("key", "goal", "below", F.substring("ord", 1, n).alias("prefix")).agg(F.sum("size").alias("n")).where("n > 0")
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy("key").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
+        found = sums.withColumn("upto", upto).where("upto - n < goal AND goal <= upto")
+        edge, before = cut(found.select("key", "goal", (F.col("upto") - F.col("n")).alias("below"), "prefix", "n")), n
+        edge, last = edge.drop("n"), edge
+    taken = F.when(F.col("below") + F.col("n") / 2 < F.col("goal"), 1).otherwise(0)
+    plan = plan.drop("goal").join(last.select("key", F.col("prefix").alias("edge"), taken.alias("edge_taken")), "key", "left")
+    more = F.when(F.col("ord") < F.col("edge"), 1).when(F.col("ord") == F.col("edge"), F.col("edge_taken")).otherwise(0)
+    return sized.join(materialise(plan, "mix-cut"), "key").select(*kept, "size", "source_size", F.round("target", 6).alias("target"), (F.col("whole") + more).alias("repeats"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, repeats, taken."""
-    sized, plan = mixture(docs, **options)
-    return sized.join(plan, "key").select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), _repeats(F.col("ord"))).withColumn("taken", F.col("size") * F.col("repeats"))
+    mixed_rows = mixture(docs, F.col("doc_id").alias("_id"), **options)
+    return mixed_rows.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, columns as given."""
-    seed = options.get("seed", 7)
-    _, plan = mixture(docs, **options)
-    own = docs.columns
-    key = _key()
-    ord_ = F.concat_ws("-", seeded_order(seed, F.col("doc_id")), F.lpad(word_count(F.col("text")).cast("string"), 12, "0"))
-    row = docs.select(F.struct(*own).alias("doc"), key.alias("key"), ord_.alias("ord"))
-    times = row.join(plan, "key").withColumn("times", _repeats(F.col("ord"))).where("times > 0")
-    return times.select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
+    times = mixture(docs, F.struct(*docs.columns).alias("_doc"), **options).where("repeats > 0")
+    return times.select("_doc", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_doc.*")
 
 
 #: DuckDB SQL for :func:`mix` with its default parameters.
@@ -137,7 +132,7 @@ t AS (
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  whole + CASE WHEN mid <= goal THEN 1 ELSE 0 END AS repeats,
-  size * (whole + CASE WHEN mid <= goal THEN 1 ELSE 0 END) AS taken
+  whole + CASE WHEN mid < goal THEN 1 ELSE 0 END AS repeats,
+  size * (whole + CASE WHEN mid < goal THEN 1 ELSE 0 END) AS taken
 FROM o
 """
