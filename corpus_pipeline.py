@@ -2,7 +2,7 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; its result is written as
 Parquet and read again as the next stage's ``docs``.  All but the last keep the columns
-of ``documents``.
+of ``documents``.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import exact, mixing, packing, simhash, toxicity
-from vellum.llm.common import materialise, table
+from vellum.llm.common import drop_tables, materialise, swept, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,21 +34,28 @@ def one_of_each(docs: DataFrame, groups, label: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row with the least doc_id stays."""
+    """Of equal texts, one row with the least doc_id stays; null texts are empty ones."""
     return one_of_each(docs, exact.exact_groups, "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, one row with the least doc_id stays."""
+    """Of linked fingerprints, one row with the least doc_id stays; null texts and texts
+    without words have fingerprint zero."""
     return one_of_each(docs, simhash.simhash_components, "component_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it, at most three times.
+
+    Null and empty texts have no words; null sources are a source of their own; rows that
+    repeat an id are taken one by one.
+    """
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences; null texts are empty, and each row is a document of its own
+    even where it repeats another."""
     return packing.pack(docs)
 
 
@@ -60,7 +67,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the trained classifier; tests hold run() against brute force.
+#: SQL cannot express the trained classifier; ``test_pipeline_against_brute_force`` works
+#: out what run() returns from the rows that the classifier leaves.
 ORACLE_SQL = None
 
 
@@ -68,5 +76,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with swept(spark) as keep:  # what a stage wrote on the way goes with its end
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep.append(docs)
+        if name != STAGES[0][0]:
+            drop_tables(before)
     return STAGES[-1][1](spark, docs, sf_dir)
