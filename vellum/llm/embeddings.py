@@ -4,8 +4,8 @@ Equal vectors are collapsed first.  A neighbour graph starts from random-project
 blocks, of so many trees that a lone pair of linked vectors shares a block whatever the
 size of the table; neighbours-of-neighbours joins refine it: around each node its
 neighbours and those it is a neighbour of are compared, and whatever enters a list is
-kept.  Only
-similarities above ``floor`` enter lists, which leaves unrelated vectors without any.
+kept, until a round adds next to nothing.  Only similarities above ``floor`` enter lists,
+which leaves unrelated vectors without any.
 
 A list of ``k`` is saturated when it is full of links.  Lists are then enlarged to their
 whole component: links found in any block, also those beyond the lists, connect nodes
@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounded_batches, cut, materialise, slices
+from vellum.llm.common import bounded_batches, cut, drop_tables, materialise, slices
 from vellum.llm.components import components
 
 SIMILAR = 0.9
 #: Chance that a lone linked pair shares a block; trees dealt at once; vectors sent to all
 #: tasks at once in the exact pass.
-TOGETHER, DEALT, SLAB = 0.99, 10, 8192
+TOGETHER, DEALT, SLAB = 0.99, 16, 8192
+#: Rows of at most forty bytes that are sent to all tasks for a join; more are shuffled.
+SENT = 500_000
 
 
 def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +58,9 @@ def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (x[:0], y[:0])
 
 
-def _compare(ids: np.ndarray, v: np.ndarray, k: int, floor: float, link: float, rows: np.ndarray | None = None) -> pd.DataFrame:
-    """Best k neighbours above the floor of each row of a block, and a spanning forest of
-    its links (kind 1) where a row has more than k of them."""
+def _compare(ids: np.ndarray, v: np.ndarray, k: int, floor: float, link: float) -> pd.DataFrame:
+    """Best k neighbours above the floor of each row of a block (kind 0), and a spanning
+    forest of all its links (kind 1)."""
     s = v @ v.T
     np.fill_diagonal(s, -2)
     x, y = np.nonzero(s >= floor)
@@ -68,10 +70,8 @@ def _compare(ids: np.ndarray, v: np.ndarray, k: int, floor: float, link: float,
     x, y = x[order], y[order]
     place = np.arange(len(x)) - np.searchsorted(x, x, "left")
     top = place < k
-    p, q = x[~top & (s[x, y] >= link)], y[~top & (s[x, y] >= link)]
-    if len(p):
-        m = (s[x, y] >= link) & (x < y)
-        p, q = _forest(len(ids), x[m], y[m])
+    m = (s[x, y] >= link) & (x < y)
+    p, q = _forest(len(ids), x[m], y[m])
     return pd.DataFrame({"a": np.r_[ids[x[top]], ids[p]], "b": np.r_[ids[y[top]], ids[q]], "sim": np.r_[s[x[top], y[top]], s[p, q]], "kind": np.r_[np.zeros(top.sum(), np.int32), np.ones(len(p), np.int32)]})
 
 
@@ -132,6 +132,11 @@ def blocks(nodes: DataFrame, n: int, trees: int, first: int, leaf: int) -> DataF
     return nodes.select("id", "v", F.size("v").alias("dim")).mapInPandas(deal, "tree int, dim int, code long, id long")
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """A checkpointed table of a row for a block, broadcast if they are few enough."""
+    return F.broadcast(small) if small.count() <= SENT else small
+
+
 def narrowed(dealt: DataFrame, nodes: DataFrame, leaf: int, deepest: int = 8) -> DataFrame:
     """``dealt`` with each block over ``leaf`` cut at the medians of random projections of
     its own members, again until none is left."""
@@ -149,10 +154,12 @@ def narrowed(dealt: DataFrame, nodes: DataFrame, leaf: int, deepest: int = 8) ->
                     p = np.stack(part["v"]) @ planes
                     yield part[[*key, "id"]].assign(p=[x[:m] for x, m in zip(p, part["bits"], strict=True)])
 
+        over = sent(over)
         full = dealt.join(over, key).join(nodes, "id").select(*key, "id", "bits", "v")
         placed = materialise(full.mapInPandas(project, "tree int, dim int, code long, id long, p array<double>"), "projected")
         middle = placed.select(*key, F.posexplode("p").alias("at", "x")).groupBy(*key, "at").agg(F.percentile_approx("x", 0.5, 1000).alias("x"))
         middle = middle.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("middle"))
+        middle = sent(cut(middle))
         side = F.zip_with("p", "middle", lambda x, m: x > m)
         parted = placed.join(middle, key).select("tree", "dim", F.xxhash64("code", F.lit(depth), side).alias("code"), "id")
         dealt = materialise(dealt.join(over, key, "left_anti").select(*key, "id").union(parted), "blocks")
@@ -164,7 +171,7 @@ def graph(nodes: DataFrame, n: int, trees: int, first: int, k: int, floor: float
     projection parts holds vectors within rounding of each other, and is split at random."""
     dealt = narrowed(materialise(blocks(nodes, n, trees, first, leaf), "blocks"), nodes, leaf)
     key = ["tree", "dim", "code"]
-    sizes = dealt.groupBy(key).agg(F.ceil(F.count("*") / leaf).alias("split"))
+    sizes = sent(cut(dealt.groupBy(key).agg(F.ceil(F.count("*") / leaf).alias("split"))))
     split = dealt.join(sizes, key).withColumn("sub", F.pmod(F.xxhash64("id", "tree"), "split"))
     return split.select(*key, "sub", "id").join(nodes, "id").groupBy(*key, "sub").applyInPandas(_block_graph(k, floor, link), GRAPH)
 
@@ -181,7 +188,7 @@ def refine(near: DataFrame, nodes: DataFrame, k: int, floor: float, link: float,
     whose lists it is; where these are many they are dealt into several blocks, other
     ones each turn."""
     around = near.select(F.col("a").alias("hub"), F.col("b").alias("id")).union(near.select(F.col("b"), F.col("a"))).distinct()
-    sizes = around.groupBy("hub").agg(F.ceil(F.count("*") / (3 * k)).alias("split"))
+    sizes = materialise(around.groupBy("hub").agg(F.ceil(F.count("*") / (3 * k)).alias("split")), "hubs")
     dealt = around.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id", "hub", F.lit(turn)), "split").alias("sub"), "id")
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("split") - 1)).alias("sub"), F.col("hub").alias("id"))
     return dealt.union(hubs).join(nodes, "id").groupBy("hub", "sub").applyInPandas(_block_graph(k, floor, link), GRAPH)
@@ -271,44 +278,87 @@ def audit(labelled: DataFrame, n: int, link: float, queries: int = 400, enough:
     return float(min([share.mean(), *sizes["mean"][sizes["size"] >= 10]]))
 
 
-def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: float = 0.6, trees: int = 10, rounds: int = 2, leaf: int = 256, tile: int = 1024, recall: float = 0.97, tries: int = 3) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+def same_vector_ids(pairs: DataFrame) -> DataFrame:
+    """``pairs(vec_id, id)`` to ``a, b``: links between the nodes of a repeated vec_id."""
+    ends = materialise(pairs.groupBy("vec_id").agg(F.min("id").alias("b"), F.max("id").alias("_last")).where("b <> _last").select("vec_id", "b"), "repeated-ids")
+    return pairs.join(ends, "vec_id").select(F.col("id").alias("a"), "b").where("a <> b")
+
+
+def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: float = 0.6, trees: int = 10, rounds: int = 4, leaf: int = 256, tile: int = 1024, recall: float = 0.97, tries: int = 3) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept, audited_recall.
 
     Null, empty, zero and non-finite vectors link with nothing and are kept; vectors of
-    different lengths never link.  Rows that repeat a vec_id with other vectors are that
-    vector, and the sum of its rows' links is given with each.  A null vec_id stays alone,
-    with null component and kept true.
+    different lengths never link.  Rows that repeat a vec_id with other vectors are one
+    member of its component, which all their links lead to, and the sum of the rows' links
+    is given with each.  A null vec_id stays alone, with null component and kept true.
+    ``audited_recall`` is the last audit's, and 1 after the exact pass.  An empty table
+    gives none.
     """
     bounded_batches(vectors.sparkSession, 2000)
     rows = clean(vectors)
-    grouped = rows.groupBy("key").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.any_value("v").alias("v"))
-    nodes = materialise(grouped, "vectors")
+    grouped = rows.groupBy("key").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies"), F.any_value("v").alias("v"))
+    nodes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "vectors")
     n = nodes.count()
     plain = nodes.select("id", "v")
-    found, ties = None, None
-    labelled = None
-    need, dealt = trees_for(n, leaf, link, trees), 0
+    pairs = materialise(rows.select("vec_id", "key").distinct().join(nodes.select("key", "id"), "key").select("vec_id", "id", "key"), "members")
+    same = same_vector_ids(pairs.select("vec_id", "id"))
+    found, ties, labelled, written = None, None, None, []
+    need, dealt, measured = trees_for(n, leaf, link, trees), 0, 1.0
     for turn in range(tries + 1):
         if turn == tries:
-            found = found.select("a", "b", "sim").union(exact_links(plain, n, link).select("a", "b", F.lit(link).alias("sim")))
+            exact = exact_links(plain, n, link).select("a", "b", F.lit(link).alias("sim"), F.lit(1).alias("kind"))
+            found = found.union(exact)
         for first in range(dealt, dealt + need if turn < tries else dealt, DEALT):
             fresh = materialise(graph(plain, n, min(DEALT, dealt + need - first), first, k, floor, link, leaf), "graph")
             found = fresh if found is None else found.union(fresh)
+            written.append(fresh)
         dealt += need
+        size = None
         for again in range(rounds if turn < tries else 0):
-            near = materialise(lists(found, k), "lists")
-            found = found.union(materialise(refine(near, plain, k, floor, link, turn * rounds + again), "refined"))
-        links = found.where(F.col("sim") >= link).select("a", "b")
+            near = materialise(lists(found.where("kind = 0"), k), "lists")
+            written.append(near)
+            now = near.agg(F.count("*").alias("n"), F.coalesce(F.sum("sim"), F.lit(0.0)).alias("s")).first()
+            if size and now["n"] <= 1.001 * size["n"] and now["s"] <= 1.001 * size["s"]:
+                break  # a round that adds next to nothing is the last
+            size = now
+            fresh = materialise(refine(near, plain, k, floor, link, turn * rounds + again), "refined")
+            found = found.union(fresh)
+            written.append(fresh)
+        links = found.where("kind = 1").select("a", "b").union(same)
         ties = cut(components(links))
         labelled = nodes.join(ties.withColumnRenamed("node", "id"), "id", "left").select("id", "copies", "v", F.coalesce("component", "id").alias("component"))
-        if turn < tries and audit(labelled, n, link) >= recall:
+        measured = audit(labelled, n, link) if turn < tries else 1.0
+        if measured >= recall:
             break
-    members = nodes.join(ties.withColumnRenamed("node", "id"), "id")
+    drop_tables(*written)
+    members = nodes.select("id", "copies", "least", "v").join(ties.withColumnRenamed("node", "id"), "id")
     counts = exact_counts(members, link, tile)
-    known = nodes.select("key", "id", "copies").join(counts, "id", "left").join(ties.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = (
+        nodes.select("id", "copies", "least").join(counts, "id", "left").join(ties.withColumnRenamed("node", "id"), "id", "left").join(names, "component", "left")
+        .select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
-    own = rows.select("vec_id", "key").join(known, "key").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    own = pairs.join(known, "id").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(own, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(measured).alias("audited_recall"),
     )
+
+
+#: DuckDB SQL for :func:`near_groups` with its default parameters and unique ids, where the
+#: audit finds every link.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pair AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9::DOUBLE
+), reach AS (
+  SELECT x AS vec_id, x AS r FROM (SELECT DISTINCT x FROM pair) UNION SELECT reach.vec_id, pair.y FROM reach JOIN pair ON reach.r = pair.x
+), c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS n_links FROM pair GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) = vec_id AS kept, 1.0::DOUBLE AS audited_recall
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""

@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op5_exact": exact.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_embeddings": embeddings.ORACLE, "op5_exact": exact.ORACLE}
