@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import embeddings, exact, langid, licenses, mixing, packing, simhash, substring, toxicity, urls
+from vellum.llm import bpe, centroids, embeddings, exact, langid, lexical, licenses, mixing, packing, simhash, substring, toxicity, urls
 from vellum.llm.common import table
 
 
@@ -51,10 +52,22 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_language, op3_substring, op4_embeddings, op5_exact, op6_simhash, op7_toxicity, op8_packing, op9_licenses, op10_urls)
+    found = (op1_mixing, op2_language, op3_substring, op4_embeddings, op5_exact, op6_simhash, op7_toxicity, op8_packing, op9_licenses, op10_urls, op11_lexical, op12_centroids, op13_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_embeddings": embeddings.ORACLE, "op5_exact": exact.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_embeddings": embeddings.ORACLE, "op5_exact": exact.ORACLE, "op11_lexical": lexical.ORACLE, "op12_centroids": centroids.ORACLE}
