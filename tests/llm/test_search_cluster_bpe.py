@@ -142,7 +142,7 @@ def test_lloyd_breaks_ties_to_the_lowest_centroid(spark):
 @pytest.fixture(scope="module")
 def odd_texts():
     rng = random.Random(8)
-    later = bpe.later_letters().pattern[1:11].encode().decode("unicode_escape")[0]
+    later = "\u088f"  # a letter in Python's regex module, not in the tokenizer library's Unicode version
     letters = ["a", "e", "th", "he", "in", "er", "A", "Z", "é", "ß", "日", "本", "語", "я", "д", "ع", "ิ", "👍🏽", "1", "٣", "²", " ", "  ", "\n", "\t", " ", " ", "\x1c", "'s", "'ll", "-", "=", "\x00", later, "\U0001fae9"]
     out = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(250)]
     out += ["".join(rng.choice(["a", "b", "ab", "ba", "aa"]) for _ in range(rng.randint(1, 90))) for _ in range(80)]
