@@ -223,18 +223,30 @@ def _looked_up(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = shared.value.known(), splitter(pattern)
         for batch in batches:
-            ids, rares = [], []
+            parts, gaps, rares = [], [], []
             for text in batch["text"]:
                 known.rare = {}
-                ids.append(b"".join(map(known.__getitem__, split(text.as_py()))))
+                ids = np.frombuffer(b"".join(map(known.__getitem__, split(text.as_py()))), "<i4")
                 rares.append(list(known.rare))
-            ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "ids": lists, "rare": pa.array(rares, pa.list_(pa.string()))})
+                at = np.nonzero(ids < 0)[0]
+                gaps.append(-1 - ids[at])
+                parts.append((ids, at))
+            yield pa.record_batch({"doc_id": batch["doc_id"], "runs": _runs(parts), "gaps": _lists([len(g) for g in gaps], pa.array(np.concatenate([np.zeros(0, np.int32), *gaps]))), "rare": pa.array(rares, pa.list_(pa.string()))})
 
     return run
 
 
+def _lists(sizes, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
+def _runs(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """Of each document, the ids before, between and after its gaps."""
+    sizes = np.concatenate([np.zeros(0, int), *(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1 for ids, at in parts)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.delete(ids, at) for ids, at in parts)])
+    return _lists([len(at) + 1 for _, at in parts], _lists(sizes, pa.array(flat)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, most: int = WORDS) -> DataFrame:
     """``doc_id, ids`` of ``docs(doc_id, text)`` by the rank file at ``path``.
 
@@ -247,16 +259,16 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = rank_map(ranks(path))
     known = spark.sparkContext.broadcast(Dictionary(frequent(rows, table, pattern, most)))
-    found = rows.mapInArrow(_looked_up(known, pattern), "doc_id long, ids array<int>, rare array<string>")
-    spliced = once(fold_all(table, F.col("rare")), lambda own: F.flatten(F.transform("ids", lambda i: F.when(i < 0, F.get(own, -1 - i)).otherwise(F.array(i)))))
-    return found.select("doc_id", F.when(F.size("rare") == 0, F.col("ids")).otherwise(spliced).alias("ids"))
+    found = rows.mapInArrow(_looked_up(known, pattern), "doc_id long, runs array<array<int>>, gaps array<int>, rare array<string>")
+    filled = lambda own: F.flatten(F.transform("runs", lambda run, i: F.when(i < F.size("gaps"), F.concat(run, F.get(own, F.get("gaps", i)))).otherwise(run)))
+    return found.select("doc_id", once(fold_all(table, F.col("rare")), filled).alias("ids"))
 
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of a list of ids; an id that the file does not have gives null."""
     known = {r: t for t, r in ranks(path).items()}
     names = F.split(F.lit(",".join(known[i].hex() if i in known else "?" for i in range(max(known) + 1))), ",")
-    return once(names, lambda held: F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(held, i), F.lit("?"))), "")))
+    return once(names, lambda held: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(held, i)), "", "?")))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
