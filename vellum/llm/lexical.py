@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from vellum.llm.common import bounded_batches, materialise
 
 #: A block ends at so many documents or postings.
-DOCS, POSTINGS = 1 << 15, 1 << 20
+DOCS, POSTINGS = 1 << 14, 1 << 20
 #: About so many terms of queries are searched for at once.
-ASKED = 1 << 18
+ASKED = 1 << 16
 #: Bytes of UTF-8: A-Z in lower case, what is no part of a term as a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 BLOCK = "doc_id array<bigint>, n array<bigint>, term array<int>, size array<int>, pos array<int>, tf array<bigint>"
@@ -104,16 +104,22 @@ def weights(blocks: DataFrame) -> tuple[int, int, dict[int, int]]:
     return n, total["terms"], {r["term"]: math.floor(1000 * math.log((2 * n + 2) / (2 * r["df"] + 1))) for r in df}
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
+    """Each row's lists, one row at a time."""
+    for i in range(len(batch)):
+        yield {name: batch[name][i].values for name in batch.schema.names}
+
+
 def _sliced(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_docs, n_terms, weight = shared.value
         for batch in batches:
-            for r in batch.to_pylist():
-                m = np.array([25 + 75 * n * n_docs // max(n_terms, 1) for n in r["n"]], np.int64)
-                ends = np.cumsum([0, *r["size"]])
-                at, tf = np.array(r["pos"], np.int64), np.array(r["tf"], np.int64)
+            for r in _rows(batch):
+                m = np.array([25 + 75 * n * n_docs // max(n_terms, 1) for n in r["n"].to_pylist()], np.int64)
+                ends = np.cumsum([0, *r["size"].to_pylist()])
+                at, tf = r["pos"].to_numpy(), r["tf"].to_numpy()
                 kept, pos, slices = [], [], []
-                for t, a, b in zip(r["term"], ends[:-1], ends[1:], strict=True):
+                for t, a, b in zip(r["term"].to_pylist(), ends[:-1], ends[1:], strict=True):
                     value = impact(weight[t], tf[a:b], m[at[a:b]])
                     digits = int(value.max()).bit_length()
                     if digits:
@@ -121,7 +127,7 @@ def _sliced(shared):
                         pos.append(at[a:b].astype("<u2").tobytes())
                         bits = (value[None, :] >> np.arange(digits)[:, None] & 1).astype(np.uint8)
                         slices.append([s.tobytes() for s in np.packbits(bits, axis=1, bitorder="little")])
-                yield pa.record_batch({"doc_id": pa.array([r["doc_id"]], pa.list_(pa.int64())), "term": pa.array([kept], pa.list_(pa.int32())), "pos": pa.array([pos], pa.list_(pa.binary())), "slices": pa.array([slices], pa.list_(pa.list_(pa.binary())))})
+                yield pa.record_batch({"doc_id": pa.array([r["doc_id"].to_pylist()], pa.list_(pa.int64())), "term": pa.array([kept], pa.list_(pa.int32())), "pos": pa.array([pos], pa.list_(pa.binary())), "slices": pa.array([slices], pa.list_(pa.list_(pa.binary())))})
 
     return run
 
@@ -184,21 +190,25 @@ def best(total: list[int], k: int) -> list[int]:
 def _found(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
+        users: dict[int, list[tuple[int, int]]] = {}
+        for q, (_, asked) in enumerate(items):
+            for t, times in asked:
+                users.setdefault(t, []).append((q, times))
         top: list[list[tuple]] = [[] for _ in items]
         for batch in batches:
-            for r in batch.to_pylist():
-                n = len(r["doc_id"])
-                held = {t: spread(p, s, n) for t, p, s in zip(r["term"], r["pos"], r["slices"], strict=True)}
-                for q, (_, asked) in enumerate(items):
-                    total: list[int] = []
-                    for t, times in asked:
-                        if t in held:
-                            for shift in range(times.bit_length()):
-                                if times >> shift & 1:
-                                    add(total, held[t], shift)
+            for r in _rows(batch):
+                ids = r["doc_id"].to_pylist()
+                totals: list[list[int]] = [[] for _ in items]
+                for t, pos, slices in zip(r["term"].to_pylist(), r["pos"], r["slices"], strict=True):
+                    part = spread(pos.as_py(), slices.as_py(), len(ids))
+                    for q, times in users[t]:
+                        for shift in range(times.bit_length()):
+                            if times >> shift & 1:
+                                add(totals[q], part, shift)
+                for q, total in enumerate(totals):
                     for place in best(total, k):
                         score = sum((s >> place & 1) << i for i, s in enumerate(total))
-                        top[q].append((-score, r["doc_id"][place] is None, r["doc_id"][place] or 0))
+                        top[q].append((-score, ids[place] is None, ids[place] or 0))
                     top[q] = sorted(top[q])[:k]
         rows = [(q, items[q][0], None if none else doc, -score) for q, own in enumerate(top) for score, none, doc in own]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
@@ -216,7 +226,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     gives no row.  Scores and counts must fit 64 bits.  Empty tables give none; other
     columns are not read.
 
-    Items are searched for together up to about 2^18 distinct terms of theirs; more are
+    Items are searched for together up to about 2^16 distinct terms of theirs; more are
     dealt, by a hash, into as many passes over ``docs`` as that takes.
     """
     spark = docs.sparkSession
