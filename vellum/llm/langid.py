@@ -116,35 +116,42 @@ def decode(model: dict, margins: np.ndarray, apart: float = 0.5) -> tuple[np.nda
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = set()
     for batch in batches:
-        x = [features(t.as_py()) for t in batch["text"]]
+        keys = list(zip(batch["lang"].to_pylist(), batch["ord"].to_pylist(), strict=True))
+        new = [i for i, k in enumerate(keys) if not (k in done or done.add(k))]
+        x = [features(batch["text"][i].as_py()) for i in new]
         at = [np.nonzero(v)[0] for v in x]
         yield pa.record_batch({
-            "ord": batch["ord"], "doc_id": batch["doc_id"], "lang": batch["lang"],
+            "ord": batch["ord"].take(pa.array(new, pa.int64())), "lang": batch["lang"].take(pa.array(new, pa.int64())),
             "at": pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), "value": pa.array([v[a].astype("<f4").tobytes() for v, a in zip(x, at, strict=True)], pa.binary()),
         })
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 11) -> dict:
-    """Fit on labelled rows outside the test fold: all of a rare language, a seeded share
-    of others, each by its whole text.  Features are made in the tasks, so the driver
-    gets a bounded number of bytes for each row, however long its text.  Of more than
-    ``sample`` languages the most frequent are learned, ties by name.  Without labelled
-    rows the model has no language.
+    """Fit on labelled texts outside the test fold: all of a rare language, a seeded share
+    of others and one at least, each whole.  A text is drawn by a hash of itself, so its
+    copies count once, whatever their ids; features are made in the tasks, one for the
+    copies in a task, so the driver gets a bounded number of bytes for each text.  Of more
+    than ``sample`` languages the most frequent are learned, ties by name.  Without
+    labelled rows the model has no language.
     """
     bounded_batches(docs.sparkSession, 500)
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
-    labelled = docs.where(lang.isNotNull() & text.rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
-    names = sorted(counts)
+    order = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1 << 40)) / float(1 << 40)
+    labelled = docs.where(lang.isNotNull() & text.rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select(order.alias("ord"), lang.alias("lang"), text.alias("text"))
+    own = labelled.groupBy("lang", "ord").agg(F.count("*").alias("n"))
+    stats = own.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("ord").alias("least"))
+    stats = {r["lang"]: r for r in stats.orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    names = sorted(stats)
     if not names:
         return {"names": []}
     each = max(1, sample // len(names))
-    share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(min(1.0, each / counts[n])))])
-    order = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length(text)), F.lit(1 << 20)) / float(1 << 20)
-    drawn = labelled.where(order < share[lang]).select(order.alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
-    made = drawn.mapInArrow(_sparse, "ord double, doc_id long, lang string, at binary, value binary")
-    rows = made.orderBy("ord", "doc_id", "lang", "at", "value").limit(2 * sample).collect()
+    share = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(max(stats[n]["least"], min(1.0, each / stats[n]["texts"])))))])
+    made = labelled.where(F.col("ord") <= share[F.col("lang")]).mapInArrow(_sparse, "ord double, lang string, at binary, value binary")
+    one = made.groupBy("lang", "ord").agg(F.min(F.struct("at", "value")).alias("x"))
+    rows = one.select("lang", "ord", "x.*").orderBy("ord", "lang").limit(2 * sample + len(names)).collect()
+    names = sorted({r["lang"] for r in rows})
     number = {n: i for i, n in enumerate(names)}
     x = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4")) for r in rows]
     return fit(x, np.array([number[r["lang"]] for r in rows]), names)
