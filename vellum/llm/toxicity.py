@@ -31,8 +31,9 @@ from vellum.llm import langid
 from vellum.llm.common import bounded_batches, held_out, materialise
 
 LIMIT = 0.3
-#: Most labelled documents of a class that the net is fitted on.
-SAMPLE = 1500
+#: Most labelled documents of a class that the net is fitted on.  Of one with more words
+#: than ``PLACES``, stretches of ``STRETCH`` words from all over it are.
+SAMPLE, PLACES, STRETCH = 1500, 1 << 13, 64
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5)
 WORDS = re.compile(r"[^\W\d_]+")
@@ -54,6 +55,23 @@ def split(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def codes(text: str | None) -> np.ndarray:
+    """Each word's buckets in one number.  Of a very long text, so many stretches, the first
+    and last included, that ``PLACES`` words are about what is given."""
+    words = split(text)
+    if len(words) > PLACES:
+        last = len(words) - STRETCH
+        starts = np.linspace(0, last, PLACES // STRETCH).astype(int)
+        words = [w for a in starts.tolist() for w in words[a : a + STRETCH]]
+    known: dict[str, int] = {}
+    for w in set(words):
+        code = 0
+        for b in buckets(w):
+            code = code * BUCKETS + b
+        known[w] = code
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 class Net:
     """Parameters and forward pass.  ``kernels[k]`` is the filters of width ``WIDTHS[k]``."""
 
@@ -126,18 +144,19 @@ def evidence(seqs: list[np.ndarray], forms: np.ndarray, toxic: np.ndarray) -> np
     return (np.sign(seen[1] / n[1] - seen[0] / n[0]) * np.sqrt(2 * np.maximum(g, 0))).astype(np.float32)
 
 
-def fit(texts: list[str], toxic: np.ndarray, kept: np.ndarray, epochs: int = 10, seed: int = 3) -> Net:
-    """Adam on the logistic loss; gradients reach the words that gave each maximum.
+def fit(texts: list[np.ndarray], toxic: np.ndarray, kept: np.ndarray, epochs: int = 10, seed: int = 3) -> Net:
+    """Adam on the logistic loss over texts as :func:`codes`; gradients reach the words that gave each maximum.
 
     The first dimension of the embeddings starts from :func:`evidence`, and one filter of
     a single word passes it on.  The epoch with the least loss on ``kept`` rows, which
     are not fitted on, is returned.
     """
-    number: dict[str, int] = {}
-    seqs = [padded([number.setdefault(w, len(number) + 1) for w in split(t)]) for t in texts]
-    forms = np.zeros((len(number) + 1, 1 + len(PREFIXES)), np.int64)
-    if number:
-        forms[1:] = [buckets(w) for w in number]
+    words, at = np.unique(np.concatenate([np.zeros(0, np.int64), *texts]), return_inverse=True)
+    seqs = [padded(part) for part in np.split(at + 1, np.cumsum([len(t) for t in texts])[:-1])]
+    width = 1 + len(PREFIXES)
+    forms = np.zeros((len(words) + 1, width), np.int64)
+    for k in range(width):
+        forms[1:, k] = words // BUCKETS ** (width - 1 - k) % BUCKETS
     fitted = np.nonzero(~kept)[0]
     net, rng = Net(seed), np.random.default_rng(seed)
     net.embed[:, 0] = evidence([seqs[i] for i in fitted], forms, toxic[fitted]) / 2
@@ -242,27 +261,37 @@ def marks(labels: DataFrame) -> DataFrame:
     return good.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch({"doc_id": batch["doc_id"], "label": batch["label"], "h": batch["h"], "words": pa.array([codes(t.as_py()).astype("<i8").tobytes() for t in batch["text"]], pa.binary())})
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict:
     """Net, language model and the ids fitted on, from labelled rows outside the test fold.
 
     Of each class the first ``sample`` ids in a seeded order are drawn, before any text is
-    read; of rows that repeat an id the one with the least text is read, whole.  A quarter
-    of them is kept from the fitting.  Without both classes there is no net.
+    read; of rows that repeat an id the one whose text has the least hash counts.  Words
+    become numbers in the tasks, so the driver gets at most ``PLACES`` of them for a text.
+    A quarter of the texts is kept from the fitting.  Without both classes there is no net.
     """
+    bounded_batches(docs.sparkSession, 500)
     order = F.xxhash64(F.lit(seed), "doc_id")
     known = marks(labels)
     drawn = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
     speech = langid.train(docs)
     picked = F.broadcast(drawn[0].union(drawn[1]))  # at most twice the sample
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0).join(picked, "doc_id")
-    got = sorted(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).join(picked, "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "h", "text")
+    least = texts.groupBy("doc_id").agg(F.min("h").alias("h"))  # a row that repeats is read once
+    coded = texts.join(F.broadcast(least), ["doc_id", "h"], "left_semi").select("doc_id", "label", "h", "text").mapInArrow(_coded, "doc_id long, label int, h long, words binary")
+    got = sorted(coded.groupBy("doc_id", "label").agg(F.min("words").alias("words")).collect())
     y = np.array([r["label"] for r in got], int)
     fold = np.array([crc32(f"fold {r['doc_id']}".encode()) % 4 == 0 for r in got], bool)
     if len(set(y[~fold].tolist())) < 2 or len(set(y[fold].tolist())) < 2:
         fold = np.zeros(len(y), bool)
     if len(set(y.tolist())) < 2:
         return {"net": None, "speech": speech, "fitted": []}
-    return {"net": fit([r["text"] for r in got], y, fold), "speech": speech, "fitted": [r["doc_id"] for r, k in zip(got, fold, strict=True) if not k]}
+    return {"net": fit([np.frombuffer(r["words"], "<i8") for r in got], y, fold), "speech": speech, "fitted": [r["doc_id"] for r, k in zip(got, fold, strict=True) if not k]}
 
 
 def raw_scores(docs: DataFrame, model: dict, *keep: Column) -> DataFrame:
