@@ -152,8 +152,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     gives none; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("k"), F.col("text").cast("string").alias("text"))
-    found = materialise(rows.mapInArrow(_find, "doc_id long, k int, pos int, n int, h long, g long"), "spans")
+    text = F.col("text").cast("string")
+    digest = F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))  # tells rows of one id, or none, apart
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("k"), text.alias("text"))
+    found = materialise(rows.mapInArrow(_find, "doc_id long, k binary, pos int, n int, h long, g long"), "spans")
     spans_ = found.where("pos >= 0")
     # written, so that both sides of each join are plain shuffles, whose skew is split
     often = materialise(spans_.groupBy("h", "g").agg(F.count("*").alias("times")).where("times > 1").select("h", "g"), "often")
