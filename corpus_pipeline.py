@@ -26,11 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, groups, label: str) -> DataFrame:
     """Of the rows that ``groups`` puts under one ``label``, the one with the least doc_id,
     null ids last; rows that repeat an id are told apart by a row id of their own."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = groups(rows.withColumn("doc_id", F.col("_row")).drop("_row")).select(F.col("doc_id").alias("_row"), F.col(label).alias("_group"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    best = rows.select("_row", "doc_id").join(found, "_row").groupBy("_group").agg(F.min_by("_row", order).alias("_row"))
-    return rows.join(best.select("_row"), "_row", "left_semi").select(*docs.columns)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("doc")), "rows")
+    found = groups(rows.select(F.col("_row").alias("doc_id"), "doc.text")).select(F.col("doc_id").alias("_row"), F.col(label).alias("_group"))
+    order = F.struct(F.col("id").isNull(), "id", "_row")
+    best = rows.select("_row", F.col("doc.doc_id").alias("id")).join(found, "_row").groupBy("_group").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(best.select("_row"), "_row", "left_semi").select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
