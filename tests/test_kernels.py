@@ -1,9 +1,13 @@
 """Kernels without Spark: edit distance and alignment against plain dynamic programmes."""
 
+import random
+import tracemalloc
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vellum.functions.affine import align
+from vellum.functions.banded import align_whole
 from vellum.functions.distance import edits
 
 TEXT = st.text(alphabet="abß ", max_size=14)
@@ -60,3 +64,39 @@ def test_alignment_is_optimal_and_valid(a, b, mode):
         assert q - p == s - r > 0 and p >= at[0] and r >= at[1]
         at = (q, s)
     assert at[0] <= len(a) and at[1] <= len(b)
+
+
+def test_whole_texts_in_a_band_equal_the_full_table():
+    rng = random.Random(1)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc", "abcdefgh "])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        b = "".join(c if rng.random() > 0.15 else rng.choice(["", rng.choice(letters), c + rng.choice(letters)]) for c in a)
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + (b if rng.random() < 0.7 else "")
+        scores = rng.choice([(-1.0, -0.5, 1.0, 0.0), (-2.0, -2.0, 1.0, -1.0), (0.0, 0.0, 1.0, 0.0), (-1.5, -0.25, 2.0, -0.5), (-1.0, -0.5, -1.0, 0.0)])
+        free = rng.random() < 0.5
+        want = align(a, b, "global", *scores, free)
+        for band, cells in ((1, 10), (rng.choice([2, 5]), 60), (48, 1 << 21)):
+            assert align_whole(a, b, *scores, free, band=band, cells=cells) == want
+
+
+def test_whole_texts_of_thousands_of_characters_equal_the_full_table():
+    rng = random.Random(2)
+    for lost in (0, 150, 900):
+        a = "".join(rng.choice("abcdefghij klmno") for _ in range(3000))
+        b = "".join(c if rng.random() > 0.03 else rng.choice(["", "x", "xy"]) for c in a)
+        b = "before it " + b[:700] + b[700 + lost :] + " after it"
+        for free in (False, True):
+            assert align_whole(a, b, free_ends=free, cells=1 << 16) == align(a, b, "global", free_ends=free)
+
+
+def test_memory_of_a_very_long_text_grows_with_its_length():
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcdefghij klmno") for _ in range(40_000))
+    b = "".join(c if rng.random() > 0.004 else "x" for c in a)[:-30]
+    tracemalloc.start()
+    score, spans = align_whole(a, b, free_ends=True, cells=1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # the full table would take 25 GB
+    assert score == sum(x == y for i, j, p, q in spans for x, y in zip(a[i:j], b[p:q], strict=True)) and spans == [(0, len(b), 0, len(b))]

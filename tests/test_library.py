@@ -197,6 +197,31 @@ def test_prune_prediction_mask_cells_and_projection(spark):
     assert [r.doc_id for r in align.edit_documents(skipped).collect()] == [2] and align.edit_documents(skipped, on_error="null").count() == 2
 
 
+def test_whole_predictions_are_pruned_as_by_the_full_table(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeﬁÉ") for _ in range(rng.randint(1, 7)))
+    rows = []
+    for i in range(25):
+        text = " ".join(word() for _ in range(rng.randint(1, 120)))
+        said = "".join(c if rng.random() > 0.04 else rng.choice(["", "x", c + "y"]) for c in text)
+        rows.append((i, text, rng.choice(["", "OK, here it is:\n"]) + said + rng.choice(["", "\n(THE END)" * 30])))
+    rows += [(90, None, "a"), (91, "a", None), (92, "", "abc"), (93, "abc", ""), (94, "same", "same"), (94, "xyz", "123")]
+    df = spark.createDataFrame(rows, "doc_id long, input string, output string")
+    lower = lambda t: __import__("unicodedata").normalize("NFKC", t).lower()
+    want = []
+    for i, x, y in rows:
+        cut = rule = None
+        if x is not None and y is not None:
+            _, spans = affine.align(lower(x), lower(y), "global", free_ends=True)
+            origin = [k for k, c in enumerate(y) for _ in lower(c)]
+            cut = y[origin[spans[0][2]] : [*origin, len(y)][spans[-1][3]] if spans[-1][3] < len(origin) else len(y)] if spans else None
+        want.append((i, cut))
+    got = align.prune_predictions(df).collect()
+    assert sorted(((r.doc_id, r.pruned) for r in got), key=str) == sorted(want, key=str)
+    rules = {(r.doc_id, r.pruned): r.rule for r in got}
+    assert rules[(92, None)] == rules[(93, None)] == "failed" and rules[(94, "same")] == "ok" and rules[(90, None)] is None
+
+
 def test_diff_opcodes_against_the_standard_library(spark):
     rng = random.Random(43)
     for n, signs in ((12, "ab"), (30, "abcd "), (260, "abcdefgh "), (400, "ab" + "".join(map(chr, range(200, 400))))):

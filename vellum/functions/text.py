@@ -100,7 +100,7 @@ def _lower_mapped(text: pd.Series) -> pd.DataFrame:
 def normalize_lower_mapped(text: Column) -> Column:
     """TXT6 with ``origin``: for each character of the result, where in the text the piece
     begins that it comes from."""
-    return _lower_mapped(text)
+    return _lower_mapped.asNondeterministic()(text)  # so that it runs once a row
 
 
 def compact(text: Column) -> Column:

@@ -7,6 +7,7 @@ segment by segment, as rows of their own, or from state carried along one book.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.functions import affine, matching
+from vellum.functions import affine, banded, matching
 from vellum.functions import text as tx
 
 SPAN = "struct<a_start:int,a_end:int,b_start:int,b_end:int>"
@@ -22,15 +23,19 @@ ALIGNED = f"struct<score:double,spans:array<{SPAN}>>"
 
 
 def aligner(mode: str = "local", **scores):
-    """ALN1-4: a Column function ``(a, b) -> struct(score, spans)``."""
+    """ALN1-4: a Column function ``(a, b) -> struct(score, spans)``.
+
+    ``global`` takes whole texts of any length, in memory that grows with their length;
+    ``local`` holds a table of both lengths and is for segments."""
+    one = banded.align_whole if mode == "global" else partial(affine.align, mode=mode)
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("a_start", "a_end", "b_start", "b_end")])))]))
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if p is None or q is None else affine.align(p, q, mode, **scores) for p, q in zip(a, b, strict=True)]
+        found = [(None, None) if p is None or q is None else one(p, q, **scores) for p, q in zip(a, b, strict=True)]
         names = ("a_start", "a_end", "b_start", "b_end")
         return pd.DataFrame({"score": [f[0] for f in found], "spans": [None if f[1] is None else [dict(zip(names, s, strict=True)) for s in f[1]] for f in found]})
 
-    return run
+    return run.asNondeterministic()  # so that it runs once a row, whatever uses its result
 
 
 def match_string(a: Column, b: Column, gap: str = " ") -> Column:
@@ -49,26 +54,36 @@ def edit_strings(a: Column, b: Column, spans: Column, orientation: str = "origin
     """
     only_a, only_b = ("-", "+") if orientation == "original" else ("+", "-")
     cut = lambda t, i, j: tx.compact(F.substring(t, i + 1, j - i))
-    blank = lambda t: F.repeat(F.lit(" "), F.length(t))
 
-    def gap(t: Column, first: bool) -> Column:
-        sign = only_a if first else only_b
-        parts = (t, blank(t)) if first else (blank(t), t)
-        return F.struct(parts[0].alias("a"), parts[1].alias("b"), F.repeat(F.lit(sign), F.length(t)).alias("ops"))
+    def blocks(x: Column, y: Column, same: Column) -> Column:
+        """What only a has, what only b has, and what is aligned."""
+        n, m = F.length(x), F.length(y)
+        blank = lambda k: F.repeat(F.lit(" "), k)
+        ops = F.concat(F.repeat(F.lit(only_a), n), F.repeat(F.lit(only_b), m), same["ops"])
+        return F.struct(F.concat(x, blank(m), same["a"]).alias("a"), F.concat(blank(n), y, same["b"]).alias("b"), ops.alias("ops"), same["ok"].alias("ok"))
+
+    def whole(spans: Column) -> Column:
+        def piece(s: Column, k: Column) -> Column:
+            before = lambda side: F.when(k > 0, F.get(spans, k - 1)[f"{side}_end"]).otherwise(0)
+            parts = F.struct(
+                cut(a, before("a"), s["a_start"]).alias("x"), cut(b, before("b"), s["b_start"]).alias("y"), cut(a, s["a_start"], s["a_end"]).alias("p"), cut(b, s["b_start"], s["b_end"]).alias("q"),
+            )
 
-    add = lambda acc, *ps: F.struct(*[F.concat(acc["s"][k], *[p[k] for p in ps]).alias(k) for k in ("a", "b", "ops")])
+            def joined(c: Column) -> Column:
+                fit = F.length(c["p"]) == F.length(c["q"])
+                same = F.struct(c["p"].alias("a"), c["q"].alias("b"), F.when((F.length(c["p"]) > 0) & fit, match_string(c["p"], c["q"], "\0")).otherwise("").alias("ops"), fit.alias("ok"))
+                return tx.once(same, lambda d: blocks(c["x"], c["y"], d))
 
-    def step(acc: Column, s: Column) -> Column:
-        x, y = cut(a, s["a_start"], s["a_end"]), cut(b, s["b_start"], s["b_end"])
-        same = F.when((F.length(x) > 0) & (F.length(x) == F.length(y)), match_string(x, y, "\0")).otherwise("")
-        both = F.struct(x.alias("a"), y.alias("b"), same.alias("ops"))
-        grown = add(acc, gap(cut(a, acc["i"], s["a_start"]), True), gap(cut(b, acc["j"], s["b_start"]), False), both)
-        return F.struct(s["a_end"].alias("i"), s["b_end"].alias("j"), grown.alias("s"), (acc["ok"] & (F.length(x) == F.length(y))).alias("ok"))
+            return tx.once(parts, joined)
 
-    none = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("ops"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("s"), F.lit(True).alias("ok"))
-    end = lambda acc: F.when(acc["ok"], add(acc, gap(cut(a, acc["i"], F.length(a)), True), gap(cut(b, acc["j"], F.length(b)), False)))
-    return F.aggregate(spans, start, step, end)
+        end = lambda side: F.coalesce(F.try_element_at(spans, F.lit(-1))[f"{side}_end"], F.lit(0))
+        nothing = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("ops"), F.lit(True).alias("ok"))
+        tail = blocks(cut(a, end("a"), F.length(a)), cut(b, end("b"), F.length(b)), nothing)
+        every = F.concat(F.transform(spans, piece), F.array(tail))
+        joined_up = lambda ps: F.when(F.forall(ps, lambda p: p["ok"]), F.struct(*[F.array_join(ps[c], "").alias(c) for c in ("a", "b", "ops")]))
+        return tx.once(every, joined_up)
+
+    return tx.once(spans, whole)
 
 
 def edit_documents(aligned: DataFrame, orientation: str = "original", on_error: str = "skip") -> DataFrame:
@@ -93,7 +108,7 @@ def suspicious(spans: Column, a: Column, b: Column) -> Column:
 
 def extent(spans: Column, side: str = "b") -> Column:
     """First aligned start and last aligned end on a side; null without spans."""
-    return F.when(F.size(spans) > 0, F.struct(spans[0][f"{side}_start"].alias("start"), F.element_at(spans, -1)[f"{side}_end"].alias("end")))
+    return F.when(F.size(spans) > 0, F.struct(spans[0][f"{side}_start"].alias("start"), F.try_element_at(spans, F.lit(-1))[f"{side}_end"].alias("end")))
 
 
 def prune(prediction: Column, spans: Column) -> Column:
@@ -102,6 +117,19 @@ def prune(prediction: Column, spans: Column) -> Column:
     return F.substring(prediction, e["start"] + 1, e["end"] - e["start"])
 
 
+def prune_predictions(pairs: DataFrame, source: str = "input", prediction: str = "output", gap_open: float = -1.0, gap_extend: float = -0.5) -> DataFrame:
+    """ALN14, FLT14 over whole texts: ``doc_id, pruned, rule``.
+
+    Both texts are composed and lower-cased, aligned globally with free ends, and the raw
+    prediction is cut to what its first to its last aligned character come from.  Where
+    nothing aligns the prediction is null and the rule ``failed``; null texts give nulls.
+    """
+    mapped = tx.normalize_lower_mapped(F.col(prediction))
+    ready = pairs.select("doc_id", F.col(prediction).alias("raw"), tx.normalize_lower(F.col(source)).alias("a"), mapped.alias("m"))
+    aligned = ready.select("*", aligner("global", gap_open=gap_open, gap_extend=gap_extend, free_ends=True)(F.col("a"), F.col("m.text"))["spans"].alias("spans"))
+    return aligned.select("doc_id", prune_raw(F.col("raw"), F.col("m"), F.col("spans")).alias("pruned"), F.when(F.col("spans").isNotNull(), suspicious(F.col("spans"), F.col("a"), F.col("m.text"))["rule"]).alias("rule"))
+
+
 def prune_raw(prediction: Column, mapped: Column, spans: Column) -> Column:
     """ALN14 where the spans are of the prediction's lower-case composition
     (``text.normalize_lower_mapped``): the raw prediction over the same extent."""

@@ -599,22 +599,27 @@ def segment_align(spark, d):
     return align.align_segments(_segments(spark, d))
 
 
-def _aligned(spark, d):
-    a = align.aligner("global", gap_open=-1.0, gap_extend=-0.5, free_ends=True)(tx.compact(F.col("a")), tx.compact(F.col("b")))
-    return _segments(spark, d).select("doc_id", "seg", tx.compact(F.col("a")).alias("a"), tx.compact(F.col("b")).alias("b"), a["spans"].alias("spans"))
-
-
 @query()
 def edit_strings(spark, d):
-    """ALN2, ALN6."""
-    s = align.edit_strings(F.col("a"), F.col("b"), F.col("spans"))
-    return _aligned(spark, d).select("doc_id", "seg", s["a"].alias("a"), s["b"].alias("b"), s["ops"].alias("ops"))
+    """ALN2, ALN6, ALN8: whole texts."""
+    c = triples(spark, d).select("doc_id", tx.compact(F.col("original")).alias("a"), tx.compact(F.col("corrected")).alias("b"))
+    spans = align.aligner("global", free_ends=True)(F.col("a"), F.col("b"))["spans"]
+    return align.edit_documents(c.withColumn("spans", spans))
+
+
+#: What a model says around its answer.
+BEFORE, AFTER = "Sure! Corrected text:\n\n", "\n\n(END OF TEXT)"
+
+
+def _pruned(spark, d):
+    said = F.concat(F.lit(BEFORE), "corrected", F.lit(AFTER))
+    return align.prune_predictions(triples(spark, d).select("doc_id", F.col("original").alias("input"), said.alias("output")))
 
 
 @query()
 def prune_prediction(spark, d):
-    """ALN14, FLT14."""
-    return _aligned(spark, d).select("doc_id", "seg", align.prune(F.col("b"), F.col("spans")).alias("pruned"), align.suspicious(F.col("spans"), F.col("a"), F.col("b"))["rule"].alias("rule"))
+    """ALN14, FLT14: whole predictions with a model's talk around them, which goes."""
+    return _pruned(spark, d)
 
 
 @query()
