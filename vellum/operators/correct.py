@@ -117,7 +117,8 @@ SPACES: dict[str, dict[str, tuple]] = {
 
 
 def random_trials(spark: SparkSession, space: dict[str, tuple], n: int = 100, seed: int = 0) -> DataFrame:
-    """LM9: n seeded draws from a space: ``trial, parameters``; the same on each run."""
+    """LM9: n seeded draws from a space: ``trial, parameters``; the same on each run.  See
+    ``tune`` for the search that learns from what its trials gave."""
     rng, rows = random.Random(seed), []
     for i in range(n):
         drawn: dict[str, float] = {}

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import align, collocate, corpus, correct, metrics
+from vellum.operators import align, collocate, corpus, correct, metrics, tune
 from vellum.plans.derive import EDITS, PAGES, TRIALS, TRIPLES, edits, pages, r6, table, trials, triples, years
-from vellum.sources import io
-from vellum.streaming.resume import remaining
+from vellum.sources import io, zipped
+from vellum.streaming.resume import answer_once, answers, pair_stream, remaining
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -562,6 +562,22 @@ def file_lookup(spark, d):
     return io.lookup(orders, "o_custkey", orders.agg(F.min("o_custkey")).first()[0], "o_orderkey")
 
 
+@query("""WITH n AS (SELECT doc_id, n_chars, unnest(generate_series(0, doc_id % 4)) AS k FROM documents), m AS (SELECT *, unnest(generate_series(0, (doc_id + k) % 3)) AS s FROM n)
+SELECT 'doc' || doc_id || '.txt' AS name, (2 * k)::BIGINT AS line, s::INT AS place, (s * 10 + k)::INT AS start, (s * 10 + k + n_chars % 9)::INT AS "end" FROM m""")
+def file_zip_spans(spark, d):
+    """SRC8: span lists in several notations, a member a document, in zip archives."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    start = lambda s, k: (s * 10 + k).cast("string")
+    number = lambda s, k: F.when(k % 2 == 0, start(s, k)).otherwise(F.concat(F.lit("np.int64("), start(s, k), F.lit(")")))
+    pair = lambda s, k: F.concat(F.lit("["), number(s, k), F.lit(", "), (s * 10 + k + n % 9).cast("string"), F.lit("]"))
+    line = lambda k: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), ((i + k) % 3).cast("int")), lambda s: pair(s, k)), ", "), F.lit("]"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), (i % 4).cast("int")), line), "\n\n")
+    rows = table(spark, d, "documents").repartition(3, "doc_id").select(F.concat(F.lit("doc"), i.cast("string"), F.lit(".txt")).alias("name"), text.alias("text"))
+    path = io.scratch_dir(spark, "zips")
+    zipped.write_archives(rows, path)
+    return io.read_zipped(spark, path).select("name", "line", F.posexplode("spans").alias("place", "s")).select("name", "line", "place", "s.*")
+
+
 @query(f"WITH {EDITS} SELECT doc_id::VARCHAR AS url, original, corrected, ops AS alignments FROM edits")
 def file_edit_strings(spark, d):
     """SRC13, SNK8."""
@@ -640,6 +656,18 @@ def stub_model(prompts: list[str]) -> list[str]:
     return [p.rsplit(":", 1)[-1].replace("fh", "sh") for p in prompts]
 
 
+@query(f"WITH {TRIPLES} SELECT doc_id, replace(string_split(original, ':')[-1], 'fh', 'sh') AS answer FROM triples")
+def stream_answers(spark, d):
+    """SRC4, SNK2, LM11: a folder drained as a stream; a fifth of the rows arrive twice."""
+    rows = triples(spark, d).select("doc_id", F.col("original").alias("input"))
+    folder, out, marks = (io.scratch_dir(spark, label) for label in ("arrivals", "answers", "marks"))
+    io.write_jsonl(rows.repartition(6, "doc_id"), folder)
+    io.write_jsonl(rows.where("doc_id % 5 = 0").repartition(2, "doc_id"), folder, append=True)
+    stream = pair_stream(spark, folder, 3, "doc_id long, input string")
+    answer_once(stream, stub_model, out, marks, key="doc_id").awaitTermination()
+    return answers(spark, out, stream.schema).select("doc_id", "answer")
+
+
 @query()
 def correct_stub(spark, d):
     """LM4-7, WIN3."""
@@ -655,3 +683,10 @@ def trial_search_stub(spark, d):
     return rounded(correct.search(triples(spark, d), space, answer).drop("parameters"))
 
 
+@query()
+def trial_search_adaptive(spark, d):
+    """LM9: rounds that are drawn by what the rounds before gave."""
+    answer = lambda t, p: (t or "").replace("f", "s", int(40 * p["share"])) + "x" * int(p["noise"])
+    space = {"share": ("float", 0.0, 1.0), "noise": ("int", 0, 3)}
+    found = tune.adaptive_search(triples(spark, d), space, answer, io.scratch_dir(spark, "trials"), trials=12, batch=6)
+    return rounded(found.select("trial", "round", "objective"))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.sources import zipped
+
 PAIR = "input string, output string"
 BLOCKS = "input_1 string, input_2 string, output_1 string, output_2 string"
 TRIAL = (
@@ -100,22 +97,11 @@ def parse_spans(text: Column) -> Column:
 
 
 def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: ``name, line, spans`` of the lines of all members of zip archives.
-
-    An archive is a row, and its members are read one after another, line by line.
-    """
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in sorted(n for n in archive.namelist() if not n.endswith("/")):
-                        with archive.open(name) as member:
-                            while part := [x.decode("utf-8", "replace").rstrip("\r\n") for x in islice(member, 1000)]:
-                                yield pd.DataFrame({"name": name, "text": part})
-
-    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "name string, text string")
-    return text.where("trim(text) <> ''").select("name", "text", parse_spans(F.col("text")).alias("spans"))
+    """SRC8: ``archive, name, line, text, spans`` of the lines of all members of the zip
+    archives at a path; blank lines are left out but counted.  See ``zipped``."""
+    zipped.register(spark)
+    text = spark.read.format(zipped.FORMAT).load(path)
+    return text.where("trim(text) <> ''").select("archive", "name", "line", "text", parse_spans(F.col("text")).alias("spans"))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
