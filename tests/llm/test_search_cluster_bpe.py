@@ -165,6 +165,15 @@ def test_bpe_against_the_library_and_round_trip(spark, odd_texts):
     assert sorted(((r.doc_id, tuple(r.ids)) for r in ids.collect()), key=str) == sorted(((i, tuple(own.encode_ordinary(t or ""))) for i, t in rows), key=str)
 
 
+def test_runs_of_ids_between_rare_words():
+    rng = random.Random(5)
+    docs = [[rng.choice([-1, -2, 5, 6, 7, 8]) for _ in range(rng.randint(0, 9))] for _ in range(60)] + [[], [-1], [], [3], [-1, -1]]
+    runs, gaps = bpe._parted(np.array([i for d in docs for i in d], np.int32), np.cumsum([0, *map(len, docs)]))
+    for ids, own, rare in zip(docs, runs.to_pylist(), gaps.to_pylist(), strict=True):
+        assert len(own) == len(rare) + 1 and rare == [-1 - i for i in ids if i < 0]
+        assert [i for run, g in zip(own, [*rare, None], strict=True) for i in [*run, *([-1 - g] if g is not None else [])]] == ids
+
+
 def test_merges_take_their_turn_where_a_merge_makes_a_lower_rank(spark):
     rng = random.Random(2)
     for _ in range(6):

@@ -107,25 +107,24 @@ def _merged(table: Column, tokens: Column, chosen: Column) -> Column:
     return _state(table, once(F.split(F.concat(F.lit("0"), chosen), ""), apart))
 
 
-def _first(table: Column, s: Column, least: Column) -> Column:
-    """The state after the merge of the first pair of the least rank."""
+def _first(table: Column, s: Column, p: Column) -> Column:
+    """The state after the merge of the pair at ``p``."""
     t, r = s["t"], s["r"]
+    three = lambda i: rank(table, F.concat(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
+    grown = F.transform(t, lambda x, i: F.when(i == p, F.concat(x, F.get(t, p + 1))).otherwise(x))
+    ranks = F.transform(F.filter(r, lambda _, i: i != p + 1), lambda x, i: F.when(i == p, three(p)).when(i == p - 1, three(p - 1)).otherwise(x))
+    return F.struct(F.filter(grown, lambda _, i: i != p + 1).alias("t"), ranks.alias("r"))
 
-    def merge(p: Column) -> Column:
-        grown = F.transform(t, lambda x, i: F.when(i == p, F.concat(x, F.get(t, i + 1))).otherwise(x))
-        of = lambda u: F.transform(u, lambda _, i: F.when(i < p - 1, F.get(r, i)).when(i > p, F.get(r, i + 1)).otherwise(_pair(table, u, i)))
-        return once(F.filter(grown, lambda _, i: i != p + 1), lambda u: F.struct(u.alias("t"), of(u).alias("r")))
 
-    return once(F.array_position(r, least).cast("int") - 1, merge)
-
-
-def _alike(table: Column, s: Column, least: Column) -> Column:
-    """The state after the merge of all pairs of the least rank, from left to right.
+def _alike(table: Column, s: Column, p: Column) -> Column:
+    """The state after the merge of all pairs of the least rank, whose first is at ``p``,
+    from left to right.
 
     That is what merging one after the other gives unless a merge makes a pair of lower
     rank, which would have its turn before the rest; then only the first is merged.
     """
     t, r = s["t"], s["r"]
+    least = F.get(r, p)
 
     def lower_between(chosen: Column) -> Column:
         # a merged pair beside the first half of the next one
@@ -134,7 +133,7 @@ def _alike(table: Column, s: Column, least: Column) -> Column:
         return F.contains(chosen, F.lit("101")) & once(F.split(chosen, ""), lower)
 
     def merge(chosen: Column) -> Column:
-        whole = lambda after: F.when((F.coalesce(F.array_min(after["r"]), least) < least) | lower_between(chosen), _first(table, s, least)).otherwise(after)
+        whole = lambda after: F.when((F.coalesce(F.array_min(after["r"]), least) < least) | lower_between(chosen), _first(table, s, p)).otherwise(after)
         return once(_merged(table, t, chosen), whole)
 
     hits = F.array_join(F.transform(r, lambda x: F.when(x.eqNullSafe(least), "1").otherwise("0")), "")
@@ -143,8 +142,8 @@ def _alike(table: Column, s: Column, least: Column) -> Column:
 
 def _step(table: Column, s: Column) -> Column:
     """Short words merge one pair a step, long ones all pairs of a rank, with equal results."""
-    then = lambda least: F.when(least.isNull(), s).when(F.size(s["t"]) <= SHORT, _first(table, s, least)).otherwise(_alike(table, s, least))
-    return once(F.array_min(s["r"]), then)
+    then = lambda p: F.when(p.isNull(), s).when(F.size(s["t"]) <= SHORT, _first(table, s, p)).otherwise(_alike(table, s, p))
+    return once(F.array_position(s["r"], F.array_min(s["r"])).cast("int") - 1, then)
 
 
 def fold(table: Column, word: Column) -> Column:
@@ -223,28 +222,26 @@ def _looked_up(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = shared.value.known(), splitter(pattern)
         for batch in batches:
-            parts, gaps, rares = [], [], []
+            ids, rares = [], []
             for text in batch["text"]:
                 known.rare = {}
-                ids = np.frombuffer(b"".join(map(known.__getitem__, split(text.as_py()))), "<i4")
+                ids.append(b"".join(map(known.__getitem__, split(text.as_py()))))
                 rares.append(list(known.rare))
-                at = np.nonzero(ids < 0)[0]
-                gaps.append(-1 - ids[at])
-                parts.append((ids, at))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "runs": _runs(parts), "gaps": _lists([len(g) for g in gaps], pa.array(np.concatenate([np.zeros(0, np.int32), *gaps]))), "rare": pa.array(rares, pa.list_(pa.string()))})
+            runs, gaps = _parted(np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *(len(i) // 4 for i in ids)]))
+            yield pa.record_batch({"doc_id": batch["doc_id"], "runs": runs, "gaps": gaps, "rare": pa.array(rares, pa.list_(pa.string()))})
 
     return run
 
 
-def _lists(sizes, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
-
-
-def _runs(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
-    """Of each document, the ids before, between and after its gaps."""
-    sizes = np.concatenate([np.zeros(0, int), *(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1 for ids, at in parts)])
-    flat = np.concatenate([np.zeros(0, np.int32), *(np.delete(ids, at) for ids, at in parts)])
-    return _lists([len(at) + 1 for _, at in parts], _lists(sizes, pa.array(flat)))
+def _parted(ids: np.ndarray, ends: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of the ids of documents that end at ``ends``: of each document the runs of ids
+    before, between and after its rare words, and these words' numbers."""
+    at = np.nonzero(ids < 0)[0]
+    first = np.searchsorted(at, ends)  # the rare words before each document's end
+    sizes = np.sort(np.concatenate((ends[1:], at))) - np.sort(np.concatenate((ends[:-1], at + 1)))
+    lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
+    runs = lists(np.concatenate(([0], np.cumsum(sizes))), pa.array(ids[ids >= 0]))
+    return lists(first + np.arange(len(ends)), runs), lists(first, pa.array(-1 - ids[at]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, most: int = WORDS) -> DataFrame:
