@@ -153,7 +153,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    digest = F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))  # tells rows of one id, or none, apart
+    # tells rows of one id, or none, apart: in the order of their texts' hash, then by 128 bits
+    order = F.lpad(F.hex(F.hash("text").cast("long") + F.lit(1 << 31)), 8, "0")
+    digest = F.unhex(F.concat(order, F.coalesce(F.md5(text.cast("binary")), F.lit(""))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("k"), text.alias("text"))
     found = materialise(rows.mapInArrow(_find, "doc_id long, k binary, pos int, n int, h long, g long"), "spans")
     spans_ = found.where("pos >= 0")
