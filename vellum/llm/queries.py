@@ -49,7 +49,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages"), least=5, surely=0.5, longest=3)
 
 
 def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
