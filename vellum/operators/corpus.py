@@ -76,6 +76,22 @@ def vocabulary(docs: DataFrame, columns=("original", "corrected", "reference"),
     return tagged.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
 
 
+def vocabulary_sketches(docs: DataFrame, group: str, columns=("original", "corrected", "reference"), lowercase: bool = False, log_size: int = 12) -> DataFrame:
+    """AGG2 that merges: a HyperLogLog sketch of each group's words in each text column.
+    Groups add up later without their texts (:func:`merged_vocabulary`)."""
+    words = [docs.select(group, F.lit(c).alias("variant"), F.explode(tx.tokenize(tx.normalize_words(F.col(c), lowercase))).alias("word")) for c in columns]
+    every = words[0]
+    for more in words[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(group, "variant").agg(F.hll_sketch_agg("word", log_size).alias("sketch"))
+
+
+def merged_vocabulary(sketches: DataFrame, *by: str) -> DataFrame:
+    """Estimated vocabulary sizes of sketches merged by ``variant`` and more columns.  The
+    estimate's standard error is 1.04 / sqrt(2^log_size), 1.6 % of 12."""
+    return sketches.groupBy("variant", *by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("words"))
+
+
 def vocabulary_changes(counts: DataFrame) -> DataFrame:
     """AGG2, AGG3: removed and new words, with the share of singletons and of words that
     the reference lacks; null shares of empty sets."""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import align, collocate, corpus, correct, metrics, tune
+from vellum.functions.windows import token_windows
+from vellum.operators import align, collocate, corpus, correct, metrics, serve, tune
 from vellum.plans.derive import EDITS, PAGES, TRIALS, TRIPLES, edits, pages, r6, table, trials, triples, years
-from vellum.sources import io, zipped
+from vellum.sources import io, wanted, zipped
 from vellum.streaming.resume import answer_once, answers, pair_stream, remaining
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +212,19 @@ def idf_band(spark, d):
     return rounded(corpus.idf_band(triples(spark, d), "reference"))
 
 
+@query(_VOCAB + """SELECT 'original' AS variant, count(*) FILTER (original > 0) AS words, true AS close FROM v UNION ALL SELECT 'corrected', count(*) FILTER (corrected > 0), true FROM v UNION ALL SELECT 'reference', count(*) FILTER (reference > 0), true FROM v""")
+def vocab_sketches(spark, d):
+    """AGG1, AGG2: exact sizes, and whether those out of merged sketches of 16 groups of
+    documents are within four standard errors of them."""
+    t = triples(spark, d).withColumn("part", F.pmod("doc_id", F.lit(16)))
+    v = corpus.vocabulary(t)
+    sizes = v.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in ("original", "corrected", "reference")])
+    exact = sizes.unpivot([], ["original", "corrected", "reference"], "variant", "exact")
+    merged = corpus.merged_vocabulary(corpus.vocabulary_sketches(t, "part"))
+    close = F.abs(F.col("words") - F.col("exact")) <= 4 * 1.04 / 64 * F.col("exact")
+    return exact.join(merged, "variant").select("variant", F.col("exact").alias("words"), close.alias("close"))
+
+
 # Pages and books
 
 
@@ -377,6 +391,15 @@ def overlap_windows(spark, d):
     return triples(spark, d).select("doc_id", F.posexplode(tx.overlap_windows(F.col("reference"), 100, 0.2)).alias("slice", "text"))
 
 
+@query()
+def token_slices(spark, d):
+    """TXT17 by a subword tokenizer."""
+    import public_tokenizers
+
+    found = token_windows(F.col("reference"), public_tokenizers.path("word_bpe_49k.json"), 300, 0.2)
+    return triples(spark, d).select("doc_id", F.posexplode(found).alias("slice", "w")).select("doc_id", "slice", "w.*")
+
+
 #: Words of a segment, the operators' own size.
 SEGMENT = 300
 
@@ -450,6 +473,42 @@ def density_runs(spark, d):
     return align.dense_runs(edits(spark, d))
 
 
+#: Spans of 20 characters in every 25, of which b's begin two characters before a's.
+_SPANS = "filter(transform(sequence(0, length(original) div 25), k -> named_struct('a_start', 25 * k + 2, 'a_end', least(25 * k + 22, length(original)), 'b_start', 25 * k, 'b_end', least(25 * k + 20, length(original) - 2))), s -> s.a_end > s.a_start)"
+_SHIFTED = f"""WITH {EDITS}, c AS (SELECT doc_id, unnest(string_split(original, '')) AS x, unnest(string_split(corrected, '')) AS y, generate_subscripts(string_split(original, ''), 1) - 1 AS pos FROM edits WHERE original <> ''),
+h AS (SELECT doc_id, pos, y, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS x FROM c), cells AS (SELECT doc_id, pos, x = y AS hit, pos % 25 < 20 AND x IS NOT NULL AS aligned FROM h)"""
+
+
+def _shifted(spark, d):
+    spans = F.expr(_SPANS).cast(f"array<{align.SPAN.removeprefix('array')}>")
+    return edits(spark, d).select("doc_id", F.col("original").alias("a"), F.col("corrected").alias("b"), spans.alias("spans"))
+
+
+@query(_SHIFTED + ", m AS (SELECT doc_id, string_agg(CASE WHEN aligned AND hit THEN '1' ELSE '0' END, '' ORDER BY pos) AS mask FROM cells GROUP BY 1) SELECT e.doc_id, coalesce(mask, '') AS mask FROM edits e LEFT JOIN m USING (doc_id)")
+def match_masks(spark, d):
+    """ALN12, SNK7: which characters of a text are aligned to equal ones."""
+    mask = F.transform(align.match_mask(F.col("b"), F.col("spans"), F.col("a")), lambda x: F.when(x, "1").otherwise("0"))
+    return _shifted(spark, d).select("doc_id", F.array_join(mask, "").alias("mask"))
+
+
+@query(_SHIFTED + " SELECT doc_id, count(*) AS cells, sum(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS value, sum((pos + 2) * CASE WHEN hit THEN 2 ELSE 1 END)::BIGINT AS rows_, sum(pos * CASE WHEN hit THEN 2 ELSE 1 END)::BIGINT AS columns_ FROM cells WHERE aligned GROUP BY 1")
+def matrix_cells(spark, d):
+    """ALN13: the sparse alignment matrix, summed up by document."""
+    weight = (2 * F.col("v")).cast("long")
+    found = align.alignment_cells(_shifted(spark, d))
+    return found.groupBy("doc_id").agg(F.count("*").alias("cells"), F.sum("v").alias("value"), F.sum(F.col("i") * weight).alias("rows_"), F.sum(F.col("j") * weight).alias("columns_"))
+
+
+@query(f"""WITH {TRIPLES}, {EDITS}, e AS (SELECT doc_id, ops FROM edits ANTI JOIN labels USING (doc_id) WHERE doc_id % 97 <> 0) SELECT doc_id::VARCHAR AS url, length(original) AS size, ops FROM triples JOIN e USING (doc_id)""")
+def aligned_books(spark, d):
+    """JOIN5-7, FLT11: books with their alignment, without metadata rows and those done."""
+    url = F.when(F.col("doc_id") % 97 == 0, "./all_files.txt").otherwise(F.col("doc_id").cast("string"))
+    books = triples(spark, d).select(url.alias("url"), F.length("original").alias("size"))
+    found = edits(spark, d).select(F.col("doc_id").cast("string").alias("url"), "ops")
+    done = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("url"))
+    return corpus.pair_alignments(books, found, done)
+
+
 # Trials
 
 
@@ -532,6 +591,17 @@ def file_field(spark, d):
     return io.read_field(spark, path, "corrected")
 
 
+@query(f"WITH {TRIPLES} SELECT doc_id::VARCHAR AS book_id, len({WORDS('original')}) AS words, array_to_string({WORDS('corrected')}, ' ') AS answer FROM triples SEMI JOIN labels USING (doc_id)")
+def shards_wanted(spark, d):
+    """SRC6, FLT12: listed books out of written shards, whose other lines are not parsed."""
+    path = io.scratch_dir(spark, "shards")
+    segments = lambda c: tx.word_segments(F.col(c))
+    url = F.concat(F.lit("./books/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    io.write_jsonl(triples(spark, d).select(url.alias("url"), segments("original").alias("text-orig"), segments("corrected").alias("answer")), path)
+    found = wanted.read_wanted(spark, path, table(spark, d, "labels"), "doc_id")
+    return found.select("book_id", F.size(tx.tokenize(F.array_join("text-orig", " "))).cast("long").alias("words"), F.array_join("answer", " ").alias("answer"))
+
+
 @query(f"WITH {PAGES} SELECT * FROM pages_")
 def file_pages(spark, d):
     """SRC7."""
@@ -679,6 +749,24 @@ def stream_answers(spark, d):
     return answers(spark, out, stream.schema).select("doc_id", "answer")
 
 
+def stub_setup():
+    """Stands for loading a model; it refuses some prompts."""
+
+    def model(prompts: list[str]) -> list[str]:
+        if any(len(p) % 7 == 0 for p in prompts):
+            raise ValueError("refused")
+        return stub_model(prompts)
+
+    return model
+
+
+@query(f"WITH {TRIPLES} SELECT doc_id, CASE WHEN length(original) % 7 <> 0 THEN replace(string_split(original, ':')[-1], 'fh', 'sh') END AS answer, CASE WHEN length(original) % 7 = 0 THEN 'ValueError: refused' END AS error FROM triples")
+def served_answers(spark, d):
+    """LM1-3: a model set up once a worker; what it refuses becomes a row's error."""
+    asked = triples(spark, d).select("doc_id", serve.serve(F.col("original"), stub_setup).alias("r"))
+    return asked.select("doc_id", "r.answer", "r.error")
+
+
 @query()
 def correct_stub(spark, d):
     """LM4-7, WIN3."""
