@@ -53,7 +53,7 @@ def edit_strings(a: Column, b: Column, spans: Column, orientation: str = "origin
     length give null.
     """
     only_a, only_b = ("-", "+") if orientation == "original" else ("+", "-")
-    cut = lambda t, i, j: tx.compact(F.substring(t, i + 1, j - i))
+    cut = lambda t, i, j: tx.compact(F.array_join(F.slice(t, i + 1, F.greatest(j - i, F.lit(0))), ""))
 
     def blocks(x: Column, y: Column, same: Column) -> Column:
         """What only a has, what only b has, and what is aligned."""
@@ -62,7 +62,9 @@ def edit_strings(a: Column, b: Column, spans: Column, orientation: str = "origin
         ops = F.concat(F.repeat(F.lit(only_a), n), F.repeat(F.lit(only_b), m), same["ops"])
         return F.struct(F.concat(x, blank(m), same["a"]).alias("a"), F.concat(blank(n), y, same["b"]).alias("b"), ops.alias("ops"), same["ok"].alias("ok"))
 
-    def whole(spans: Column) -> Column:
+    def whole(given: Column) -> Column:
+        spans, a, b = given["spans"], given["a"], given["b"]
+
         def piece(s: Column, k: Column) -> Column:
             before = lambda side: F.when(k > 0, F.get(spans, k - 1)[f"{side}_end"]).otherwise(0)
             parts = F.struct(
@@ -78,12 +80,13 @@ def edit_strings(a: Column, b: Column, spans: Column, orientation: str = "origin
 
         end = lambda side: F.coalesce(F.try_element_at(spans, F.lit(-1))[f"{side}_end"], F.lit(0))
         nothing = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("ops"), F.lit(True).alias("ok"))
-        tail = blocks(cut(a, end("a"), F.length(a)), cut(b, end("b"), F.length(b)), nothing)
+        tail = blocks(cut(a, end("a"), F.size(a)), cut(b, end("b"), F.size(b)), nothing)
         every = F.concat(F.transform(spans, piece), F.array(tail))
         joined_up = lambda ps: F.when(F.forall(ps, lambda p: p["ok"]), F.struct(*[F.array_join(ps[c], "").alias(c) for c in ("a", "b", "ops")]))
         return tx.once(every, joined_up)
 
-    return tx.once(spans, whole)
+    # characters, so that a cut does not walk through all of the text before it
+    return tx.once(F.struct(spans.alias("spans"), tx.characters(a).alias("a"), tx.characters(b).alias("b")), whole)
 
 
 def edit_documents(aligned: DataFrame, orientation: str = "original", on_error: str = "skip") -> DataFrame:

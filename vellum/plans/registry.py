@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.windows import token_windows
-from vellum.operators import align, collocate, corpus, correct, metrics, serve, tune
+from vellum.operators import align, anchored, collocate, corpus, correct, metrics, serve, tune
 from vellum.plans.derive import EDITS, PAGES, TRIALS, TRIPLES, edits, pages, r6, table, trials, triples, years
 from vellum.sources import io, wanted, zipped
 from vellum.streaming.resume import answer_once, answers, pair_stream, remaining
@@ -499,6 +499,38 @@ def matrix_cells(spark, d):
     return found.groupBy("doc_id").agg(F.count("*").alias("cells"), F.sum("v").alias("value"), F.sum(F.col("i") * weight).alias("rows_"), F.sum(F.col("j") * weight).alias("columns_"))
 
 
+@query(f"""WITH {TRIPLES}, c AS (SELECT doc_id, unnest(string_split(original, '')) AS x, generate_subscripts(string_split(original, ''), 1) - 1 AS pos FROM triples WHERE original <> ''),
+w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE x NOT IN (' ', chr(10), '-')),
+r AS (SELECT doc_id, min(pos) FILTER (i = n // 4)::INT AS a, min(pos + 1) FILTER (i = n - n // 5 - 1)::INT AS b FROM w GROUP BY 1) SELECT doc_id, a AS "start", b AS "end" FROM triples LEFT JOIN r USING (doc_id)""")
+def raw_extents(spark, d):
+    """ALN15, ALN20: the aligned extent of a compact text as places in the raw one."""
+    n = F.length(tx.compact(F.col("original")))
+    end = lambda k: F.floor(n / k).cast("int")
+    span = F.struct(*[x.alias(c) for c, x in (("a_start", end(4)), ("a_end", n - end(5)), ("b_start", end(4)), ("b_end", n - end(5)))])
+    spans = F.when(n > 0, F.array(span)).otherwise(F.array().cast(f"array<{align.SPAN.removeprefix('array')}>"))
+    found = align.project_extent(tx.suppress_format(F.col("original")), spans)
+    return triples(spark, d).select("doc_id", found.alias("e")).select("doc_id", "e.*")
+
+
+@query(f"""WITH {EDITS}, t AS (SELECT doc_id, original AS a, translate(original, 'sw', 'fv') AS b, length(original) AS n FROM edits), k AS (SELECT *, unnest(generate_series(0, n // 25)) AS k FROM t),
+p AS (SELECT doc_id, k, CASE WHEN k = 0 THEN 0 ELSE 25 * k - 3 END AS before, 25 * k + 2 AS s, least(25 * k + 22, n) AS e, a, b FROM k WHERE n > 25 * k + 2),
+q AS (SELECT doc_id, k, s - before AS gap, substr(a, before + 1, s - before) AS x, substr(b, before + 1, s - before) AS y, substr(a, s + 1, e - s) AS p, substr(b, s + 1, e - s) AS q, e FROM p),
+m AS (SELECT doc_id, max(e) AS e, string_agg(x || repeat(' ', gap) || p, '' ORDER BY k) AS a, string_agg(repeat(' ', gap) || y || q, '' ORDER BY k) AS b, string_agg(repeat('+', gap) || repeat('-', gap) || regexp_replace(regexp_replace(p, '[^sw]', '|', 'g'), '[sw]', '.', 'g'), '' ORDER BY k) AS ops FROM q GROUP BY 1)
+SELECT doc_id, coalesce(m.a, '') || substr(t.a, coalesce(e, 0) + 1) || repeat(' ', n - coalesce(e, 0)) AS a, coalesce(m.b, '') || repeat(' ', n - coalesce(e, 0)) || substr(t.b, coalesce(e, 0) + 1) AS b, coalesce(m.ops, '') || repeat('+', n - coalesce(e, 0)) || repeat('-', n - coalesce(e, 0)) AS ops FROM t LEFT JOIN m USING (doc_id)""")
+def edit_documents(spark, d):
+    """ALN6-8 out of given spans, told from the reference's side."""
+    spans = F.expr(_SPANS.replace("25 * k, 'b_end', least(25 * k + 20, length(original) - 2)", "25 * k + 2, 'b_end', least(25 * k + 22, length(original))"))
+    rows = edits(spark, d).select("doc_id", F.col("original").alias("a"), F.translate("original", "sw", "fv").alias("b"), spans.cast(f"array<{align.SPAN.removeprefix('array')}>").alias("spans"))
+    return align.edit_documents(rows, "reference")
+
+
+@query()
+def anchored_align(spark, d):
+    """ALN10: 300-word segments against the whole other text, re-anchored."""
+    books = triples(spark, d).select("doc_id", tx.word_segments(F.col("original"), SEGMENT).alias("segments"), F.col("corrected").alias("text"))
+    return anchored.align_anchored(books).select("doc_id", "seg", "span.*")
+
+
 @query(f"""WITH {TRIPLES}, {EDITS}, e AS (SELECT doc_id, ops FROM edits ANTI JOIN labels USING (doc_id) WHERE doc_id % 97 <> 0) SELECT doc_id::VARCHAR AS url, length(original) AS size, ops FROM triples JOIN e USING (doc_id)""")
 def aligned_books(spark, d):
     """JOIN5-7, FLT11: books with their alignment, without metadata rows and those done."""
