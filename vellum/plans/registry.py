@@ -474,7 +474,7 @@ def density_runs(spark, d):
 
 
 #: Spans of 20 characters in every 25, of which b's begin two characters before a's.
-_SPANS = "filter(transform(sequence(0, length(original) div 25), k -> named_struct('a_start', 25 * k + 2, 'a_end', least(25 * k + 22, length(original)), 'b_start', 25 * k, 'b_end', least(25 * k + 20, length(original) - 2))), s -> s.a_end > s.a_start)"
+_SPANS = "get(transform(array(length(original)), n -> filter(transform(sequence(0, n div 25), k -> named_struct('a_start', 25 * k + 2, 'a_end', least(25 * k + 22, n), 'b_start', 25 * k, 'b_end', least(25 * k + 20, n - 2))), s -> s.a_end > s.a_start)), 0)"
 _SHIFTED = f"""WITH {EDITS}, c AS (SELECT doc_id, unnest(string_split(original, '')) AS x, unnest(string_split(corrected, '')) AS y, generate_subscripts(string_split(original, ''), 1) - 1 AS pos FROM edits WHERE original <> ''),
 h AS (SELECT doc_id, pos, y, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS x FROM c), cells AS (SELECT doc_id, pos, x = y AS hit, pos % 25 < 20 AND x IS NOT NULL AS aligned FROM h)"""
 
@@ -519,7 +519,7 @@ m AS (SELECT doc_id, max(e) AS e, string_agg(x || repeat(' ', gap) || p, '' ORDE
 SELECT doc_id, coalesce(m.a, '') || substr(t.a, coalesce(e, 0) + 1) || repeat(' ', n - coalesce(e, 0)) AS a, coalesce(m.b, '') || repeat(' ', n - coalesce(e, 0)) || substr(t.b, coalesce(e, 0) + 1) AS b, coalesce(m.ops, '') || repeat('+', n - coalesce(e, 0)) || repeat('-', n - coalesce(e, 0)) AS ops FROM t LEFT JOIN m USING (doc_id)""")
 def edit_documents(spark, d):
     """ALN6-8 out of given spans, told from the reference's side."""
-    spans = F.expr(_SPANS.replace("25 * k, 'b_end', least(25 * k + 20, length(original) - 2)", "25 * k + 2, 'b_end', least(25 * k + 22, length(original))"))
+    spans = F.expr(_SPANS.replace("25 * k, 'b_end', least(25 * k + 20, n - 2)", "25 * k + 2, 'b_end', least(25 * k + 22, n)"))
     rows = edits(spark, d).select("doc_id", F.col("original").alias("a"), F.translate("original", "sw", "fv").alias("b"), spans.cast(f"array<{align.SPAN.removeprefix('array')}>").alias("spans"))
     return align.edit_documents(rows, "reference")
 
