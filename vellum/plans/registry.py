@@ -672,7 +672,7 @@ def file_years(spark, d):
 def file_lookup(spark, d):
     """SRC12."""
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    return io.lookup(orders, "o_custkey", orders.agg(F.min("o_custkey")).first()[0], "o_orderkey")
+    return io.lookup(orders, "o_custkey", orders.agg(F.min("o_custkey")).scalar(), "o_orderkey")
 
 
 @query("""WITH n AS (SELECT doc_id, n_chars, unnest(generate_series(0, doc_id % 4)) AS k FROM documents), m AS (SELECT *, unnest(generate_series(0, (doc_id + k) % 3)) AS s FROM n)
