@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.distance import measures
+from vellum.functions.moves import move_edits
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,6 +42,15 @@ def document_scores(triples: DataFrame, metric: str = "cer", lowercase: bool = F
     return scored.withColumn("improvement", improvement(F.col("orig_score"), F.col("score")))
 
 
+def character_scores(pairs: DataFrame, predicted: str = "corrected", reference: str = "reference") -> DataFrame:
+    """MET3: ``doc_id, moves, moved_words, cost, score`` of whole texts, where blocks of words
+    may move.  The score is relative to the prediction's length: 0 if both texts are empty,
+    1 if the prediction alone is, null if either is null."""
+    m = pairs.select("doc_id", move_edits(F.col(predicted), F.col(reference)).alias("m")).select("doc_id", "m.*")
+    score = F.when(F.col("length") > 0, F.col("cost") / F.col("length")).when(F.col("cost") > 0, 1.0).when(F.col("cost") == 0, 0.0)
+    return m.select("doc_id", "moves", F.col("words").alias("moved_words"), F.when(F.col("length").isNotNull(), F.col("cost")).alias("cost"), score.alias("score"))
+
+
 def weighted(x: Column, w: Column) -> Column:
     w = F.when(x.isNotNull(), w)
     return ratio(F.sum(x * w), F.sum(w))

@@ -109,6 +109,15 @@ def eval_books(spark, d):
     return rounded(s.agg(metrics.weighted(F.col("score"), F.col("raw_length")).alias("corrected"), metrics.weighted(F.col("improvement"), F.col("input_length")).alias("objective"), F.avg(percent).alias("percent")))
 
 
+@query()
+def character_doc(spark, d):
+    """MET3: half of the corrected texts have their first thirty words at the end."""
+    words = F.split(F.trim("corrected"), r"\s+")
+    turned = tx.once(words, lambda w: F.array_join(F.concat(F.slice(w, 31, F.size(w)), F.slice(w, 1, 30)), " "))
+    t = triples(spark, d).withColumn("turned", F.when(F.col("doc_id") % 2 == 1, turned).otherwise(F.col("corrected")))
+    return rounded(metrics.character_scores(t, "turned"))
+
+
 _BAG = lambda v: f"""{v}_t AS (SELECT doc_id, unnest({WORDS(v)}) AS token FROM triples), {v}_c AS (SELECT doc_id, token, count(*) AS n FROM {v}_t GROUP BY ALL)"""
 _BOW = lambda v: f"""{v}_b AS (SELECT coalesce(p.doc_id, r.doc_id) AS doc_id, coalesce(p.n, 0) AS p, coalesce(r.n, 0) AS r FROM {v}_c p FULL JOIN reference_c r ON p.doc_id = r.doc_id AND p.token = r.token),
 {v}_s AS (SELECT t.doc_id, coalesce(sum(least(p, r)), 0)::BIGINT AS tp, coalesce(sum(greatest(p - r, 0)), 0)::BIGINT AS fp, coalesce(sum(greatest(r - p, 0)), 0)::BIGINT AS fn FROM triples t LEFT JOIN {v}_b b ON t.doc_id = b.doc_id GROUP BY 1),
