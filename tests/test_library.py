@@ -306,6 +306,13 @@ def test_collocations_against_brute_force(spark):
     assert got == dict(want)
 
 
+def test_significant_pairs_in_any_order_of_their_words(spark):
+    rows = [("b", "a", 4.0, 5, 7, 9), ("a", "b", 3.5, 5, 9, 7), ("c", "c", 9.0, 4, 8, 8), ("a", "c", 2.9, 4, 9, 8), ("a", "d", 3.0, 4, 9, 6), ("é", "a", 3.1, 4, 5, 9), (None, "a", 5.0, 4, 5, 9), ("x", "y", None, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "w1 string, w2 string, mi2 double, f12 long, f1 long, f2 long")
+    assert sorted(tuple(r) for r in collocate.significant(df).collect()) == [("a", "b", 4.0, 5, 9, 7), ("a", "d", 3.0, 4, 9, 6), ("a", "é", 3.1, 4, 9, 5)]
+    assert collocate.significant(df.limit(0)).collect() == []
+
+
 def test_row_ids_and_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("".join(f'{{"originals": {{"output": "{i}"}}}}\n' if i % 2 else f'{{"output": "{i}"}}\n' for i in range(50)))
     rows = io.read_text_key(spark, str(tmp_path / "a.jsonl")).orderBy("row_id").collect()

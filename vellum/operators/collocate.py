@@ -127,16 +127,8 @@ def ranked(found: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def significant(found: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """COL5, FLT9, FLT10: canonical pairs of two different words at or over a threshold."""
+    """COL5, FLT9, FLT10, TXT25: of collocations in any order of their words, canonical pairs
+    of two different words at or over a threshold; of a pair given twice the greater MI
+    counts."""
     a, b, fa, fb = tx.unordered(F.col("w1"), F.col("w2"), F.col("f1"), F.col("f2"))
-    return found.where((F.col("mi2") >= threshold) & (F.col("w1") != F.col("w2"))).select(a.alias("w1"), b.alias("w2"), "mi2", "f12", fa.alias("f1"), fb.alias("f2"))
-
-
-def regions(gold: DataFrame, original: DataFrame, corrected: DataFrame) -> DataFrame:
-    """COL6, COL7, SET4, SET5: each pair with the sets it is in, and the MI shown for it:
-    the gold set's where it is there, else the original's, else the corrected's."""
-    named = lambda df, c: df.select("w1", "w2", F.col("mi2").alias(c))
-    keys = ["w1", "w2"]
-    full = named(gold, "g").join(named(original, "o"), keys, "full").join(named(corrected, "c"), keys, "full")
-    flags = F.concat(*[F.when(F.col(c).isNotNull(), n).otherwise("") for c, n in (("g", "G"), ("o", "O"), ("c", "C"))])
-    return full.select(*keys, flags.alias("region"), F.coalesce("g", "o", "c").alias("mi2"))
+    return found.where((F.col("mi2") >= threshold) & (F.col("w1") != F.col("w2"))).select(a.alias("w1"), b.alias("w2"), F.struct("mi2", "f12", fa.alias("f1"), fb.alias("f2")).alias("m")).groupBy("w1", "w2").agg(F.max("m").alias("m")).select("w1", "w2", "m.*")

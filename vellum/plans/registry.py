@@ -669,6 +669,15 @@ def file_collocations(spark, d):
     return io.read_collocations(spark, path)
 
 
+@query(f"WITH {TRIPLES}, {_TOKENS('reference')} SELECT w1, w2, round(mi2, 6) AS mi2, f12, f1, f2 FROM reference_m WHERE (w1 IN {_PICKED} OR w2 IN {_PICKED}) AND w1 <> w2 AND mi2 >= 3")
+def file_significant(spark, d):
+    """COL5, TXT25: collocations of selected words out of a file, which has these first."""
+    path = io.scratch_dir(spark, "selected")
+    found = collocate.collocations(triples(spark, d), "reference", selected=_PICKED)
+    io.write_spaced(found.select("w1", "w2", "mi2", "f12", "f1", "f2"), path)
+    return rounded(collocate.significant(io.read_collocations(spark, path)))
+
+
 @query("SELECT o_custkey::VARCHAR AS ecco_id, arg_max(year(o_orderdate), o_orderkey)::INT AS start_year FROM orders GROUP BY 1")
 def file_years(spark, d):
     """SRC11."""
