@@ -36,6 +36,8 @@ SIMILAR = 0.9
 TOGETHER, DEALT, SLAB = 0.99, 16, 8192
 #: Rows of at most forty bytes that are sent to all tasks for a join; more are shuffled.
 SENT = 500_000
+#: Rows around hubs that a task compares as one Arrow group.
+GROUP = 8192
 
 
 def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,20 @@ def _block_graph(k: int, floor: float, link: float):
     return run
 
 
+def _hub_graph(k: int, floor: float, link: float):
+    """As :func:`_block_graph`, for all blocks of a group by itself."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["hub", "sub"], kind="stable")
+        ids, v = part["id"].to_numpy(), np.stack(part["v"])
+        key = part[["hub", "sub"]].to_numpy()
+        ends = [*(np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1), len(part)]
+        found = [_compare(ids[a:b], v[a:b], k, floor, link) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pd.concat(found, ignore_index=True)
+
+    return run
+
+
 GRAPH = "a long, b long, sim double, kind int"
 
 
@@ -183,15 +199,19 @@ def lists(found: DataFrame, k: int) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
-def refine(near: DataFrame, nodes: DataFrame, k: int, floor: float, link: float, turn: int = 0) -> DataFrame:
+def refine(near: DataFrame, nodes: DataFrame, n: int, k: int, floor: float, link: float, turn: int = 0) -> DataFrame:
     """One neighbours-of-neighbours join: around each node, its list, itself, and all in
     whose lists it is; where these are many they are dealt into several blocks, other
-    ones each turn."""
+    ones each turn.  Vectors of different lengths are never in one list.  Many blocks are
+    compared in one group: a block holds at most a few dozen rows, so groups stay near
+    ``GROUP`` rows at any size."""
     around = near.select(F.col("a").alias("hub"), F.col("b").alias("id")).union(near.select(F.col("b"), F.col("a"))).distinct()
     sizes = materialise(around.groupBy("hub").agg(F.ceil(F.count("*") / (3 * k)).alias("split")), "hubs")
     dealt = around.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id", "hub", F.lit(turn)), "split").alias("sub"), "id")
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("split") - 1)).alias("sub"), F.col("hub").alias("id"))
-    return dealt.union(hubs).join(nodes, "id").groupBy("hub", "sub").applyInPandas(_block_graph(k, floor, link), GRAPH)
+    group = F.pmod(F.xxhash64("hub", "sub"), F.lit(max(1, -(-n * (2 * k + 1) // GROUP)))).alias("group")
+    around = dealt.union(hubs).join(nodes, "id").select("hub", "sub", "id", "v", F.size("v").alias("dim"), group)
+    return around.groupBy("group", "dim").applyInPandas(_hub_graph(k, floor, link), GRAPH)
 
 
 def exact_links(nodes: DataFrame, n: int, link: float, slab: int = SLAB) -> DataFrame:
@@ -321,7 +341,7 @@ def near_groups(vectors: DataFrame, link: float = SIMILAR, k: int = 12, floor: f
             if size and now["n"] <= 1.001 * size["n"] and now["s"] <= 1.001 * size["s"]:
                 break  # a round that adds next to nothing is the last
             size = now
-            fresh = materialise(refine(near, plain, k, floor, link, turn * rounds + again), "refined")
+            fresh = materialise(refine(near, plain, n, k, floor, link, turn * rounds + again), "refined")
             found = found.union(fresh)
             written.append(fresh)
         links = found.where("kind = 1").select("a", "b").union(same)
