@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -300,6 +301,24 @@ def test_embeddings_cut_a_narrow_cone_where_its_vectors_differ(spark):
     assert len(block) == 400 and sizes.max() <= 32 and sum(block[i] == block[i + 200] for i in range(200)) > 150
 
 
+@pytest.mark.parametrize("tiles, slab", [(1, 64), (1, 10_000), (4, 50), (1000, 1)])
+def test_embeddings_count_links_by_tiles_and_by_slabs_alike(spark, tiles, slab):
+    rng = np.random.default_rng(4)
+    centres, rows = rng.normal(size=(3, 16)), []
+    for component, size in ((7, 200), (8, 90), (9, 3)):
+        for _ in range(size):
+            v = centres[component - 7] + rng.normal(0, 0.33, 16)
+            rows.append((component, len(rows), int(rng.integers(1, 4)), (v / np.linalg.norm(v)).tolist()))
+    members = spark.createDataFrame(rows, "component long, id long, copies long, v array<double>").repartition(5)
+    want = Counter()
+    for c, i, _, v in rows:
+        want[i] = sum(n for d, j, n, u in rows if c == d and i != j and np.dot(v, u) >= 0.9)
+    assert 0 < sum(k > 0 for k in want.values()) and max(want.values()) > 5
+    got = {r.id: r.links for r in embeddings.exact_counts(members, 0.9, 32, tiles, slab).collect()}
+    assert {i: k for i, k in got.items() if k} == {i: k for i, k in want.items() if k}
+    assert embeddings.exact_counts(members.limit(0), 0.9, 32, tiles, slab).collect() == []
+
+
 def test_embeddings_audit_weighs_small_groups_and_exact_pass_finds_all(spark):
     assert embeddings.trees_for(2_000_000, 256, 0.9, 10) > embeddings.trees_for(2_000, 256, 0.9, 10) == 10
     rng = np.random.default_rng(12)

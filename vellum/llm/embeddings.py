@@ -36,6 +36,9 @@ SIMILAR = 0.9
 TOGETHER, DEALT, SLAB = 0.99, 16, 8192
 #: Rows of at most forty bytes that are sent to all tasks for a join; more are shuffled.
 SENT = 500_000
+#: Tiles of a component that are compared pairwise by a shuffle, which sends each vector
+#: once a tile; members of larger ones are compared with slabs that are sent to all tasks.
+TILES = 32
 #: Rows around hubs that a task compares as one Arrow group.
 GROUP = 8192
 
@@ -242,11 +245,25 @@ def exact_links(nodes: DataFrame, n: int, link: float, slab: int = SLAB) -> Data
     return out
 
 
-def exact_counts(members: DataFrame, link: float, tile: int) -> DataFrame:
-    """``members(component, id, copies, v)`` to ``id, links``: exact links, copies counted,
-    by comparing all tiles of a component pairwise."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("split"))
-    dealt = members.join(sizes, "component").withColumn("t", F.pmod(F.xxhash64("id"), "split"))
+def exact_counts(members: DataFrame, link: float, tile: int, tiles: int = TILES, slab: int = SLAB) -> DataFrame:
+    """``members(component, id, copies, v)`` to ``id, links``: exact links, copies counted.
+
+    All tiles of a component are compared pairwise; of one with over ``tiles`` of them no
+    vector is shuffled, so what is shuffled stays within a constant times the vectors.
+    """
+    sizes = cut(members.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("split")))
+    out = tile_counts(members.join(sizes.where(F.col("split") <= tiles), "component"), link)
+    large = sizes.where(F.col("split") > tiles)
+    if not large.isEmpty():
+        rows = materialise(members.join(large, "component").select("component", "split", "id", "copies", "v"), "large")
+        for one in large.orderBy("component").toLocalIterator():  # fewer than vectors / (tiles * tile)
+            out = out.unionByName(slab_counts(rows.where(F.col("component") == one["component"]), one["split"] * tile, link, slab))
+    return out.groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def tile_counts(members: DataFrame, link: float) -> DataFrame:
+    """``id, links`` from each pair of the ``split`` tiles of each component."""
+    dealt = members.withColumn("t", F.pmod(F.xxhash64("id"), "split"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("split") - 1))
     sent = dealt.withColumn("o", other).select("component", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "t", "id", "copies", "v")
 
@@ -260,7 +277,37 @@ def exact_counts(members: DataFrame, link: float, tile: int) -> DataFrame:
         hit = v[one] @ v[~one].T >= link
         return pd.DataFrame({"id": np.r_[ids[one], ids[~one]], "links": np.r_[hit @ copies[~one], copies[one] @ hit]})
 
-    return sent.groupBy("component", "lo", "hi").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return sent.groupBy("component", "lo", "hi").applyInPandas(count, "id long, links long")
+
+
+def slab_counts(members: DataFrame, n: int, link: float, slab: int) -> DataFrame:
+    """``id, links`` within one component of about n members: one slab of them at a time is
+    sent to all tasks and compared with those not yet sent, for both sides of each pair."""
+    spark, slabs = members.sparkSession, max(1, -(-n // slab))
+    dealt = members.select("id", "copies", "v", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int").alias("slab"))
+    out = None
+    for turn in range(slabs):
+        shared = spark.sparkContext.broadcast(dealt.where(F.col("slab") == turn).select("id", "copies", "v").toPandas())
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
+            asked = shared.value
+            theirs = np.zeros(len(asked), np.int64)
+            for batch in batches:
+                v, ids, copies = np.stack(batch["v"]), batch["id"].to_numpy(), batch["copies"].to_numpy()
+                inside = (batch["slab"] == turn).to_numpy()
+                own = np.zeros(len(batch), np.int64)
+                for lo, hi in slices(len(asked), 1024):
+                    other = asked.iloc[lo:hi]
+                    hit = (v @ np.stack(other["v"]).T >= link) & (ids[:, None] != other["id"].to_numpy()[None])
+                    own += hit @ other["copies"].to_numpy()
+                    theirs[lo:hi] += np.where(inside, 0, copies) @ hit
+                yield pd.DataFrame({"id": ids, "links": own})[own > 0]
+            yield pd.DataFrame({"id": asked["id"].to_numpy(), "links": theirs})[theirs > 0]
+
+        part = materialise(dealt.where(F.col("slab") >= turn).mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")), "counts")
+        out = part if out is None else out.unionByName(part)
+        shared.unpersist()
+    return out
 
 
 def audit(labelled: DataFrame, n: int, link: float, queries: int = 400, enough: int = 100, most: int = 3200, seed: int = 5) -> float:
