@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pandas.util import hash_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 
+#: Tokens that a task counts at once.
+HELD = 1 << 21
+
 
 def token_arrays(docs: DataFrame, column: str, lowercase: bool = True) -> DataFrame:
     return docs.select("doc_id", tx.tokenize(tx.normalize_words(F.col(column), lowercase, quotes=True)).alias("tokens"))
@@ -35,53 +43,102 @@ def neighbour_counts(tokens: DataFrame, window: int = 2, selected: Sequence[str]
     return both.where(F.col("w1").isin(list(selected))) if selected is not None else both
 
 
+def _counted(columns: Sequence[str], window: int):
+    """The kernel of ``counts``: texts of a batch to words and pairs with their counts."""
+    strip = str.maketrans("", "", '-.,?!:;"')
+
+    def tokens(text: str) -> list[str]:
+        joined = re.sub(r"-\s+", "", text).translate(strip)
+        if not text.isascii():
+            joined = unicodedata.normalize("NFKC", re.sub(r"\s+", " ", joined).casefold())
+        return joined.casefold().split() if text.isascii() else joined.split()
+
+    def rows(words: list[str], sizes: list[int], of: list[int]) -> pa.RecordBatch:
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        u, c = len(names), len(columns)
+        text, column = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.array(of, np.int64), sizes)
+        keys = [(code * (u + 1) + u) * c + column]
+        for k in range(1, window + 1):
+            near = text[k:] == text[:-k]
+            x, y = code[:-k][near], code[k:][near]
+            keys.append((np.minimum(x, y) * (u + 1) + np.maximum(x, y)) * c + column[k:][near])
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        pair, group = np.unique(found // c, return_inverse=True)
+        table = np.zeros((c, len(pair)), np.int64)
+        table[found % c, group] = n
+        ids = hash_array(names.to_numpy(zero_copy_only=False), categorize=False).view(np.int64) if u else np.zeros(0, np.int64)
+        a, b = np.divmod(pair, u + 1)
+        one = b == u
+        x, y = ids[a], ids[np.where(one, a, b)]
+        word = names.take(pa.array(a, mask=~one)).cast(pa.string())
+        values = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y), mask=one), word, *map(pa.array, table)]
+        return pa.RecordBatch.from_arrays(values, ["a", "b", "word", *[f"n_{k}" for k in columns]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sizes, of = [], [], []
+        for batch in batches:
+            for i in range(len(columns)):
+                for text in batch.column(i):
+                    if (value := text.as_py()) is not None:
+                        found = tokens(value)
+                        words += found
+                        sizes.append(len(found))
+                        of.append(i)
+                        if len(words) > HELD:
+                            yield rows(words, sizes, of)
+                            words, sizes, of = [], [], []
+        if words:
+            yield rows(words, sizes, of)
+
+    return run
+
+
 def counts(docs: DataFrame, columns: Sequence[str], window: int = 2) -> DataFrame:
-    """``a, b, single, n_<column>...``: one scan and one aggregation of words (b null) and
-    canonical pairs, by text column."""
-    from_column = lambda c: F.array(*[F.lit(int(c == k)) for k in columns])
+    """``a, b, word, n_<column>...``: one scan and one aggregation of words (b null) and
+    pairs of word ids (word null), by text column.
 
-    def entries(c: str) -> Column:
-        def both(t: Column) -> Column:
-            words = F.transform(t, lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
-            ahead = [F.when(F.size(t) > k, F.zip_with(
-                F.slice(t, 1, F.size(t) - k), F.slice(t, k + 1, F.size(t) - k), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-            )).otherwise(F.array().cast("array<struct<a:string,b:string>>")) for k in range(1, window + 1)]
-            return F.concat(words, *ahead)
+    Tasks count within some hundred texts at once, so what is shuffled is two numbers a
+    pair; an id is 64 bits of the word's hash, and ``named_words`` fails if two words share one.
+    """
+    sums = ", ".join(f"n_{c} long" for c in columns)
+    each = docs.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)]).mapInArrow(_counted(columns, window), f"a long, b long, word string, {sums}")
+    return each.groupBy("a", "b", "word").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns])
 
-        tokens = tx.tokenize(tx.normalize_words(F.col(c), True, quotes=True))
-        found = F.coalesce(tx.once(tokens, both), F.array().cast("array<struct<a:string,b:string>>"))
-        return F.transform(found, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), from_column(c).alias("of")))
 
-    each = docs.select(F.explode(F.concat(*[entries(c) for c in columns])).alias("e"))
-    sums = [F.sum(F.get(F.col("e.of"), F.lit(i))).alias(f"n_{c}") for i, c in enumerate(columns)]
-    return each.groupBy("e.a", "e.b").agg(F.max(F.col("e.b").isNull()).alias("single"), *sums)
+def named_words(every: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``a, word, n_<column>...`` out of ``counts``."""
+    sums = [F.sum(f"n_{c}").alias(f"n_{c}") for c in columns]
+    words = every.where("b IS NULL").groupBy("a").agg(F.min("word").alias("word"), F.max("word").alias("last"), *sums)
+    shared = F.raise_error(F.concat(F.lit("two words share an id: "), F.col("word"), F.lit(", "), F.col("last"))).cast("string")
+    return words.withColumn("word", F.when(F.col("word") == F.col("last"), F.col("word")).otherwise(shared)).drop("last")
 
 
 def collocations_by(docs: DataFrame, columns: Sequence[str], window: int = 2, cutoff: int = 4) -> DataFrame:
     """COL1-3, FLT7: ``w1, w2`` and for each text column ``mi2_, f12_, f1_, f2_``, null
     where the pair does not pass the cutoff there.
 
-    Counts of words and N are over all tokens, before any cutoff.  The three uses of the
-    counts read one shuffle: what tells them apart is an aggregate, which no filter passes.
+    Counts of words and N are over all tokens, before any cutoff.  Pairs are counted by
+    the ids of their words and get the words themselves after the cutoff.
     """
     every = counts(docs, columns, window)
-    words = every.where("single")
-    totals = F.broadcast(words.agg(*[F.sum(f"n_{c}").alias(f"total_{c}") for c in columns]))  # one row
+    words = named_words(every, columns)
+    totals = F.broadcast(every.where("b IS NULL").agg(*[F.sum(f"n_{c}").alias(f"total_{c}") for c in columns]))  # one row
     often = F.lit(False)
     for c in columns:
         often |= F.col(f"n_{c}") >= cutoff
-    named = lambda w, f: words.where(often).select(F.col("a").alias(w), *[F.col(f"n_{c}").alias(f"{f}_{c}") for c in columns])
+    named = lambda key, w, f: words.where(often).select(F.col("a").alias(key), F.col("word").alias(w), *[F.col(f"n_{c}").alias(f"{f}_{c}") for c in columns])
     # a word beside itself counts from both ends
     twice = F.when(F.col("a") == F.col("b"), 2).otherwise(1)
-    pairs = every.where(~F.col("single")).select(F.col("a").alias("w1"), F.col("b").alias("w2"), *[(twice * F.col(f"n_{c}")).alias(f"n_{c}") for c in columns])
-    joined = pairs.where(often).join(named("w1", "x"), "w1").join(named("w2", "y"), "w2").crossJoin(totals)
-    out = []
+    pairs = every.where("b IS NOT NULL").select("a", "b", *[(twice * F.col(f"n_{c}")).alias(f"n_{c}") for c in columns])
+    joined = pairs.where(often).join(named("a", "v1", "x"), "a").join(named("b", "v2", "y"), "b").crossJoin(totals)
+    out, turned = [], F.col("v1") > F.col("v2")
     for c in columns:
-        n, x, y = (F.col(f"{k}_{c}") for k in "nxy")
+        n, x, y = F.col(f"n_{c}"), F.col(f"x_{c}"), F.col(f"y_{c}")
         passed = (n >= cutoff) & (x >= cutoff) & (y >= cutoff)
         mi2 = F.log2(n.cast("double") * n / (x.cast("double") * y / F.col(f"total_{c}")))
-        out += [F.when(passed, v).alias(f"{k}_{c}") for k, v in (("mi2", mi2), ("f12", n), ("f1", x), ("f2", y))]
-    return joined.select("w1", "w2", *out)
+        out += [F.when(passed, v).alias(f"{k}_{c}") for k, v in (("mi2", mi2), ("f12", n), ("f1", F.when(turned, y).otherwise(x)), ("f2", F.when(turned, x).otherwise(y)))]
+    return joined.select(F.least("v1", "v2").alias("w1"), F.greatest("v1", "v2").alias("w2"), *out)
 
 
 def collocations(docs: DataFrame, column: str, window: int = 2, cutoff: int = 4, selected: Sequence[str] | None = None) -> DataFrame:
