@@ -1,9 +1,11 @@
 """Whole jobs whose work has to grow no faster than their input."""
 
+import random
 from collections import Counter
 from math import log2
 
-from vellum.operators import collocate
+from vellum.functions import distance
+from vellum.operators import collocate, metrics
 
 WORDS = "the of fish sea ship storm of the Sea. ſea a-\nway"
 
@@ -25,3 +27,24 @@ def test_collocations_are_counted_by_word_ids(spark, monkeypatch):
             want[a, b] = (round(log2(n * n / (one[a] * one[b] / sum(one.values()))), 9), n, one[a], one[b])
     got = {(r.w1, r.w2): (round(r.mi2, 9), r.f12, r.f1, r.f2) for r in collocate.collocations(df, "t").collect()}
     assert got == want and any(a == b for a, b in want)
+
+
+def test_distances_of_many_texts_equal_one_by_one(monkeypatch):
+    rng = random.Random(3)
+
+    def changed(text, p):
+        return "".join(rng.choice(["", "x", c + "y"]) if rng.random() < p else c for c in text)
+
+    texts = ["".join(rng.choice("abcdé🙂") for _ in range(rng.choice((0, 1, 3, 20, 90, 400)))) for _ in range(300)]
+    pairs = [(t, changed(t, rng.choice((0, 0.02, 0.3)))) for t in texts] + list(zip(texts, reversed(texts), strict=True))
+    monkeypatch.setattr(distance, "FEW", 0)
+    assert distance.distances(pairs) == [distance.edits(a, b) for a, b in pairs]
+    assert distance.distances([]) == []
+
+
+def test_bags_are_counted_without_a_shuffle(spark):
+    rows = [(1, "a b b c", "a b d"), (2, "", "x"), (3, None, "x y"), (4, "x", None), (None, "x", "x"), (5, "x y\x1cx", "x x")]
+    found = metrics.bag_counts(spark.createDataFrame(rows, "doc_id long, p string, r string"), "p", "r")
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    got = {r.doc_id: (r.tp, r.fp, r.fn, r.f1) for r in found.collect()}
+    assert got == {1: (2, 2, 1, 4 / 7), 2: (0, 0, 1, 0.0), 3: (0, 0, 2, 0.0), 4: (0, 1, 0, 0.0), None: (0, 0, 0, 0.0), 5: (2, 1, 0, 0.8)}
