@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,16 +123,24 @@ def by_position(original: DataFrame, runs: dict[str, DataFrame], value: str, ord
     return out
 
 
+@F.pandas_udf("struct<tp:long,fp:long,fn:long>")
+def _bags(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p, r in zip(predicted, reference, strict=True):
+        p, r = Counter((p or "").split()), Counter((r or "").split())
+        both = (p & r).total()
+        rows.append((both, p.total() - both, r.total() - both))
+    return pd.DataFrame(rows, columns=["tp", "fp", "fn"])
+
+
 def bag_counts(pairs: DataFrame, predicted: str, reference: str) -> DataFrame:
-    """MET16: multiset overlap of tokens by document: tp, fp, fn, f1.
+    """MET16: multiset overlap of tokens by document, a row each: tp, fp, fn, f1.
 
-    The bags are counted by (document, token) and added up by document, with both
-    aggregations combined before their shuffle.
+    A row holds both bags, so they are counted in it and nothing is shuffled; 0 where the
+    id is null.
     """
-    tokens = lambda c, p, r: pairs.select("doc_id", F.explode(tx.tokenize(F.col(c))).alias("token"), F.lit(p).alias("p"), F.lit(r).alias("r"))
-    both = tokens(predicted, 1, 0).unionByName(tokens(reference, 0, 1)).groupBy("doc_id", "token").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    per = both.groupBy("doc_id").agg(F.sum(F.least("p", "r")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("r"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("r") - F.col("p"), F.lit(0))).alias("fn"))
-    every = pairs.select("doc_id").join(per, "doc_id", "left").na.fill(0, ["tp", "fp", "fn"])
+    text = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c))
+    every = pairs.select("doc_id", _bags(text(predicted), text(reference)).alias("m")).select("doc_id", "m.*")
     f1 = F.when(F.col("tp") == 0, 0.0).otherwise(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
     return every.withColumn("f1", f1)
 
