@@ -4,7 +4,7 @@ import random
 from collections import Counter
 from math import log2
 
-from vellum.functions import distance
+from vellum.functions import affine, distance, waves
 from vellum.operators import collocate, metrics
 
 WORDS = "the of fish sea ship storm of the Sea. ſea a-\nway"
@@ -48,3 +48,19 @@ def test_bags_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in found._jdf.queryExecution().toString()
     got = {r.doc_id: (r.tp, r.fp, r.fn, r.f1) for r in found.collect()}
     assert got == {1: (2, 2, 1, 4 / 7), 2: (0, 0, 1, 0.0), 3: (0, 0, 2, 0.0), 4: (0, 1, 0, 0.0), None: (0, 0, 0, 0.0), 5: (2, 1, 0, 0.8)}
+
+
+def test_alignments_of_many_texts_equal_one_by_one():
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(250):
+        text = "".join(rng.choice("abcdé🙂xyzt"[: rng.choice((2, 5, 10))]) for _ in range(rng.choice((0, 1, 4, 30, 90))))
+        other = "".join(rng.choice(["", "b", c + "a"]) if rng.random() < 0.1 else c for c in text)
+        pairs.append((text, other[rng.randint(0, 9) :] if rng.random() < 0.5 else "cab" * rng.randint(0, 12) + other))
+    for mode, free in (("local", False), ("global", True)):
+        want = [affine.align(a, b, mode, free_ends=free) for a, b in pairs]
+        for band, held in ((32, 1 << 23), (1, 1 << 23), (3, 2000)):  # little held: rows are computed again
+            assert waves.align_all(pairs, mode, free_ends=free, band=band, held=held, few=0) == want
+    ends = [(affine.align(a, b)[1], affine.align(b, a)[1]) for a, b in pairs]
+    assert waves.local_ends(pairs) == [(x[-1][1], y[-1][1]) if x else None for x, y in ends]
+    assert waves.sound("local") and not waves.sound("local", mismatch=-1.0) and not waves.sound("global")

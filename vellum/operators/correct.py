@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import affine
+from vellum.functions import affine, waves
 from vellum.functions.text import chop_pattern
 from vellum.operators.align import DROP, fold_overlaps
 from vellum.operators.metrics import document_scores, objective
@@ -38,12 +38,25 @@ def generate(rows: DataFrame, model: Model, prompt: str = "prompt", batch: int =
     return rows.mapInPandas(run, rows.selectExpr("*", "CAST(NULL AS STRING) AS answer").schema)
 
 
-def clip(text: str, answer: str, **scores) -> str:
-    """The answer from its first to its last character that aligns to the text; if none
+def clip_all(texts: Sequence[str], answers: Sequence[str], **scores) -> list[str]:
+    """Each answer from its first to its last character that aligns to its text; if none
     does, all but its last character."""
-    keep = [i for i, c in enumerate(answer) if c not in "\n -"]
-    _, spans = affine.align(text.translate(DROP), answer.translate(DROP), "local", **scores)
-    return answer[keep[spans[0][2]] : keep[spans[-1][3] - 1] + 1] if spans else answer[:-1]
+    pairs = [(t.translate(DROP), a.translate(DROP)) for t, a in zip(texts, answers, strict=True)]
+    if waves.sound("local", **scores):
+        found = waves.align_all(pairs, "local", **{k: v for k, v in scores.items() if k != "mismatch"})
+    else:
+        found = [affine.align(*p, "local", **scores) for p in pairs]
+
+    def cut(answer: str, spans: affine.Spans) -> str:
+        keep = [i for i, c in enumerate(answer) if c not in "\n -"]
+        return answer[keep[spans[0][2]] : keep[spans[-1][3] - 1] + 1] if spans else answer[:-1]
+
+    return [cut(answer, spans) for answer, (_, spans) in zip(answers, found, strict=True)]
+
+
+def clip(text: str, answer: str, **scores) -> str:
+    """:func:`clip_all` for one answer."""
+    return clip_all([text], [answer], **scores)[0]
 
 
 def overlap_start(text: str, cut_off: int = 100) -> str:
@@ -88,7 +101,12 @@ def correct_documents(docs: DataFrame, model: Model, degree: int = 1, first: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [correct_blocks([b or "" for b in blocks], model, degree, first, again, between, **scores) for blocks in batch["blocks"]]
+            blocks = [[b or "" for b in row] for row in batch["blocks"]]
+            # where no answer is fed back, those of the batch are clipped together
+            done = [correct_blocks(b, model, 0 if degree == 1 else degree, first, again, between, **scores) for b in blocks]
+            if degree == 1:
+                clipped = iter(clip_all([x for b in blocks for x in b], [x for _, raw in done for x in raw], **scores))
+                done = [([next(clipped) for _ in b], raw) for b, (_, raw) in zip(blocks, done, strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "corrected": [d[0] for d in done], "answers": [d[1] for d in done]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions import text as tx
 from vellum.functions.distance import measures
@@ -123,7 +124,7 @@ def by_position(original: DataFrame, runs: dict[str, DataFrame], value: str, ord
     return out
 
 
-@F.pandas_udf("struct<tp:long,fp:long,fn:long>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")]))
 def _bags(predicted: pd.Series, reference: pd.Series) -> pd.DataFrame:
     rows = []
     for p, r in zip(predicted, reference, strict=True):
