@@ -4,7 +4,7 @@ import random
 from collections import Counter
 from math import log2
 
-from vellum.functions import affine, distance, waves
+from vellum.functions import affine, distance, moves, waves
 from vellum.operators import collocate, metrics
 
 WORDS = "the of fish sea ship storm of the Sea. ſea a-\nway"
@@ -64,3 +64,28 @@ def test_alignments_of_many_texts_equal_one_by_one():
     ends = [(affine.align(a, b)[1], affine.align(b, a)[1]) for a, b in pairs]
     assert waves.local_ends(pairs) == [(x[-1][1], y[-1][1]) if x else None for x, y in ends]
     assert waves.sound("local") and not waves.sound("local", mismatch=-1.0) and not waves.sound("global")
+
+
+def test_distances_within_a_bound_equal_whole_ones():
+    rng = random.Random(5)
+    for case in range(400):
+        a = "".join(rng.choice("abé🙂" if case % 2 else "ab") for _ in range(rng.choice((0, 1, 30, 300))))
+        b = "".join(rng.choice(["", "x", c + "y"]) if rng.random() < case % 7 / 20 else c for c in a)
+        b = b[10:] + b[:10] if case % 5 == 0 else b
+        d, least = distance.edits(a, b), distance.surplus(waves.codes(a), waves.codes(b))
+        for most in {0, max(d - 1, 0), d, d + 1, 2 * d + 3, rng.randrange(40)}:
+            want = d if d <= most else None
+            assert distance.within(a, b, most) == distance.within(a, b, most, least) == want
+
+
+def test_moves_of_long_texts_fill_no_whole_table(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghst") for _ in range(rng.randrange(2, 9))) for _ in range(1500)]
+    noisy = [w.replace("s", "f") if i > 40 and i % 9 == 0 else w for i, w in enumerate(words)]
+    turned = " ".join(noisy[30:] + noisy[:30])
+    plain, sizes = moves.edits, []
+    monkeypatch.setattr(moves, "edits", lambda a, b: sizes.append(len(a) * len(b)) or plain(a, b))
+    cost, n, moved = moves.character_edits(turned, " ".join(words))
+    assert (n, moved) == (1, 30)
+    assert cost == plain(" ".join(noisy), " ".join(words)) + sum(map(len, noisy[:30])) / 30
+    assert max(sizes) < 1e6 < len(turned) ** 2 / 20

@@ -49,6 +49,61 @@ def edits(a: Sequence, b: Sequence) -> int:
     return score
 
 
+def within(a: Sequence, b: Sequence, most: int, least: int = 0) -> int | None:
+    """The edit distance if it is at most ``most``, else None.
+
+    The bit vectors of :func:`edits` along the diagonals that a path of that cost can reach
+    (Hyyro 2003); a step moves them down by one row, and the work ends as soon as the cost
+    cannot fall to ``most`` again.  Where counts of signs alone ask for ``least`` edits
+    (:func:`surplus`), each insertion into the longer text costs one more than those, so a
+    path of ``most`` has few.
+    """
+    m, n = len(a), len(b)
+    if most < abs(n - m):
+        return None
+    spare = min((most - abs(n - m)) // 2, most - least)
+    if spare < 0:
+        return None
+    above, below = spare + max(0, n - m), spare + max(0, m - n)
+    if 2 * (above + below) >= m:
+        d = edits(a, b)
+        return d if d <= most else None
+    wide = above + below + 1
+    full, low = (1 << wide) - 1, 1 << (wide - 1)
+    up, down, score = full & ~((1 << above) - 1), 0, below  # bit t is row j - above + t
+    where: dict = {}  # of the rows from first on
+    for i, x in enumerate(a[:below]):
+        where[x] = where.get(x, 0) | 1 << (above + i)
+    first = -above
+    for j, x in enumerate(b, 1):
+        if j - above - 1 - first > wide + 256:
+            where = {c: rest for c, bits in where.items() if (rest := bits >> (j - above - 1 - first))}
+            first = j - above - 1
+        if j + below <= m:
+            where[a[j + below - 1]] = where.get(a[j + below - 1], 0) | 1 << (j + below - 1 - first)
+        same = where.get(x, 0) >> (j - above - 1 - first) & full
+        diag = (((same & up) + up) ^ up) & full | same | down
+        plus, minus = down | (full & ~(diag | up)), up & diag
+        if j <= m - below:
+            score += not diag & low
+        else:
+            low >>= 1
+            score += bool(plus & low) - bool(minus & low)
+        if score > most + n - max(j, m - below):
+            return None
+        up, down = minus | (full & ~(diag >> 1 | plus)), diag >> 1 & plus
+    return score if score <= most else None
+
+
+def surplus(x: np.ndarray, y: np.ndarray) -> int:
+    """What two texts' code points, counted without their places, leave to be edited."""
+    if not len(x) or not len(y):
+        return len(x) + len(y)
+    top = min(int(max(x.max(), y.max())), 1023)
+    more = np.bincount(np.minimum(x, top), minlength=top + 1) - np.bincount(np.minimum(y, top), minlength=top + 1)
+    return max(int(more[more > 0].sum()), int(-more[more < 0].sum()))
+
+
 def distances(pairs: Sequence[tuple[str, str]]) -> list[int]:
     """Edit distances in code points; equal pairs are measured once."""
     found, jobs = [0] * len(pairs), []  # type: list[int], list[Job]
@@ -66,9 +121,7 @@ def distances(pairs: Sequence[tuple[str, str]]) -> list[int]:
         if not len(x) or not len(y):
             found[i] = len(x) + len(y)
             continue
-        top = min(int(max(x.max(), y.max())), 1023)
-        more = np.bincount(np.minimum(x, top), minlength=top + 1) - np.bincount(np.minimum(y, top), minlength=top + 1)
-        least = max(int(more[more > 0].sum()), int(-more[more < 0].sum()))
+        least = surplus(x, y)
         jobs.append((i, x, y, max(8, (least - abs(len(x) - len(y))) // 2 + 8)))
     while jobs:
         again = []
