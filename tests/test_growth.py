@@ -5,7 +5,7 @@ from collections import Counter
 from math import log2
 
 from vellum.functions import affine, distance, moves, waves
-from vellum.operators import collocate, metrics
+from vellum.operators import collocate, correct, metrics
 
 WORDS = "the of fish sea ship storm of the Sea. ſea a-\nway"
 
@@ -89,3 +89,13 @@ def test_moves_of_long_texts_fill_no_whole_table(monkeypatch):
     assert (n, moved) == (1, 30)
     assert cost == plain(" ".join(noisy), " ".join(words)) + sum(map(len, noisy[:30])) / 30
     assert max(sizes) < 1e6 < len(turned) ** 2 / 20
+
+
+def test_answers_of_a_stretch_are_given_before_the_next_is_asked(spark):
+    big = 2**53 + 1
+    rows = [(big + i if i % 7 else None, f"p{i}" if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, prompt string").coalesce(1)
+    model = lambda asked: [None if p is None else p.upper() + str(len(asked)) for p in asked]
+    got = sorted(((r.k, r.prompt, r.answer) for r in correct.generate(df, model, batch=7).collect()), key=str)
+    sizes = [min(7, 300 - i // 7 * 7) for i in range(300)]
+    assert got == sorted(((k, p, p and p.upper() + str(n)) for (k, p), n in zip(rows, sizes)), key=str)

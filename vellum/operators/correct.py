@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +24,27 @@ from vellum.operators.metrics import document_scores, objective
 
 #: Trials of a search, which are sent to all tasks.
 MOST_TRIALS = 10_000
+#: Calls of a model whose answers are held together.
+STRETCH = 16
 Model = Callable[[list[str]], list[str]]
 
 
 def generate(rows: DataFrame, model: Model, prompt: str = "prompt", batch: int = 5) -> DataFrame:
-    """LM1-3, WIN6: ``rows`` with the model's ``answer`` to a prompt column."""
+    """LM1-3, WIN6: ``rows`` with the model's ``answer`` to a prompt column.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    An Arrow batch is answered in short stretches, so Python holds the texts of one stretch
+    besides the batch as it came; the other columns pass as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            asked = part[prompt].tolist()
-            answers = [x for i in range(0, len(asked), batch) for x in model(asked[i : i + batch])]
-            yield part.assign(answer=answers)
+            for at in range(0, part.num_rows, batch * STRETCH):
+                some = part.slice(at, batch * STRETCH)
+                asked = some.column(prompt).to_pylist()
+                answers = [x for i in range(0, len(asked), batch) for x in model(asked[i : i + batch])]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(answers, pa.string())], [*some.schema.names, "answer"])
 
-    return rows.mapInPandas(run, rows.selectExpr("*", "CAST(NULL AS STRING) AS answer").schema)
+    return rows.mapInArrow(run, rows.selectExpr("*", "CAST(NULL AS STRING) AS answer").schema)
 
 
 def clip_all(texts: Sequence[str], answers: Sequence[str], **scores) -> list[str]:
