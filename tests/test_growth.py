@@ -4,7 +4,9 @@ import random
 from collections import Counter
 from math import log2
 
-from vellum.functions import affine, distance, moves, waves
+from pyspark.sql import functions as F
+
+from vellum.functions import affine, distance, moves, waves, windows
 from vellum.operators import collocate, correct, metrics
 
 WORDS = "the of fish sea ship storm of the Sea. ſea a-\nway"
@@ -99,3 +101,19 @@ def test_answers_of_a_stretch_are_given_before_the_next_is_asked(spark):
     got = sorted(((r.k, r.prompt, r.answer) for r in correct.generate(df, model, batch=7).collect()), key=str)
     sizes = [min(7, 300 - i // 7 * 7) for i in range(300)]
     assert got == sorted(((k, p, p and p.upper() + str(n)) for (k, p), n in zip(rows, sizes)), key=str)
+
+
+def test_windows_of_a_batch_leave_python_in_stretches(spark, monkeypatch):
+    import public_tokenizers
+
+    path, kinds = public_tokenizers.path("word_bpe_49k.json"), []
+    plain = windows.F.arrow_udf
+    monkeypatch.setattr(windows.F, "arrow_udf", lambda kind: kinds.append(kind) or plain(kind))
+    texts = [(i, "the fish of é sea " * (i % 5) if i % 9 else None) for i in range(3 * windows.STRETCH + 5)]
+    df = spark.createDataFrame(texts, "i long, t string").coalesce(1)
+    got = {r.i: r.w for r in df.select("i", windows.token_windows(F.col("t"), path, 4, 0.5).alias("w")).collect()}
+    assert kinds == [windows.WINDOWS] and len(got) == len(texts)
+    tokens = windows.tokenizer(path)
+    for i, t in texts:
+        want = None if t is None else [b - a for a, b in windows.cuts(len(tokens.encode(t).ids), 4, 0.5)]
+        assert (got[i] if got[i] is None else [w.tokens for w in got[i]]) == want

@@ -1,18 +1,22 @@
 """Overlapping windows of a subword tokenizer (TXT17).
 
 The tokenizer is a file in the format of the ``tokenizers`` library, at a path that every
-executor can read.  A Python worker loads it once; texts come to it in Arrow batches.
+executor can read.  A Python worker loads it once; texts come to it in Arrow batches
+and leave it in short stretches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WINDOWS = "array<struct<start:int,end:int,tokens:int,text:string>>"
+#: Texts of an Arrow batch whose windows are held together in Python.
+STRETCH = 64
 
 
 @cache
@@ -54,8 +58,12 @@ def token_windows(text: Column, path: str, window: int, overlap: float, special:
             rows.append({"start": start, "end": end, "tokens": b - a, "text": value[start:end]})
         return rows
 
-    @F.pandas_udf(WINDOWS)
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([sliced(v) for v in values], dtype=object)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32()), ("text", pa.string())]))
+
+    @F.arrow_udf(WINDOWS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for at in range(0, len(values), STRETCH):
+                yield pa.array([sliced(v) for v in values.slice(at, STRETCH).to_pylist()], kind)
 
     return run.asNondeterministic()(text)  # so that it runs once a row
