@@ -7,7 +7,8 @@ from math import log2
 from pyspark.sql import functions as F
 
 from vellum.functions import affine, distance, moves, waves, windows
-from vellum.operators import collocate, correct, metrics
+from vellum.functions import text as tx
+from vellum.operators import collocate, corpus, correct, metrics
 
 WORDS = "the of fish sea ship storm of the Sea. ſea a-\nway"
 
@@ -117,3 +118,23 @@ def test_windows_of_a_batch_leave_python_in_stretches(spark, monkeypatch):
     for i, t in texts:
         want = None if t is None else [b - a for a, b in windows.cuts(len(tokens.encode(t).ids), 4, 0.5)]
         assert (got[i] if got[i] is None else [w.tokens for w in got[i]]) == want
+
+
+def test_vocabularies_compose_words_and_no_text(spark, monkeypatch):
+    rng = random.Random(11)
+    signs = "aAßſﬁsS éİµ①…¨´\u0308\u0301\u0327\u0345\u00a0\u2003\u3000\n\t\x1c-.,한글\u1100\u1161\u11a8ΣςﷺẞǄ\u0958🙂"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(400)] + [None, "", " ", "the - end", "the the"]
+    df = spark.createDataFrame([(i, t, t and t[::-1]) for i, t in enumerate(texts)], "i long, a string, b string")
+    whole = {}
+    for low in (False, True):
+        for c in "ab":
+            words = df.select(F.explode(tx.tokenize(tx.normalize_words(F.col(c), low))).alias("w"))
+            whole[low, c] = Counter(r.w for r in words.collect())
+    seen, plain = [], tx.compose
+    monkeypatch.setattr(tx, "compose", lambda text, casefold=False: seen.append(text) or plain(text, casefold))
+    for low in (False, True):
+        got = corpus.vocabulary(df, ("a", "b"), low).collect()
+        assert {r.word: r.a for r in got if r.a} == whole[low, "a"] and {r.word: r.b for r in got if r.b} == whole[low, "b"]
+        freq = corpus.word_freq(df, "a", low)
+        assert freq.dtypes == [("word", "string"), ("n", "bigint")] and {r.word: r.n for r in freq.collect()} == whole[low, "a"]
+    assert len(seen) == 4 and all("_word" in str(c) for c in seen)

@@ -50,8 +50,24 @@ def normalize(text: Column, lowercase: bool = False, modernize: bool = False) ->
 def normalize_words(text: Column, lowercase: bool = False, quotes: bool = False) -> Column:
     """TXT2; TXT3 with ``lowercase`` and ``quotes``: joins words hyphenated at line ends,
     drops hyphens and sentence signs."""
-    joined = F.translate(F.regexp_replace(text, r"-(?U)[\s\x{1c}-\x{1f}]+", ""), '-.,?!:;"' if quotes else "-.,?!:;", "")
-    return compose(squeeze(joined), lowercase)
+    return compose(squeeze(_joined(text, quotes)), lowercase)
+
+
+def _joined(text: Column, quotes: bool) -> Column:
+    return F.translate(F.regexp_replace(text, r"-(?U)[\s\x{1c}-\x{1f}]+", ""), '-.,?!:;"' if quotes else "-.,?!:;", "")
+
+
+def written_words(text: Column, quotes: bool = False) -> Column:
+    """The words of :func:`normalize_words` before folding and composition.  White space
+    neither composes nor changes places with what follows, so :func:`composed_words` of
+    each gives the words of the whole text."""
+    return tokenize(_joined(text, quotes))
+
+
+def composed_words(word: Column, lowercase: bool = False) -> Column:
+    """What becomes of a written word: one word, or several where a sign of it stands for
+    white space and others."""
+    return tokenize(compose(word, lowercase))
 
 
 def strip(text: Column) -> Column:

@@ -58,22 +58,25 @@ def pair_alignments(books: DataFrame, alignments: DataFrame, done: DataFrame | N
 # Vocabularies
 
 
+def _written(docs: DataFrame, columns) -> DataFrame:
+    """``_k, _word``: a row for each word as written, with its text column's number.
+    Words are counted before they are folded and composed, so that Python, which has no
+    built-in to stand for it, sees each of them once and no text."""
+    texts = [F.struct(F.lit(k).alias("_k"), tx.written_words(F.col(c)).alias("_words")) for k, c in enumerate(columns)]
+    return docs.select(F.inline(F.array(*texts))).select("_k", F.explode("_words").alias("_word"))
+
+
 def word_freq(docs: DataFrame, column: str, lowercase: bool = False) -> DataFrame:
     """AGG1: ``word, n``."""
-    words = tx.tokenize(tx.normalize_words(F.col(column), lowercase))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return vocabulary(docs.select(F.col(column).alias("n")), ("n",), lowercase)
 
 
 def vocabulary(docs: DataFrame, columns=("original", "corrected", "reference"), lowercase: bool = False) -> DataFrame:
     """JOIN9, JOIN10, SET1, SET2: ``word`` and its count in each text column, 0 if absent,
-    out of one scan and one aggregation."""
-
-    def tagged_words(c: str) -> Column:
-        flags = [F.lit(int(c == k)).alias(k) for k in columns]
-        return F.transform(tx.tokenize(tx.normalize_words(F.col(c), lowercase)), lambda w: F.struct(w.alias("word"), *flags))
-
-    tagged = docs.select(F.inline(F.concat(*[tagged_words(c) for c in columns])))
-    return tagged.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+    out of one scan; words as written are counted, then those that compose alike."""
+    written = _written(docs, columns).groupBy("_word").agg(*[F.count_if(F.col("_k") == k).alias(c) for k, c in enumerate(columns)])
+    words = written.select(F.explode(tx.composed_words(F.col("_word"), lowercase)).alias("word"), *columns)
+    return words.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def vocabulary_sketches(docs: DataFrame, group: str, columns=("original", "corrected", "reference"), lowercase: bool = False, log_size: int = 12) -> DataFrame:
