@@ -4,16 +4,19 @@ Segments of one text are aligned to the other text of their book as rows of thei
 Where each belongs is told by k-grams that are minimal among their neighbours and occur
 once in the other text: a segment's anchor is the offset that most of them agree on, and
 a book keeps the heaviest chain of anchors in order.  So a lost or an added chapter shifts
-nothing behind it.  The other text travels in pieces, of which a segment meets those it may
-align to; no row holds a book and a segment's task does not depend on the one before.
+nothing behind it.  Anchors are found in the row that has the book, in time and memory that grow with its
+length; a segment takes with it what it may align to, in tiles if that is long, and its task does not
+depend on the one before.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,18 +27,20 @@ from vellum.operators.align import SPAN, aligner
 #: Characters of a k-gram, k-grams of which the least stands for all, offsets that count as
 #: one, and characters of a piece of text.
 GRAM, NEAR, SAME, PIECE = 14, 8, 64, 4096
-#: Compact characters looked at on either side of an anchored segment, and the most of a
-#: stretch between anchors that segments without one are aligned to.
-SLACK, MOST = 250, 6000
+#: Compact characters looked at on either side of an anchored segment, and the ends of alignments
+#: that a tile of a long stretch answers for.
+SLACK, TILE = 250, 8192
+#: Rows and characters that are given on at once.
+ROWS, CHARACTERS = 512, 1 << 20
 HASHED = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("pos", T.IntegerType())]))
-CHAIN = T.ArrayType(T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("at", T.IntegerType())]))
 
 
-def _minimal(text: str) -> list[dict]:
+def minimal(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each k-gram that is the least of ``NEAR`` neighbours."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes) - GRAM + 1
     if n < 1:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(GRAM):
@@ -44,14 +49,14 @@ def _minimal(text: str) -> list[dict]:
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
         hashes ^= hashes >> np.uint64(32)
     width = min(NEAR, n)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(n - width + 1)
-    return [{"hash": int(h), "pos": int(p)} for p in np.unique(least) for h in (hashes[p].astype(np.int64),)]
+    least = np.unique(np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(n - width + 1))
+    return hashes[least].view(np.int64), least
 
 
 @F.pandas_udf(HASHED)
 def minimal_grams(text: pd.Series) -> pd.Series:
-    """Hash and place of each k-gram that is the least of ``NEAR`` neighbours."""
-    return pd.Series([None if t is None else _minimal(t) for t in text], dtype=object)
+    """:func:`minimal` as a Column, for short texts."""
+    return pd.Series([None if t is None else [{"hash": h, "pos": p} for h, p in zip(*(x.tolist() for x in minimal(t)), strict=True)] for t in text], dtype=object)
 
 
 def heaviest_chain(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -77,12 +82,6 @@ def heaviest_chain(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-@F.pandas_udf(CHAIN)
-def chained(found: pd.Series) -> pd.Series:
-    pick = lambda rows: [{"seg": s, "at": a} for s, a in heaviest_chain([(r["seg"], r["at"], r["votes"]) for r in rows])]
-    return pd.Series([pick(list(rows)) for rows in found], dtype=object)
-
-
 def pieces(books: DataFrame) -> DataFrame:
     """``doc_id, piece, part``: the compact text in pieces that overlap by a k-gram."""
     b = tx.compact(F.col("text"))
@@ -91,54 +90,101 @@ def pieces(books: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.posexplode(F.transform(at, lambda k: F.substring("b", k * PIECE + 1, F.lit(PIECE + GRAM - 1)))).alias("piece", "part"))
 
 
-def anchors(segments: DataFrame, parts: DataFrame) -> DataFrame:
-    """``doc_id, seg, at``: where in the other compact text anchored segments begin."""
-    of_text = parts.select("doc_id", "piece", F.explode(minimal_grams("part")).alias("g")).select("doc_id", F.col("g.hash").alias("hash"), (F.col("piece") * PIECE + F.col("g.pos")).alias("b"))
-    once = of_text.groupBy("doc_id", "hash").agg(F.min("b").alias("b"), F.max("b").alias("last")).where("b = last").drop("last")
-    own = segments.select("doc_id", "seg", F.explode(minimal_grams("a")).alias("g")).select("doc_id", "seg", F.col("g.hash").alias("hash"), F.col("g.pos").alias("a"))
-    offset = F.col("b") - F.col("a")
-    votes = own.join(once, ["doc_id", "hash"]).groupBy("doc_id", "seg", F.floor(offset / SAME).alias("near")).agg(F.count("*").alias("votes"), F.min(offset).cast("int").alias("at"))
-    best = votes.where("votes >= 2").groupBy("doc_id", "seg").agg(F.max(F.struct("votes", -F.col("at"))).alias("m"), F.max_by("at", F.struct("votes", -F.col("at"))).alias("at"))
-    # a row of three numbers for each segment of a book
-    each = best.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "at", F.col("m.votes").cast("int").alias("votes"))).alias("found"))
-    return each.select("doc_id", F.explode(chained("found")).alias("c")).select("doc_id", "c.seg", "c.at")
+def anchors(segments: list[str], other: str) -> dict[int, int]:
+    """Where in the other compact text anchored segments begin, by number."""
+    grams = [minimal(other[k : k + PIECE + GRAM - 1]) for k in range(0, len(other), PIECE)]
+    hashes, b = np.concatenate([h for h, _ in grams]), np.concatenate([p + k * PIECE for k, (_, p) in enumerate(grams)])
+    known, first, times = np.unique(hashes, return_index=True, return_counts=True)
+    known, b = known[times == 1], b[first[times == 1]]
+    found = []
+    for seg, text in enumerate(segments):
+        own, a = minimal(text)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+        offset = np.sort(b[at[hit]] - a[hit])
+        _, begin, votes = np.unique(offset // SAME, return_index=True, return_counts=True)
+        if len(votes) and votes.max() >= 2:
+            best = int(votes.argmax())  # of the most votes, the least offset
+            found.append((seg, int(offset[begin[best]]), int(votes[best])))
+    return dict(heaviest_chain(found))
+
+
+def span_bound(n: int, gap_open: float = -1.0, gap_extend: float = -0.5, match: float = 1.0, mismatch: float = 0.0) -> int | None:
+    """The most characters of the other text that a local alignment of n characters may lie over: gaps beyond cost
+    more than all pairs give.  None without a bound."""
+    if gap_extend >= 0 or gap_open > 0:
+        return None
+    return n + 1 + int(max(0.0, max(match, mismatch) * n + gap_open) / -gap_extend)
+
+
+def windows(segments: list[str], other: str, **scores) -> Iterator[tuple[int, int, str, int, int, str]]:
+    """``seg, tile, a, a_before, start, b``: what of the other compact text each segment is aligned to.
+
+    A tile holds the whole of each alignment that ends in its last ``TILE`` characters, so the best
+    alignment of all tiles is that of the whole stretch.
+    """
+    at = anchors(segments, other)
+    highs, high = [], len(other)
+    for seg in range(len(segments))[::-1]:
+        highs.append(high)
+        high = at.get(seg, high)
+    low = before = 0
+    for seg, (a, high) in enumerate(zip(segments, reversed(highs), strict=True)):
+        n = len(a)
+        start, stop = (max(0, at[seg] - SLACK), min(len(other), at[seg] + n + SLACK)) if seg in at else (max(0, low), high)
+        bound = span_bound(n, **scores) or stop - start
+        for tile, end in enumerate(range(start + bound, max(stop, start + bound + 1), TILE) if n and stop > start else ()):
+            yield seg, tile, a, before, end - bound, other[end - bound : min(stop, end + TILE)]
+        if seg in at:
+            low = at[seg] + n
+        before += n
+
+
+def _cut(scores: dict):
+    """The kernel of ``align_anchored``: books to segments with what they are aligned to."""
+
+    def rows(held: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+        values = zip(*held, strict=True)
+        kinds = (ids, pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "seg", "tile", "a", "a_before", "start", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop, held, size = str.maketrans("", "", "\n -"), [], 0
+        for batch in batches:
+            for key, segments, text in zip(*batch.columns, strict=True):
+                own, other = [(s or "").translate(drop) for s in segments.as_py() or []], (text.as_py() or "").translate(drop)
+                for row in windows(own, other, **scores) if own and other else ():
+                    held.append((key.as_py(), *row))
+                    size += len(row[2]) + len(row[5])
+                    if len(held) >= ROWS or size > CHARACTERS:
+                        yield rows(held, batch.schema.field(0).type)
+                        held, size = [], 0
+            if held:
+                yield rows(held, batch.schema.field(0).type)
+                held, size = [], 0
+
+    return run
 
 
 def align_anchored(books: DataFrame, **scores) -> DataFrame:
     """``books(doc_id, segments, text)`` to ``doc_id, seg, span``, offsets in the compact
     texts, spans in order and without overlap.
 
-    Ids have to differ; null ids give no rows.  Segments without an anchor are aligned to what lies between the
-    anchored ones on either side, up to ``MOST`` characters of it; where more lies there
-    they give no rows, nor do empty or null texts and segments.
+    Ids have to differ; null ids give no rows.  Segments without an anchor are aligned to all that lies between the
+    anchored ones on either side, however long; empty or null texts and segments give no rows.
     """
-    listed = books.select("doc_id", F.posexplode("segments").alias("seg", "raw")).select("doc_id", "seg", F.coalesce(tx.compact(F.col("raw")), F.lit("")).alias("a"))
-    in_order = Window.partitionBy("doc_id").orderBy("seg")
-    sofar = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = listed.withColumn("a_before", F.coalesce(F.sum(F.length("a")).over(sofar), F.lit(0)).cast("int"))
-    parts = pieces(books)
-    sizes = parts.groupBy("doc_id").agg(F.max(F.col("piece") * PIECE + F.length("part")).alias("size"))
-    known = placed.join(anchors(listed, parts), ["doc_id", "seg"], "left").join(sizes, "doc_id")
-    ahead = in_order.rowsBetween(1, Window.unboundedFollowing)
-    n = F.length("a")
-    end = F.when(F.col("at").isNotNull(), F.col("at") + n)
-    known = known.withColumn("low", F.coalesce(F.last(end, ignorenulls=True).over(sofar), F.lit(0))).withColumn("high", F.coalesce(F.first("at", ignorenulls=True).over(ahead), F.col("size")))
-    own = F.col("at").isNotNull()
-    start = F.greatest(F.lit(0), F.when(own, F.col("at") - SLACK).otherwise(F.col("low")))
-    stop = F.least(F.col("size"), F.when(own, F.col("at") + n + SLACK).otherwise(F.col("high")))
-    windows = known.select("doc_id", "seg", "a", "a_before", start.cast("int").alias("start"), stop.cast("int").alias("stop"), own.alias("own"))
-    windows = windows.where((n > 0) & (F.col("stop") > F.col("start")) & (F.col("own") | (F.col("stop") - F.col("start") <= MOST)))
-    covers = F.explode(F.sequence(F.floor(F.col("start") / PIECE).cast("int"), F.floor((F.col("stop") - 1) / PIECE).cast("int")))
-    met = windows.select("doc_id", "seg", "start", "stop", covers.alias("piece")).join(parts.select("doc_id", "piece", F.substring("part", 1, PIECE).alias("part")), ["doc_id", "piece"])
-    lo, hi = F.greatest(F.lit(0), F.col("start") - F.col("piece") * PIECE), F.least(F.lit(PIECE), F.col("stop") - F.col("piece") * PIECE)
-    cut = met.select("doc_id", "seg", F.struct("piece", F.substring("part", lo + 1, hi - lo).alias("s")).alias("p"))
-    other = cut.groupBy("doc_id", "seg").agg(F.array_join(F.array_sort(F.collect_list("p"))["s"], "").alias("b"))
-    spans = aligner("local", **scores)(F.col("a"), F.col("b"))["spans"]
+    kind = books.schema["doc_id"].dataType.simpleString()
+    cut = books.where("doc_id IS NOT NULL").select("doc_id", "segments", "text").mapInArrow(_cut(scores), f"doc_id {kind}, seg int, tile int, a string, a_before int, start int, b string")
     # tasks of few segments: the kernel costs far more than this shuffle
     tasks = max(32, int(books.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = windows.join(other, ["doc_id", "seg"]).repartition(tasks, "doc_id", "seg").select("doc_id", "seg", "a_before", "start", F.explode(spans).alias("s"))
+    found = cut.repartition(tasks, "doc_id", "seg", "tile").select("doc_id", "seg", "tile", "a_before", "start", aligner("local", **scores)(F.col("a"), F.col("b")).alias("f")).where("size(f.spans) > 0")
+    last = F.element_at("f.spans", -1)
+    # of the best the one that ends first, in the tile that has it whole
+    order = F.struct("f.score", -last["a_end"], -(last["b_end"] + F.col("start")), -F.col("tile"))
+    best = found.groupBy("doc_id", "seg").agg(F.max_by(F.struct("a_before", "start", "f.spans"), order).alias("m"))
+    rows = best.select("doc_id", "seg", "m.a_before", "m.start", F.explode("m.spans").alias("s"))
     shift = [(F.col(f"s.{c}_{e}") + F.col(by)).alias(f"{c}_{e}") for c, by in (("a", "a_before"), ("b", "start")) for e in ("start", "end")]
-    return untangled(found.select("doc_id", "seg", *shift))
+    return untangled(rows.select("doc_id", "seg", *shift))
 
 
 def untangled(rows: DataFrame) -> DataFrame:
