@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 
-#: Tokens that a task counts at once.
-HELD = 1 << 21
+#: Tokens that a task counts at once, and rows that it gives on at once.
+HELD, ROWS = 1 << 19, 1 << 16
 
 
 def token_arrays(docs: DataFrame, column: str, lowercase: bool = True) -> DataFrame:
@@ -53,43 +54,55 @@ def _counted(columns: Sequence[str], window: int):
             joined = unicodedata.normalize("NFKC", re.sub(r"\s+", " ", joined).casefold())
         return joined.casefold().split() if text.isascii() else joined.split()
 
-    def rows(words: list[str], sizes: list[int], of: list[int]) -> pa.RecordBatch:
-        coded = pa.array(words, pa.large_string()).dictionary_encode()
-        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        u, c = len(names), len(columns)
+    def rows(words: dict[str, int], code: np.ndarray, sizes: list[int], of: list[int]) -> Iterator[pa.RecordBatch]:
+        names, u, c = pa.array(words, pa.string()), len(words), len(columns)
         text, column = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.array(of, np.int64), sizes)
         keys = [(code * (u + 1) + u) * c + column]
         for k in range(1, window + 1):
             near = text[k:] == text[:-k]
             x, y = code[:-k][near], code[k:][near]
             keys.append((np.minimum(x, y) * (u + 1) + np.maximum(x, y)) * c + column[k:][near])
-        found, n = np.unique(np.concatenate(keys), return_counts=True)
-        pair, group = np.unique(found // c, return_inverse=True)
-        table = np.zeros((c, len(pair)), np.int64)
-        table[found % c, group] = n
-        ids = hash_array(names.to_numpy(zero_copy_only=False), categorize=False).view(np.int64) if u else np.zeros(0, np.int64)
-        a, b = np.divmod(pair, u + 1)
-        one = b == u
-        x, y = ids[a], ids[np.where(one, a, b)]
-        word = names.take(pa.array(a, mask=~one)).cast(pa.string())
-        values = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y), mask=one), word, *map(pa.array, table)]
-        return pa.RecordBatch.from_arrays(values, ["a", "b", "word", *[f"n_{k}" for k in columns]])
+        found = np.concatenate(keys)
+        del keys, text, column
+        found.sort()
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        n, found = np.diff(np.append(first, len(found))), found[first]
+        pair = found // c
+        begin = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        ids = hash_array(names.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+        for at in range(0, len(begin), ROWS):
+            lo, hi = begin[at], begin[at + ROWS] if at + ROWS < len(begin) else len(found)
+            own = begin[at : at + ROWS]
+            table = np.zeros((c, len(own)), np.int64)
+            table[found[lo:hi] % c, np.searchsorted(own, np.arange(lo, hi), "right") - 1] = n[lo:hi]
+            a, b = np.divmod(pair[own], u + 1)
+            one = b == u
+            x, y = ids[a], ids[np.where(one, a, b)]
+            values = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y), mask=one), names.take(pa.array(a, mask=~one)), *map(pa.array, table)]
+            yield pa.RecordBatch.from_arrays(values, ["a", "b", "word", *[f"n_{k}" for k in columns]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sizes, of = [], [], []
+        words, code, sizes, of = {}, array("q"), [], []
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if code:
+                yield from rows(words, np.array(code), sizes, of)
+            words.clear()
+            del code[:], sizes[:], of[:]
+
         for batch in batches:
             for i in range(len(columns)):
                 for text in batch.column(i):
                     if (value := text.as_py()) is not None:
                         found = tokens(value)
-                        words += found
+                        for word in set(found).difference(words):
+                            words[word] = len(words)
+                        code.extend(map(words.__getitem__, found))
                         sizes.append(len(found))
                         of.append(i)
-                        if len(words) > HELD:
-                            yield rows(words, sizes, of)
-                            words, sizes, of = [], [], []
-        if words:
-            yield rows(words, sizes, of)
+                        if len(code) > HELD:
+                            yield from counted()
+        yield from counted()
 
     return run
 
