@@ -32,3 +32,12 @@ def test_counts_of_many_words_stay_small():
     tracemalloc.stop()
     assert seen == words and rows[3] == pairs and rows[4] == pairs * 392 // 400
     assert most <= 1 << 16 and peak < 150_000_000
+
+
+def test_texts_are_counted_once(spark):
+    """Words, pairs and totals share one aggregation and its shuffle."""
+    texts = spark.createDataFrame([(1, "a b a b a b a b c", "a b"), (2, None, "b")], "doc_id int, x string, y string")
+    found = collocate.collocations_by(texts, ["x", "y"]).where("w1 < w2")
+    assert [(r.w1, r.w2, r.f12_x, r.f12_y) for r in found.collect()] == [("a", "b", 7, None)]
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") == 1 and "Reused" in final

@@ -114,15 +114,21 @@ def counts(docs: DataFrame, columns: Sequence[str], window: int = 2) -> DataFram
     Tasks count within some hundred texts at once, so what is shuffled is two numbers a
     pair; an id is 64 bits of the word's hash, and ``named_words`` fails if two words share one.
     """
+    return _counts(docs, columns, window).drop("alone")
+
+
+def _counts(docs: DataFrame, columns: Sequence[str], window: int) -> DataFrame:
+    """``counts`` with ``alone``, whether the row is a word's.  As that comes out of the aggregation, words, pairs
+    and totals are told apart only behind it, and it and its shuffle run once for all of them."""
     sums = ", ".join(f"n_{c} long" for c in columns)
-    each = docs.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)]).mapInArrow(_counted(columns, window), f"a long, b long, word string, {sums}")
-    return each.groupBy("a", "b", "word").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns])
+    each = docs.select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(columns)]).mapInArrow(_counted(columns, window), f"a long NOT NULL, b long, word string, {sums}")
+    return each.groupBy("a", "b", "word").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns], F.max(F.col("b").isNull()).alias("alone"))
 
 
 def named_words(every: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``a, word, n_<column>...`` out of ``counts``."""
+    """``a, word, n_<column>...`` out of ``_counts``."""
     sums = [F.sum(f"n_{c}").alias(f"n_{c}") for c in columns]
-    words = every.where("b IS NULL").groupBy("a").agg(F.min("word").alias("word"), F.max("word").alias("last"), *sums)
+    words = every.where("alone").groupBy("a").agg(F.min("word").alias("word"), F.max("word").alias("last"), *sums)
     shared = F.raise_error(F.concat(F.lit("two words share an id: "), F.col("word"), F.lit(", "), F.col("last"))).cast("string")
     return words.withColumn("word", F.when(F.col("word") == F.col("last"), F.col("word")).otherwise(shared)).drop("last")
 
@@ -134,16 +140,16 @@ def collocations_by(docs: DataFrame, columns: Sequence[str], window: int = 2, cu
     Counts of words and N are over all tokens, before any cutoff.  Pairs are counted by
     the ids of their words and get the words themselves after the cutoff.
     """
-    every = counts(docs, columns, window)
+    every = _counts(docs, columns, window)
     words = named_words(every, columns)
-    totals = F.broadcast(every.where("b IS NULL").agg(*[F.sum(f"n_{c}").alias(f"total_{c}") for c in columns]))  # one row
+    totals = F.broadcast(every.where("alone").agg(*[F.sum(f"n_{c}").alias(f"total_{c}") for c in columns]))  # one row
     often = F.lit(False)
     for c in columns:
         often |= F.col(f"n_{c}") >= cutoff
     named = lambda key, w, f: words.where(often).select(F.col("a").alias(key), F.col("word").alias(w), *[F.col(f"n_{c}").alias(f"{f}_{c}") for c in columns])
-    # a word beside itself counts from both ends
+    # a word beside itself counts from both ends; keys that may not be null bring no filter before the shuffle
     twice = F.when(F.col("a") == F.col("b"), 2).otherwise(1)
-    pairs = every.where("b IS NOT NULL").select("a", "b", *[(twice * F.col(f"n_{c}")).alias(f"n_{c}") for c in columns])
+    pairs = every.where("NOT alone").select("a", F.coalesce("b", F.lit(0)).alias("b"), *[(twice * F.col(f"n_{c}")).alias(f"n_{c}") for c in columns])
     joined = pairs.where(often).join(named("a", "v1", "x"), "a").join(named("b", "v2", "y"), "b").crossJoin(totals)
     out, turned = [], F.col("v1") > F.col("v2")
     for c in columns:
